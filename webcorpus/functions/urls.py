@@ -18,6 +18,20 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once.
+
+    Spark inlines a column wherever it is used; expressions that use an inner result many
+    times would otherwise repeat its regular expressions and outgrow generated code.
+    """
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def parts(url) -> Column:
+    """[scheme, authority, path, query, fragment] by a single match."""
+    return F.split(F.regexp_replace(_c(url), _PARTS, "$1\u0000$2\u0000$3\u0000$4\u0000$5"), "\u0000")
+
+
 def scheme(url) -> Column:
     return F.lower(F.regexp_extract(_c(url), _PARTS, 1))
 
@@ -45,25 +59,22 @@ def fragment(url) -> Column:
 
 def hostname(url) -> Column:
     """Lower-cased host without user info, port or brackets."""
-    auth = F.regexp_replace(netloc(url), r"^.*@", "")
-    return F.lower(
-        F.when(auth.startswith("["), F.regexp_extract(auth, r"^\[([^\]]*)\]", 1)).otherwise(
-            F.regexp_replace(auth, r":.*$", "")
-        )
-    )
+    auth = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#]*@)?(?:\[([^\]/?#]*)\]|([^/?#:\[]*))"
+    u = _c(url)
+    return F.lower(F.concat(F.regexp_extract(u, auth, 1), F.regexp_extract(u, auth, 2)))
 
 
 def normalize_url(url) -> Column:
     """Deduplication key: no fragment, no trailing slash, sorted query parts."""
-    p = F.regexp_replace(path(url), r"/+$", "")
-    q = query(url)
-    return F.concat(
-        scheme(url), F.lit("://"), netloc(url),
-        F.when(p == "", F.lit("/")).otherwise(p),
-        F.when(q == "", F.lit("")).otherwise(
-            F.concat(F.lit("?"), F.array_join(F.array_sort(F.split(q, "&")), "&"))
-        ),
-    )
+    def build(u):
+        p = F.regexp_replace(F.regexp_replace(u[2], r";[^/]*$", ""), r"/+$", "")
+        return F.concat(
+            F.lower(u[0]), F.lit("://"), u[1], F.when(p == "", F.lit("/")).otherwise(p),
+            F.when(u[3] == "", F.lit("")).otherwise(
+                F.concat(F.lit("?"), F.array_join(F.array_sort(F.split(u[3], "&")), "&"))),
+        )
+
+    return let(parts(url), build)
 
 
 def domain(url) -> Column:
@@ -91,44 +102,40 @@ def _fold_dots(segments: Column) -> Column:
 
 def resolve(base, ref) -> Column:
     """Absolute form of ``ref`` on page ``base`` (RFC 3986 section 5)."""
-    b, r = _c(base), _c(ref)
-    rs, ra, rp, rq, rf = scheme(r), netloc(r), raw_path(r), query(r), fragment(r)
-    bs, ba, bp, bq = scheme(b), netloc(b), raw_path(b), query(b)
-    same = (rs == "") | (rs == bs)
-    tail = F.concat(
-        F.when(rq != "", F.concat(F.lit("?"), rq)).otherwise(""),
-        F.when(rf != "", F.concat(F.lit("#"), rf)).otherwise(""),
-    )
-    # keep the base directory, then drop empty inner segments before folding dots
-    directory = F.regexp_replace(bp, r"[^/]*$", "")
-    joined = F.regexp_replace(F.concat(F.when(directory == "", "/").otherwise(directory), rp), r"(?<!^)/{2,}", "/")
-    merged = F.when(rp.startswith("/"), rp).otherwise(F.regexp_replace(joined, r"^/{2,}", "/"))
-    dotted = merged.rlike(r"(^|/)\.{1,2}(/|$)")
-    folded = F.array_join(_fold_dots(F.split(merged, "/")), "/")
-    new_path = F.when(dotted, F.when(folded == "", F.lit("/")).otherwise(folded)).otherwise(merged)
-    root = F.concat(bs, F.lit("://"), ba)
-    query_only = F.concat(
-        root, bp,
-        F.when(rq != "", F.concat(F.lit("?"), rq)).when(bq != "", F.concat(F.lit("?"), bq)).otherwise(""),
-        F.when(rf != "", F.concat(F.lit("#"), rf)).otherwise(""),
-    )
-    return (
-        F.when(r == "", b)
-        .when(~same, r)
-        .when(ra != "", F.concat(bs, F.lit("://"), ra, rp, tail))
-        .when(rp == "", query_only)
-        .otherwise(F.concat(root, new_path, tail))
-    )
+
+    def mark(sign, value):
+        return F.when(value != "", F.concat(F.lit(sign), value)).otherwise("")
+
+    def fold(merged):
+        folded = F.array_join(_fold_dots(F.split(merged, "/")), "/")
+        return F.when(merged.rlike(r"(^|/)\.{1,2}(/|$)"), F.when(folded == "", F.lit("/")).otherwise(folded)).otherwise(merged)
+
+    def build(x):
+        b, r = x["b"], x["r"]
+        root = F.concat(F.lower(b[0]), F.lit("://"), b[1])
+        tail = F.concat(mark("?", r[3]), mark("#", r[4]))
+        # keep the base directory, then drop empty inner segments before folding dots
+        folder = F.regexp_replace(b[2], r"[^/]*$", "")
+        joined = F.regexp_replace(F.concat(F.when(folder == "", "/").otherwise(folder), r[2]), r"/{2,}", "/")
+        merged = F.when(r[2].startswith("/"), r[2]).otherwise(joined)
+        same_page = F.concat(root, b[2], F.when(r[3] != "", F.concat(F.lit("?"), r[3])).otherwise(mark("?", b[3])), mark("#", r[4]))
+        return (
+            F.when(x["ref"] == "", x["base"])
+            .when((r[0] != "") & (F.lower(r[0]) != F.lower(b[0])), x["ref"])
+            .when(r[1] != "", F.concat(F.lower(b[0]), F.lit("://"), r[1], r[2], tail))
+            .when(r[2] == "", same_page)
+            .otherwise(F.concat(root, let(merged, fold), tail))
+        )
+
+    bound = F.struct(parts(base).alias("b"), parts(ref).alias("r"), _c(ref).alias("ref"), _c(base).alias("base"))
+    return let(bound, build)
 
 
 def resolve_link(base, href) -> Column:
     """Absolute http(s) link, or NULL for blank, script, fragment and mail links."""
     h = F.trim(_c(href))
-    skip = (
-        h.isNull() | (h == "") | h.startswith("javascript:") | h.startswith("#") | h.startswith("mailto:")
-    )
-    absolute = resolve(base, h)
-    return F.when(~skip & scheme(absolute).isin("http", "https"), absolute)
+    skip = h.isNull() | (h == "") | h.rlike(r"^(?:javascript:|#|mailto:)")
+    return F.when(~skip, let(resolve(base, h), lambda u: F.when(u.rlike(r"^(?i:https?):"), u)))
 
 
 def has_content_extension(url) -> Column:
@@ -180,12 +187,12 @@ def should_follow(
 def page_number(url) -> Column:
     """Number of the first pagination pattern that matches, else NULL."""
     u = _c(url)
-    target = F.concat(path(u), F.lit("?"), query(u))
-    hits = [
-        F.when(target.rlike(p), F.regexp_extract(target, p, 1).cast("long"))
-        for p in fixed.PAGINATION_PATTERNS
-    ]
-    return F.coalesce(*hits)
+
+    def first(target):
+        return F.coalesce(*[
+            F.when(target.rlike(p), F.regexp_extract(target, p, 1).cast("long")) for p in fixed.PAGINATION_PATTERNS])
+
+    return let(F.concat(path(u), F.lit("?"), query(u)), first)
 
 
 def page_base(url) -> Column:
@@ -231,35 +238,39 @@ def _percent_decode(s: Column) -> Column:
 def decode_bing(href) -> Column:
     """Target of a result wrapper whose ``u`` parameter is ``a1`` + url-safe base64."""
     h = _c(href)
-    u = _query_value(query(h), "u")
-    b64 = F.translate(F.substring(u, 3, 1_000_000), "-_", "+/")
-    padded = F.concat(b64, F.repeat(F.lit("="), F.pmod(-F.length(b64), F.lit(4)).cast("int")))
-    decoded = F.decode(F.try_to_binary(padded, F.lit("base64")), "UTF-8")
-    return F.when(h.contains("bing.com/ck/a") & u.startswith("a1"), F.coalesce(decoded, h)).otherwise(h)
+
+    def target(u):
+        b64 = F.translate(F.substring(u, 3, 1_000_000), "-_", "+/")
+        padded = F.rpad(b64, F.length(b64) + F.pmod(-F.length(b64), F.lit(4)).cast("int"), F.lit("="))
+        return F.when(u.startswith("a1"), F.decode(F.try_to_binary(padded, F.lit("base64")), "UTF-8"))
+
+    return F.when(h.contains("bing.com/ck/a"), F.coalesce(let(_query_value(query(h), "u"), target), h)).otherwise(h)
 
 
 def decode_ddg(href) -> Column:
     """Target of an ``/l/?uddg=`` wrapper, decoded exactly once; "" when not http(s)."""
     h = _c(href)
     wrapped = netloc(h).contains("duckduckgo.com") & (path(h) == "/l/")
-    target = _percent_decode(_query_value(query(h), "uddg"))
-    candidate = F.when(wrapped, target).otherwise(h)
-    return F.when(scheme(candidate).isin("http", "https"), candidate).otherwise("")
+    candidate = F.when(wrapped, _percent_decode(_query_value(query(h), "uddg"))).otherwise(h)
+    return let(candidate, lambda c: F.when(c.rlike(r"^(?i:https?):"), c).otherwise(""))
 
 
 def result_url(href, base_url: str, bing: bool = False, ddg: bool = False) -> Column:
     """Safe absolute destination of a search-result link, "" when there is none."""
     cand = resolve(F.lit(base_url), F.trim(F.coalesce(_c(href), F.lit(""))))
     if bing:
-        cand = decode_bing(cand)
+        cand = let(cand, decode_bing)
     if ddg:
-        cand = decode_ddg(cand)
-    host = hostname(cand)
-    ok = scheme(cand).isin("http", "https") & (host != "")
-    if bing:
-        on_bing = (host == "bing.com") | host.endswith(".bing.com")
-        ok = ok & ~(on_bing & (path(cand) == "/ck/a"))
-    return F.when(ok, F.regexp_replace(cand, r"(?s)#.*$", "")).otherwise("")
+        cand = let(cand, decode_ddg)
+
+    def check(c):
+        ok = c.rlike(r"^(?i:https?)://(?:[^/?#]*@)?[^/?#:]")
+        if bing:
+            # an unresolved wrapper is not a destination
+            ok = ok & ~c.rlike(r"^(?i)https?://(?:[^/?#]*@)?(?:[^/?#]*\.)?bing\.com(?::\d*)?/ck/a(?:[?#;]|$)")
+        return F.when(ok, F.regexp_replace(c, r"(?s)#.*$", "")).otherwise("")
+
+    return let(cand, check)
 
 
 def _ipv4_number(host: Column) -> Column:
@@ -308,19 +319,23 @@ _MAPPED_IPV4 = r"^::ffff:(\d+\.\d+\.\d+\.\d+)$"
 
 def is_public_url(url) -> Column:
     """Literal part of the target check: scheme, reserved names and non-global addresses."""
-    host = F.regexp_replace(hostname(url), r"\.+$", "")
-    bare = F.regexp_replace(host, r"%.*$", "")
-    v4, nat = _ipv4_number(bare), _nat64_number(bare)
-    v6 = bare.contains(":")
-    blocked = (
-        host.isin(fixed.BLOCKED_HOSTS)
-        | host.endswith(".localhost")
-        | F.coalesce(_non_global_ipv4(v4), F.lit(False))
-        | F.coalesce(v6 & _non_global_ipv4(nat), F.lit(False))
-        | F.coalesce(_non_global_ipv4(_ipv4_number(F.regexp_extract(bare, _MAPPED_IPV4, 1))), F.lit(False))
-        | (v6 & nat.isNull() & bare.rlike(_NON_GLOBAL_IPV6))
-    )
-    return F.coalesce(scheme(url).isin("http", "https") & (host != "") & ~blocked, F.lit(False))
+
+    def numbers(host):
+        bare = F.regexp_replace(host, r"%.*$", "")
+        v6 = bare.contains(":")
+        return F.struct(
+            host.alias("host"), bare.alias("bare"), v6.alias("v6"),
+            F.coalesce(_ipv4_number(bare), F.when(v6, _ipv4_number(F.regexp_extract(bare, _MAPPED_IPV4, 1)))).alias("v4"),
+            F.when(v6, _nat64_number(bare)).alias("nat"))
+
+    def check(x):
+        return ~(
+            x["host"].isin(fixed.BLOCKED_HOSTS) | x["host"].endswith(".localhost") | (x["host"] == "")
+            | F.coalesce(_non_global_ipv4(x["v4"]), F.lit(False)) | F.coalesce(_non_global_ipv4(x["nat"]), F.lit(False))
+            | (x["v6"] & x["nat"].isNull() & x["bare"].rlike(_NON_GLOBAL_IPV6)))
+
+    public = let(let(F.regexp_replace(hostname(url), r"\.+$", ""), numbers), check)
+    return F.coalesce(scheme(url).isin("http", "https") & public, F.lit(False))
 
 
 def is_ad_url(url, hosts: list[str] | None = None) -> Column:

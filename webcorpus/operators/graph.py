@@ -107,11 +107,11 @@ def host_profile(reached: DataFrame) -> DataFrame:
 
 
 def crawl(
-    pages: DataFrame, start_url: str, max_depth: int = 3, max_pages: int | None = 100,
+    pages: DataFrame, links: DataFrame, start_url: str, max_depth: int = 3, max_pages: int | None = 100,
     allow_external: bool = False, allow_backward: bool = False, include: list[str] | None = None,
     exclude: list[str] | None = None, rules: DataFrame | None = None, skip_duplicates: bool = True,
 ) -> dict[str, DataFrame]:
-    """Crawl over stored pages ``(url, markdown, links array, status, error)``.
+    """Crawl over stored pages ``(url, markdown, status, error)`` and ``links(source, pos, target)``.
 
     Returns ``pages`` (url, depth), ``errors`` (url, error), ``queued`` (norm, url, depth) and
     ``summary``. Pages of one level are processed in queue order: on-domain, short, then URL.
@@ -120,6 +120,7 @@ def crawl(
     itself; ``max_pages=None`` crawls the whole reach without any ranking.
     """
     spark = pages.sparkSession
+    out_links = links.select("source", F.col("pos").alias("_pos"), "target")
     store = pages.withColumn("norm", U.normalize_url("url")).withColumnRenamed("url", "stored_url")
     store = store.withColumn("_rn", F.row_number().over(W.partitionBy("norm").orderBy("stored_url"))).filter("_rn = 1").drop("_rn")
     seed = spark.createDataFrame([(start_url,)], "url string")
@@ -176,15 +177,15 @@ def crawl(
                 break
         if depth == max_depth:
             break
-        links = (
-            level.filter(F.col("_failure").isNull())
-            .select("_order", F.posexplode("links").alias("_pos", "url"))
+        found = (
+            level.filter(F.col("_failure").isNull()).select("_order", F.col("stored_url").alias("source"))
+            .join(out_links, "source").select("_order", "_pos", F.col("target").alias("url"))
             .withColumn("norm", U.normalize_url("url"))
             .filter(U.should_follow("norm", base, F.lit(depth + 1), max_depth, prefix, allow_external,
                                     allow_backward, include, exclude))
         )
         fresh = (
-            links.groupBy("norm").agg(F.min(F.struct("_order", "_pos", "url")).alias("_f"))
+            found.groupBy("norm").agg(F.min(F.struct("_order", "_pos", "url")).alias("_f"))
             .join(queued, "norm", "left_anti")
             .select("norm", F.col("_f.url").alias("url"), F.lit(depth + 1).alias("depth"), "_f")
         )
