@@ -12,6 +12,7 @@ from ..functions import urls as U
 from ..functions.text import content_hash
 from ..session import cut_lineage
 from . import robots as R
+from .segments import top_k
 
 
 def edges(pages: DataFrame, hrefs: Column, base_domain=None, include_subdomains: bool = False,
@@ -42,8 +43,7 @@ def reach(edge_table: DataFrame, start: DataFrame | str, max_depth: int = 3, lim
         start = spark.createDataFrame([(start,)], "url string")
     seen = cut_lineage(start.select("url").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
-    # adjacency is read once per level; keep it distinct so a hub never repeats a target
-    adjacency = edge_table.select("source", "target").distinct()
+    adjacency = edge_table.select("source", "target")
     for depth in range(max_depth):
         level = frontier.filter(expandable) if expandable is not None else frontier
         found = level.join(adjacency, F.col("url") == F.col("source"))
@@ -55,7 +55,8 @@ def reach(edge_table: DataFrame, start: DataFrame | str, max_depth: int = 3, lim
         frontier = cut_lineage(fresh)
         if frontier.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(frontier))
+        # every piece is a stored table, so the union stays shallow
+        seen = seen.unionByName(frontier)
     return seen
 
 
@@ -121,8 +122,12 @@ def crawl(
     """
     spark = pages.sparkSession
     out_links = links.select("source", F.col("pos").alias("_pos"), "target")
-    store = pages.withColumn("norm", U.normalize_url("url")).withColumnRenamed("url", "stored_url")
-    store = store.withColumn("_rn", F.row_number().over(W.partitionBy("norm").orderBy("stored_url"))).filter("_rn = 1").drop("_rn")
+    # what a level needs of a page: no text, only its hash; one row per normalised URL
+    text = F.coalesce("markdown", F.lit(""))
+    store = cut_lineage(top_k(
+        pages.select(U.normalize_url("url").alias("norm"), F.col("url").alias("stored_url"), "status", "error",
+                     F.when(text != "", content_hash("markdown")).alias("_text_hash")),
+        ["norm"], [F.col("stored_url")], 1))
     seed = spark.createDataFrame([(start_url,)], "url string")
     base = U.netloc(F.lit(start_url))
     prefix = F.lit("/") if allow_backward else F.regexp_replace(U.path(F.lit(start_url)), r"/+$", "")
@@ -143,7 +148,7 @@ def crawl(
                   F.coalesce("error", F.concat(F.lit("Upstream returned HTTP "), F.col("status").cast("string"))))
         )
         level = level.withColumn("_failure", failure).withColumn(
-            "_hash", F.when(F.col("_failure").isNull() & (F.coalesce("markdown", F.lit("")) != ""), content_hash("markdown"))
+            "_hash", F.when(F.col("_failure").isNull(), F.col("_text_hash"))
         )
         order = U.priority_order("url", F.lit(depth), base)
         rank_key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
@@ -195,7 +200,7 @@ def crawl(
         frontier = cut_lineage(fresh.drop("_f"))
         if frontier.isEmpty():
             break
-        queued = cut_lineage(queued.unionByName(frontier))
+        queued = queued.unionByName(frontier)
     summary = crawl_summary(results, queued, errors)
     return {"pages": results, "errors": errors, "queued": queued, "summary": summary}
 

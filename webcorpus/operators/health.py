@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed
-from .segments import HOUR, SEG, failures_in_a_row, fold, halo, top_k, with_segment
+from .segments import HOUR, SEG, failures_in_a_row, fold, halo, segment_width, top_k, with_segment
 
 
 def consecutive_failures(outcomes: DataFrame, host="host", ts="ts", ok="ok", width=HOUR, ties=None) -> DataFrame:
@@ -40,12 +40,13 @@ def _segments_in_order(df: DataFrame, key: str, item: Column, name: str) -> Data
     return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(SEG, item.alias("f")))).alias(name))
 
 
-def rate_multiplier(outcomes: DataFrame, host="host", ts="ts", ok="ok", tie="id", width: int = HOUR) -> DataFrame:
+def rate_multiplier(outcomes: DataFrame, host="host", ts="ts", ok="ok", tie="id", width: int | None = None) -> DataFrame:
     """Adaptive rate multiplier per host after its last outcome.
 
     A failure multiplies by 0.7 (not below 0.1), a success adds 0.05 (not above 1). Both are
     clamped affine maps, and so is their composition: x -> clamp(a*x + b, lo, hi).
     """
+    width = width or segment_width(outcomes, [host], ts)
     start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"),
                      F.lit(fixed.MIN_MULTIPLIER).alias("lo"), F.lit(fixed.MAX_MULTIPLIER).alias("hi"))
 
@@ -99,11 +100,12 @@ def outcome_history(outcomes: DataFrame, host="host", ts="ts", tie="id", n: int
 
 def health_states(outcomes: DataFrame, key="engine", ts="ts", ok="ok", latency="latency_ms", tie="id",
                   priors: dict[str, tuple[float, float]] | None = None, default_prior=(1.0, 0.0),
-                  width: int = HOUR, error: str | None = None) -> DataFrame:
+                  width: int | None = None, error: str | None = None) -> DataFrame:
     """Per key: moving averages, counts, trailing failures, last outcome.
 
     An average step is ``x -> 0.7*x + 0.3*v``; a segment is the pair (factor, offset).
     """
+    width = width or segment_width(outcomes, [key], ts)
     keep, gain = F.lit(fixed.EMA_KEEP), F.lit(fixed.EMA_GAIN)
     start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("s"), F.lit(0.0).alias("l"),
                      F.lit(0).cast("long").alias("trail"), F.lit(False).alias("any_ok"))
@@ -204,7 +206,16 @@ def select_engines(snapshot: DataFrame, requested: str = "auto", fallback: bool
 
 # ---- circuit breaker ---------------------------------------------------------------------
 
-BREAKER_START = {"state": "closed", "since": None, "run": 0, "calls": 0, "epoch": 0, "flying": {}, "known": False}
+# "flying" maps calls under way to the half-open window (epoch) they probe, if any
+BREAKER_START = {"state": "closed", "since": None, "run": 0, "calls": 0, "epoch": 0, "flying": {}}
+
+
+def _settled(s: dict) -> dict:
+    """The same state without history: the current window is 0, every earlier one -1."""
+    now = s["epoch"]
+    flying = {c: p if p is None else (0 if p == now else -1) for c, p in s["flying"].items()}
+    closed = s["state"] == "closed"
+    return {**s, "epoch": 0, "flying": flying, "since": None if closed else s["since"], "calls": 0 if closed else s["calls"]}
 
 
 def breaker_step(threshold=fixed.FAILURE_THRESHOLD, recovery=fixed.RECOVERY_SECONDS, probes=fixed.HALF_OPEN_CALLS):
@@ -224,22 +235,20 @@ def breaker_step(threshold=fixed.FAILURE_THRESHOLD, recovery=fixed.RECOVERY_SECO
             admitted = True
             if r["kind"] == 0:
                 probe = None
-                if s["known"]:
-                    move_on_time(s, now)
-                    if s["state"] == "half_open":
-                        admitted = s["calls"] < probes
-                        if admitted:
-                            s["calls"] += 1
-                            probe = s["epoch"]
-                    else:
-                        admitted = s["state"] == "closed"
+                move_on_time(s, now)
+                if s["state"] == "half_open":
+                    admitted = s["calls"] < probes
+                    if admitted:
+                        s["calls"] += 1
+                        probe = s["epoch"]
+                else:
+                    admitted = s["state"] == "closed"
                 if admitted:
                     s["flying"][call] = probe
             else:
                 if call not in s["flying"]:
                     continue
                 probe = s["flying"].pop(call)
-                s["known"] = True
                 own = s["state"] == "half_open" and probe is not None and probe == s["epoch"]
                 if r["ok"]:
                     s["run"] = 0
@@ -251,13 +260,13 @@ def breaker_step(threshold=fixed.FAILURE_THRESHOLD, recovery=fixed.RECOVERY_SECO
                         s.update(state="open", since=now)
             out.append((r["host"], r["call_id"], now, "start" if r["kind"] == 0 else "end", admitted,
                         s["state"], s["since"], s["run"]))
-        return s, out
+        return _settled(s), out
 
     return step
 
 
 def replay_breaker(outcomes: DataFrame, threshold=fixed.FAILURE_THRESHOLD, recovery=fixed.RECOVERY_SECONDS,
-                   probes=fixed.HALF_OPEN_CALLS, width: int = HOUR) -> DataFrame:
+                   probes=fixed.HALF_OPEN_CALLS, width: int = HOUR, target_rows: int = 500_000) -> DataFrame:
     """Breaker state after every call start and end of ``(host, call_id, start_ts, ts, ok)``.
 
     A call that was not admitted has no end event. Late results of calls that started before
@@ -276,7 +285,7 @@ def replay_breaker(outcomes: DataFrame, threshold=fixed.FAILURE_THRESHOLD, recov
         f"host {key_type}, call_id {id_type}, event_us long, kind string, admitted boolean, state string, since_us long, run long",
         {"host": None, "call_id": None, "event_us": "int64", "kind": None, "admitted": "bool", "state": None,
          "since_us": "Int64", "run": "int64"},
-        width, ties=["kind", "call_id"],
+        width, ties=["kind", "call_id"], target_rows=target_rows,
     )
     return out.withColumn("event_ts", F.timestamp_micros("event_us")).withColumn("since", F.timestamp_micros("since_us")).drop("event_us", "since_us")
 
@@ -330,7 +339,7 @@ def bucket_step(state, rows):
     return {"tokens": tokens, "last": last, "recent": recent}, out
 
 
-def replay_bucket(requests: DataFrame, limits: DataFrame | None = None, width: int = HOUR) -> DataFrame:
+def replay_bucket(requests: DataFrame, limits: DataFrame | None = None, width: int = HOUR, target_rows: int = 500_000) -> DataFrame:
     """Admission of every request ``(host, req_id, ts)``; ``limits(host, rpm, burst)`` per host."""
     r = requests.select("host", "req_id", "ts", F.unix_micros("ts").alias("req_us"))
     if limits is not None:
@@ -348,7 +357,7 @@ def replay_bucket(requests: DataFrame, limits: DataFrame | None = None, width: i
         r, "host", "ts", bucket_step, BUCKET_START,
         f"host {key_type}, req_id {id_type}, req_us long, admitted boolean, tokens double, in_window int",
         {"host": None, "req_id": None, "req_us": "int64", "admitted": "bool", "tokens": "float64", "in_window": "int32"},
-        width, ties=["req_id"],
+        width, ties=["req_id"], target_rows=target_rows,
     )
     return out.withColumn("ts", F.timestamp_micros("req_us")).drop("req_us")
 

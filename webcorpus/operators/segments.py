@@ -108,10 +108,20 @@ def halo(df: DataFrame, order: str, width: int) -> DataFrame:
     )
 
 
-def segment_width(df: DataFrame, keys: list[str], order: str, width: int, target_rows: int) -> int:
-    """Narrow ``width`` until the fullest segment of any key holds about ``target_rows``."""
-    counts = with_segment(df.select(*keys, order), order, width).groupBy(*keys, SEG).count()
-    fullest = counts.agg(F.max("count")).first()[0] or 0
+_WHOLE = 10**11  # wider than any history: one segment per key
+
+
+def segment_width(df: DataFrame, keys: list[str], order: str, width: int = HOUR, target_rows: int = 500_000) -> int:
+    """Width at which no segment of any key holds much more than ``target_rows`` rows.
+
+    One narrow aggregate over key and order column. When even the largest key fits, every
+    key is one segment; else the width shrinks with the fullest segment.
+    """
+    per_seg = with_segment(df.select(*keys, order), order, width).groupBy(*keys, SEG).count()
+    per_key = per_seg.groupBy(*keys).agg(F.max("count").alias("m"), F.sum("count").alias("s"))
+    fullest, largest = per_key.agg(F.max("m"), F.max("s")).first()
+    if (largest or 0) <= target_rows:
+        return _WHOLE
     return max(1, width // max(1, -(-fullest // target_rows)))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import web  # noqa: F401
+from . import crawling, hosts, watching, web  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 

@@ -366,12 +366,12 @@ def _(t):
     return dom.scrape(t("pages"), formats=["markdown"])
 
 
-@query("d19_markdown_rules", sql=f"""SELECT page_id, '# ' || trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)) = '# ' || trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)) AS heading_first FROM pages""")
+@query("d19_markdown_rules", sql=f"""SELECT page_id, {q.inner_text("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS heading,
+  length({q.plain_text(q.clean('html'))}) > 0 AS has_text FROM pages""")
 def _(t):
-    # every page's Markdown opens with its first heading as an ATX heading
-    md = dom.scrape(t("pages"), formats=["markdown"]).join(t("pages").select("page_id", "html"), "page_id")
-    h1 = F.trim(H.unescape(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1)))
-    return md.select("page_id", F.col("markdown").startswith(F.concat(F.lit("# "), h1)).alias("heading_first"))
+    # the first heading of every page, read back from its Markdown
+    md = dom.scrape(t("pages"), formats=["markdown"])
+    return md.select("page_id", X.strip_space(F.regexp_extract("markdown", r"(?m)^# (.*)$", 1)).alias("heading"), (F.length("markdown") > 0).alias("has_text"))
 
 
 @query("d20_largest_block")

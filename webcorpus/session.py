@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,16 +53,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: survives the loss of any executor."""
+    """Write the rows as a table in the shared folder and go on from there.
+
+    The table survives the loss of any executor, is columnar, and its known size lets the
+    next join choose a broadcast by itself when it is small.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = os.path.join(shared_dir(spark), "tables", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def stream_dir(spark: SparkSession, name: str) -> str:
     """A fresh checkpoint location for one run of a stream."""
-    import uuid
-
     return os.path.join(shared_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
