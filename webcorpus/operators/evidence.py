@@ -267,7 +267,7 @@ def report_bodies(reports: DataFrame, findings: DataFrame, citation_rows: DataFr
     doubtful = findings.filter(F.col("confidence") < 0.5)
     parts.append(lines(doubtful.select("report_id").distinct(), 4, F.lit("\n## Areas Requiring Verification\n")))
     parts.append(lines(top_k(doubtful, ["report_id"], [F.col("confidence").desc(), F.col("seq")], 5), 5, F.concat(
-        F.lit("- **"), "claim", F.lit("** (confidence: "), F.format_number(F.col("confidence") * 100, "0"), F.lit("%)\n")), order=mine))
+        F.lit("- **"), "claim", F.lit("** (confidence: "), F.format_string("%.0f", F.col("confidence") * 100), F.lit("%)\n")), order=mine))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)

@@ -149,7 +149,7 @@ def repair(content) -> Column:
     c = F.regexp_replace(_c(content), r",\s*([}\]])", "$1")
     c = F.regexp_replace(c, r"//.*?\n", "\n")
     c = F.regexp_replace(c, r"(?s)/\*.*?\*/", "")
-    return F.regexp_replace(c, r'(?<=")([^"]*)\n([^"]*)(?=")', r"$1\\\\n$2")
+    return F.regexp_replace(c, r'(?<=")([^"]*)\n([^"]*)(?=")', r"$1\\n$2")
 
 
 def _valid(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import crawling, hosts, watching, web  # noqa: F401
+from . import crawling, flagship, hosts, research, streams, watching, web  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 
@@ -11,4 +11,11 @@ def queries():
 
 
 def oracle_sql():
-    return dict(ORACLE)
+    """SQL twins. The template texts need Spark's type parser, which needs a session."""
+    from pyspark.sql import SparkSession
+
+    out = dict(ORACLE)
+    if SparkSession.getActiveSession() is None:
+        SparkSession.builder.getOrCreate()
+    out.update({k: build() for k, build in research._LAZY.items()})
+    return out

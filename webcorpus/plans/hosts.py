@@ -111,17 +111,34 @@ def _breaker(t):
     return Hh.replay_breaker(fx.calls(t), threshold=2, recovery=7200.0)
 
 
-@query("h10_breaker_replay")
+_WALK = f"""WITH RECURSIVE {q.OUTCOMES}, o AS (SELECT host, id, epoch_us(ts) AS t, ok, row_number() OVER (PARTITION BY host ORDER BY ts, id) AS rn FROM outcomes),
+  w AS (SELECT host, rn - 1 AS rn, id, t, ok, 'closed' AS st1, 0::BIGINT AS run1, true AS admitted, 'closed' AS st2, NULL::BIGINT AS since2, 0::BIGINT AS run2 FROM o WHERE rn = 1
+    UNION ALL SELECT host, rn, id, t, ok, st1, run1, admitted, CASE WHEN NOT admitted THEN st1 WHEN ok THEN 'closed' WHEN st1 = 'half_open' OR run1 + 1 >= 2 THEN 'open' ELSE st1 END AS st2,
+      CASE WHEN NOT admitted THEN since1 WHEN ok THEN NULL WHEN st1 = 'half_open' OR run1 + 1 >= 2 THEN t ELSE since1 END AS since2, CASE WHEN NOT admitted THEN run1 WHEN ok THEN 0 ELSE run1 + 1 END AS run2
+    FROM (SELECT o.host, o.rn, o.id, o.t, o.ok, CASE WHEN w.st2 = 'open' AND o.t - w.since2 >= 7200000000 THEN 'half_open' ELSE w.st2 END AS st1, CASE WHEN w.st2 = 'open' AND o.t - w.since2 >= 7200000000 THEN o.t ELSE w.since2 END AS since1,
+      w.run2 AS run1, w.st2 <> 'open' OR o.t - w.since2 >= 7200000000 AS admitted FROM w JOIN o ON o.host = w.host AND o.rn = w.rn + 1)),
+  r AS (SELECT * FROM w WHERE rn > 0)"""
+
+
+@query("h10_breaker_replay", sql=_WALK + """ SELECT host, id AS call_id, t AS event_ts, 'start' AS kind, admitted, st1 AS state, run1 AS run FROM r
+  UNION ALL SELECT host, id, t, 'end', true, st2, run2 FROM r WHERE admitted""")
 def _(t):
     return _breaker(t).select("host", "call_id", "event_ts", "kind", "admitted", "state", "run")
 
 
-@query("h11_breaker_stats")
+_STATS = _WALK + f""", l AS (SELECT host, max_by(st2, rn) AS st, max_by(since2, rn) AS since, max_by(run2, rn) AS run, count(*) FILTER (admitted AND NOT ok) AS total_failures, count(*) FILTER (admitted AND ok) AS total_successes,
+    max(t) FILTER (admitted AND NOT ok) AS last_failure_time, max(t) FILTER (admitted AND ok) AS last_success_time FROM r GROUP BY 1),
+  z AS (SELECT *, (epoch_us({_AS_OF}) - since) / 1000000.0::DOUBLE AS age FROM l),
+  stats AS (SELECT host, CASE WHEN st = 'open' AND age >= 7200 THEN 'half_open' ELSE st END AS state, run AS consecutive_failures, total_failures, total_successes, last_failure_time, last_success_time,
+    CASE WHEN st = 'open' AND age < 7200 THEN round(7200.0::DOUBLE - age, 1) ELSE 0.0::DOUBLE END AS retry_after_seconds FROM z)"""
+
+
+@query("h11_breaker_stats", sql=_STATS + " SELECT * FROM stats")
 def _(t):
     return Hh.breaker_stats(_breaker(t), fx.calls(t), _as_of(), recovery=7200.0)
 
 
-@query("h12_open_circuits")
+@query("h12_open_circuits", sql=_STATS + " SELECT host, state, retry_after_seconds FROM stats WHERE state <> 'closed'")
 def _(t):
     return Hh.open_circuits(Hh.breaker_stats(_breaker(t), fx.calls(t), _as_of(), recovery=7200.0))
 
@@ -178,12 +195,22 @@ def _bucket(t):
     return Hh.replay_bucket(r, _limits(t).withColumn("rpm", F.col("rpm") / 10).withColumn("burst", F.col("burst") / 5))
 
 
-@query("h17_token_bucket")
+_SPEND = f"""WITH RECURSIVE {q.OUTCOMES}, {_LIMITS}, o AS (SELECT c.host, c.id, floor(epoch_us(c.ts) / 2000)::BIGINT AS us, coalesce(l.rpm / 10, 60.0)::DOUBLE AS rpm, coalesce(l.burst / 5, 20.0)::DOUBLE AS burst,
+    row_number() OVER (PARTITION BY c.host ORDER BY c.ts, c.id) AS rn FROM outcomes c LEFT JOIN l ON l.host = c.host),
+  w AS (SELECT host, rn - 1 AS rn, id, us, burst AS tokens, us / 1e6::DOUBLE AS last, []::DOUBLE[] AS recent, true AS admitted FROM o WHERE rn = 1
+    UNION ALL SELECT host, rn, id, us, CASE WHEN tk >= 1 OR len(rc) < rpm THEN tk - 1 ELSE tk END, now, CASE WHEN tk >= 1 OR len(rc) < rpm THEN list_append(rc, now) ELSE rc END, tk >= 1 OR len(rc) < rpm
+    FROM (SELECT o.host, o.rn, o.id, o.us, o.rpm, o.us / 1e6::DOUBLE AS now, least(w.tokens + (o.us / 1e6::DOUBLE - w.last) * o.rpm / 60.0::DOUBLE, o.burst) AS tk,
+      list_filter(w.recent, lambda x: x >= o.us / 1e6::DOUBLE - 60.0::DOUBLE) AS rc FROM w JOIN o ON o.host = w.host AND o.rn = w.rn + 1)),
+  r AS (SELECT * FROM w WHERE rn > 0)"""
+
+
+@query("h17_token_bucket", sql=_SPEND + " SELECT host, id AS req_id, admitted, round(tokens, 6) AS tokens, len(recent) AS in_window, us AS ts FROM r")
 def _(t):
     return _bucket(t).withColumn("tokens", F.round("tokens", 6))
 
 
-@query("h18_limiter_stats")
+@query("h18_limiter_stats", sql=_SPEND + f""" SELECT host, count(*) FILTER (admitted) AS total_requests, count(*) FILTER (NOT admitted) AS blocked_count,
+  count(*) FILTER (admitted AND us >= floor(epoch_us({_AS_OF}) / 2000)::BIGINT - 60000000) AS requests_in_window FROM r GROUP BY 1""")
 def _(t):
     last = F.timestamp_micros(F.floor(F.unix_micros(_as_of()) / 2000))
     return Hh.limiter_stats(_bucket(t), last)

@@ -10,8 +10,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+class Tables:
+    """``t("pages")`` reads a table, ``t.stream("pages")`` streams it."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    def stream(self, name: str) -> DataFrame:
+        # a glob matches a single file as well as a folder of files
+        path = f"{self.dir}/{name}.parque[t]"
+        return self.spark.readStream.schema(self(name).schema).parquet(path)
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -30,11 +41,11 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def query(name: str, sql: str | None = None):
-    """Register ``fn(t)`` where ``t("pages")`` reads a table; results are made plain."""
+    """Register ``fn(t)`` over the given ``Tables``; results are made plain."""
 
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return plain(fn(lambda n: table(spark, sf_dir, n)))
+            return plain(fn(Tables(spark, sf_dir)))
 
         run.__name__ = name
         QUERIES[name] = run
