@@ -107,8 +107,9 @@ def resolve(base, ref) -> Column:
         return F.when(value != "", F.concat(F.lit(sign), value)).otherwise("")
 
     def fold(merged):
-        folded = F.array_join(_fold_dots(F.split(merged, "/")), "/")
-        return F.when(merged.rlike(r"(^|/)\.{1,2}(/|$)"), F.when(folded == "", F.lit("/")).otherwise(folded)).otherwise(merged)
+        # ".." may climb past the root: the path still starts at it
+        folded = F.regexp_replace(F.array_join(_fold_dots(F.split(merged, "/")), "/"), "^(?!/)", "/")
+        return F.when(merged.rlike(r"(^|/)\.{1,2}(/|$)"), folded).otherwise(merged)
 
     def build(x):
         b, r = x["b"], x["r"]

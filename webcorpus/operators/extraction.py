@@ -179,9 +179,6 @@ def parse_answer(answer, object_expected: bool = True) -> Column:
 
 # ---- validation --------------------------------------------------------------------------
 
-_PYTHON_NAMES = {"OBJECT": "dict", "ARRAY": "list", "STRING": "str", "BOOLEAN": "bool"}
-
-
 def _kind(v: Column) -> Column:
     """JSON kind of a variant: dict, list, str, bool, int, float or null."""
     s = F.schema_of_variant(v)
@@ -215,6 +212,8 @@ def _missing(v: Column, struct: T.StructType, path: Column) -> list[Column]:
 def _field_errors(v: Column, dt: T.DataType, name: Column) -> Column:
     """Errors of one value against its type: its own type, then its members."""
     want = json_type(dt)
+    if want is None:
+        return F.array().cast(_NO_ERRORS)
     kind = _kind(v)
     wrong = F.when(
         _present(v) & ~kind.isin(_ACCEPTED[want]),

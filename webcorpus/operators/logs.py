@@ -47,6 +47,12 @@ def retained(log: DataFrame, as_of: Column, max_age_hours: int = 168, time="crea
     return log.filter(F.col(time) >= as_of - F.expr(f"interval {max_age_hours} hours"))
 
 
+def retention_counts(log: DataFrame, as_of: Column, max_age_hours: int = 168, time="created_at") -> DataFrame:
+    """Rows kept and deleted by the retention rule, in one pass."""
+    old = F.col(time) < as_of - F.expr(f"interval {max_age_hours} hours")
+    return log.agg(F.count_if(~old).alias("kept"), F.count_if(old).alias("deleted"))
+
+
 def expired_count(log: DataFrame, as_of: Column, max_age_hours: int = 168, time="created_at") -> DataFrame:
     old = F.col(time) < as_of - F.expr(f"interval {max_age_hours} hours")
     return log.agg(F.count_if(old).alias("deleted"))

@@ -103,7 +103,10 @@ def get_template(name: str) -> Template:
     return REGISTRY[name]
 
 
-def json_type(dt: T.DataType) -> str:
+def json_type(dt: T.DataType) -> str | None:
+    """JSON name of a type; VARIANT stands for any value."""
+    if isinstance(dt, T.VariantType):
+        return None
     if isinstance(dt, T.StringType):
         return "string"
     if isinstance(dt, (T.LongType, T.IntegerType, T.ShortType)):
@@ -119,8 +122,8 @@ def json_type(dt: T.DataType) -> str:
 
 def json_schema(dt: T.DataType) -> dict:
     """JSON schema of a Spark type, for the prompt."""
-    out: dict = {"type": json_type(dt)}
-    if isinstance(dt, T.ArrayType):
+    out: dict = {"type": json_type(dt)} if json_type(dt) else {}
+    if isinstance(dt, T.ArrayType) and json_type(dt.elementType):
         out["items"] = json_schema(dt.elementType)
     if isinstance(dt, T.StructType):
         out["properties"] = {f.name: json_schema(f.dataType) for f in dt.fields}

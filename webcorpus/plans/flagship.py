@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import html as H, text as X, urls as U
 from ..operators.segments import top_k
+from ..session import cut_lineage
 from . import sqltext as q
 from .registry import query
 
@@ -25,7 +26,8 @@ def clean_pages(pages: DataFrame) -> DataFrame:
 
 def host_report(pages: DataFrame) -> DataFrame:
     """Per host: pages, distinct URLs, pages with content no other page had first, links."""
-    rows = clean_pages(pages)
+    # parsed once: the narrow rows are stored, both uses below read them back
+    rows = cut_lineage(clean_pages(pages).drop("title"))
     # first page per hash, by window limit before the shuffle
     firsts = top_k(rows.select("page_id", "hash"), ["hash"], [F.col("page_id")], 1).select("page_id", F.lit(1).alias("first"))
     return (

@@ -22,7 +22,8 @@ class Tables:
     def stream(self, name: str) -> DataFrame:
         # a glob matches a single file as well as a folder of files
         path = f"{self.dir}/{name}.parque[t]"
-        return self.spark.readStream.schema(self(name).schema).parquet(path)
+        # a micro-batch is bounded by its files, and with it the rows of any one key
+        return self.spark.readStream.schema(self(name).schema).option("maxFilesPerTrigger", 64).parquet(path)
 
 
 def plain(df: DataFrame) -> DataFrame:

@@ -160,9 +160,7 @@ def _now():
 
 @query("i5_retention", sql=f"SELECT count(*) FILTER (created_at >= {_NOW} - INTERVAL 168 HOUR) AS kept, count(*) FILTER (created_at < {_NOW} - INTERVAL 168 HOUR) AS deleted FROM {_LOG}")
 def _(t):
-    kept = L.retained(_log(t), _now()).agg(F.count("*").alias("kept"))
-    gone = L.expired_count(_log(t), _now())
-    return kept.withColumn("k", F.lit(1)).join(gone.withColumn("k", F.lit(1)), "k").drop("k")
+    return L.retention_counts(_log(t), _now())
 
 
 _JOBS = "(SELECT o_orderkey AS id, o_orderstatus AS status, o_orderdate AS created_at, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderdate + INTERVAL 24 HOUR END AS expires_at FROM orders)"

@@ -15,11 +15,9 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGES).parquet(path)
 
 
-def pages_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(PAGES)
-    if files_per_trigger:
-        r = r.option("maxFilesPerTrigger", files_per_trigger)
-    return r.parquet(path)
+def pages_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
+    """Pages as they arrive; the file bound per micro-batch bounds the rows of any one key."""
+    return spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 def url_list(spark: SparkSession, path: str) -> DataFrame:
