@@ -178,8 +178,6 @@ def crawl(
         seen_hashes = hashes if seen_hashes is None else seen_hashes.unionByName(hashes)
         if max_pages is not None:
             done += level.filter("_new").count()
-            if done >= max_pages:
-                break
         if depth == max_depth:
             break
         found = (
@@ -197,10 +195,11 @@ def crawl(
         if max_pages is not None:
             room = max(0, 2 * max_pages - queued.count())
             fresh = fresh.orderBy("_f._order", "_f._pos").limit(room)
+        # links of the last page still count as discovered
         frontier = cut_lineage(fresh.drop("_f"))
-        if frontier.isEmpty():
-            break
         queued = queued.unionByName(frontier)
+        if frontier.isEmpty() or max_pages is not None and done >= max_pages:
+            break
     summary = crawl_summary(results, queued, errors)
     return {"pages": results, "errors": errors, "queued": queued, "summary": summary}
 
