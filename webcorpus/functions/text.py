@@ -15,9 +15,13 @@ def collapse_space(text) -> Column:
     return F.regexp_replace(_c(text), r"(?U)\s+", " ")
 
 
+# every character that counts as white space at the ends of a text
+_SPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip_space(text) -> Column:
     """Trim any Unicode white space, not only blanks."""
-    return F.regexp_replace(_c(text), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_c(text), F.lit(_SPACE))
 
 
 def content_hash(text) -> Column:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions import fixed, text as X
+from ..functions.urls import let
 from .segments import top_k
 from .templates import REGISTRY, Template, json_schema, json_type
 
@@ -153,7 +154,14 @@ def repair(content) -> Column:
 
 
 def _valid(c: Column) -> Column:
-    return F.when(F.try_parse_json(c).isNotNull(), c)
+    """The text when it is exactly one JSON value. The parser alone would ignore text behind
+    the value; as the only item of a list nothing may follow."""
+    def check(x):
+        listed = F.try_parse_json(F.concat(F.lit("["), x, F.lit("]")))
+        one = let(listed, lambda v: F.try_variant_get(v, "$[0]", "variant").isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull())
+        return F.when(one, x)
+
+    return let(c, check)
 
 
 def parse_answer(answer, object_expected: bool = True) -> Column:
@@ -162,40 +170,44 @@ def parse_answer(answer, object_expected: bool = True) -> Column:
     Every later way is only evaluated for rows where the earlier ones failed.
     """
     raw = _c(answer)
-    cleaned = strip_fences(raw)
-    any_object = F.regexp_extract(cleaned, r"(?s)(\{.*?\})", 1)
-    any_array = F.regexp_extract(cleaned, r"(?s)(\[.*?\])", 1)
-    arr = _valid(F.when(any_array != "", any_array))
-    if object_expected:
-        arr = F.when(arr.isNotNull(), F.concat(F.lit('{"items":'), arr, F.lit("}")))
-    fixed_text = repair(cleaned)
-    marker = F.to_json(F.struct(F.substring(raw, 1, 2000).alias("raw_response"), F.lit(True).alias("parse_error")))
-    found = F.coalesce(
-        _valid(F.when(cleaned != "", cleaned)), _valid(first_object(cleaned)), _valid(F.when(any_object != "", any_object)),
-        arr, _valid(F.when(X.strip_space(fixed_text) != "", fixed_text)), marker)
+
+    def first_way(cleaned):
+        any_object = F.regexp_extract(cleaned, r"(?s)(\{.*?\})", 1)
+        any_array = F.regexp_extract(cleaned, r"(?s)(\[.*?\])", 1)
+        arr = _valid(F.when(any_array != "", any_array))
+        if object_expected:
+            arr = F.concat(F.lit('{"items":'), arr, F.lit("}"))
+        mended = let(repair(cleaned), lambda r: F.when(X.strip_space(r) != "", r))
+        marker = F.to_json(F.struct(F.substring(raw, 1, 2000).alias("raw_response"), F.lit(True).alias("parse_error")))
+        return F.coalesce(
+            _valid(F.when(cleaned != "", cleaned)), _valid(first_object(cleaned)), _valid(F.when(any_object != "", any_object)),
+            arr, _valid(mended), marker)
+
     empty = F.lit('{"raw_response":"","parse_error":true,"error":"Empty response"}')
-    return F.when(F.coalesce(X.strip_space(raw), F.lit("")) == "", empty).otherwise(found)
+    blank = F.coalesce(X.strip_space(raw), F.lit("")) == ""
+    return F.when(blank, empty).otherwise(let(strip_fences(raw), first_way))
 
 
 # ---- validation --------------------------------------------------------------------------
 
-def _kind(v: Column) -> Column:
-    """JSON kind of a variant: dict, list, str, bool, int, float or null."""
-    s = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull() | F.is_variant_null(v), "null")
-        .when(s.startswith("OBJECT"), "dict").when(s.startswith("ARRAY"), "list").when(s == "STRING", "str")
-        .when(s == "BOOLEAN", "bool").when(s.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "int").otherwise("float")
-    )
+# type texts of variants that each JSON type takes; an integer field also takes a boolean
+_ACCEPTED = {"string": ["STRING"], "integer": ["BIGINT", "BOOLEAN"], "number": ["BIGINT", "DOUBLE", "BOOLEAN"], "boolean": ["BOOLEAN"],
+             "array": ["ARRAY"], "object": ["OBJECT"]}
+_KIND_NAMES = {"OBJECT": "dict", "ARRAY": "list", "STRING": "str", "BOOLEAN": "bool", "BIGINT": "int"}
+
 
+def _none() -> Column:
+    return F.array().cast("array<string>")
 
-_ACCEPTED = {"string": ["str"], "integer": ["int", "bool"], "number": ["int", "float", "bool"], "boolean": ["bool"],
-             "array": ["list"], "object": ["dict"]}
-_NO_ERRORS = "array<string>"
 
+def _is_object(text, v: Column) -> Column:
+    """Valid JSON that starts with a brace."""
+    return v.isNotNull() & X.strip_space(text).startswith("{")
 
-def _present(v: Column) -> Column:
-    return ~(v.isNull() | F.is_variant_null(v))
+
+def _present(v: Column, name: str) -> Column:
+    """A member that is there and not null; a null variant has no string form."""
+    return F.try_variant_get(v, f"$.{name}", "string").isNotNull()
 
 
 def _get(v: Column, name: str) -> Column:
@@ -204,60 +216,81 @@ def _get(v: Column, name: str) -> Column:
 
 def _missing(v: Column, struct: T.StructType, path: Column) -> list[Column]:
     return [
-        F.when(~_present(_get(v, f.name)), F.concat(F.lit("Missing required field: '"), path, F.lit(f"{f.name}'")))
+        F.when(_present(v, f.name), _none()).otherwise(F.array(F.concat(F.lit("Missing required field: '"), path, F.lit(f"{f.name}'"))))
         for f in struct.fields if not f.nullable
     ]
 
 
 def _field_errors(v: Column, dt: T.DataType, name: Column) -> Column:
-    """Errors of one value against its type: its own type, then its members."""
+    """Errors of one value against its type: its own type, then its members.
+
+    The type text of the value is computed once; members and items are only looked at when
+    there are any, and not at all for a list whose type text already says all is well.
+    """
     want = json_type(dt)
     if want is None:
-        return F.array().cast(_NO_ERRORS)
-    kind = _kind(v)
-    wrong = F.when(
-        _present(v) & ~kind.isin(_ACCEPTED[want]),
-        F.concat(F.lit("Field '"), name, F.lit("' has type "), kind, F.lit(f", expected {want}")))
-    parts = [F.array(wrong)]
-    if isinstance(dt, T.StructType):
-        path = F.concat(name, F.lit("."))
-        inner = [F.array(*_missing(v, dt, path))] if any(not f.nullable for f in dt.fields) else []
-        inner += [_field_errors(_get(v, f.name), f.dataType, F.concat(path, F.lit(f.name))) for f in dt.fields]
-        parts.append(F.when(kind == "dict", F.concat(*inner)).otherwise(F.array().cast(_NO_ERRORS)))
-    if isinstance(dt, T.ArrayType):
-        items = F.coalesce(F.when(kind == "list", F.try_variant_get(v, "$", "array<variant>")), F.array().cast("array<variant>"))
-        errs = F.flatten(F.transform(items, lambda x, i: _field_errors(x, dt.elementType, F.concat(name, F.lit("["), i.cast("string"), F.lit("]")))))
-        parts.append(errs)
-    return F.filter(F.concat(*parts), lambda e: e.isNotNull())
+        return _none()
+
+    def check(s):
+        t = F.substring_index(s, "<", 1)
+        fits = s.isNull() | t.isin("VOID", *_ACCEPTED[want])
+        if want == "number":
+            fits = fits | t.startswith("DECIMAL")
+        kind = F.lit("float")
+        for k, n in _KIND_NAMES.items():
+            kind = F.when(t == k, n).otherwise(kind)
+        wrong = F.array(F.concat(F.lit("Field '"), name, F.lit("' has type "), kind, F.lit(f", expected {want}")))
+        out = F
+        if isinstance(dt, T.StructType):
+            path = F.concat(name, F.lit("."))
+            inner = _missing(v, dt, path) + [_field_errors(_get(v, f.name), f.dataType, F.concat(path, F.lit(f.name))) for f in dt.fields]
+            out = out.when(t == "OBJECT", F.concat(*inner))
+        if isinstance(dt, T.ArrayType):
+            item = json_type(dt.elementType)
+            clean = ["ARRAY<VOID>"] + [f"ARRAY<{a}>" for a in _ACCEPTED.get(item, []) if a not in ("ARRAY", "OBJECT")]
+            items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: _field_errors(
+                x, dt.elementType, F.concat(name, F.lit("["), i.cast("string"), F.lit("]"))))
+            out = out.when(s.isin(clean), _none()).when(t == "ARRAY", F.flatten(items))
+        return out.when(fits, _none()).otherwise(wrong)
+
+    return let(F.schema_of_variant(v), check)
 
 
 def validation_errors(data, template: Template) -> Column:
     """Error messages of a JSON answer against a template, required fields first."""
-    v = F.try_parse_json(_c(data))
     st = template.schema
-    groups = [F.array(*_missing(v, st, F.lit("")))] if template.required else []
-    groups += [_field_errors(_get(v, f.name), f.dataType, F.lit(f.name)) for f in st.fields]
-    errors = F.filter(F.concat(*groups), lambda e: e.isNotNull())
-    return F.when(_kind(v) == "dict", errors).otherwise(F.array(F.lit("Expected top-level JSON object")))
+
+    def member(v, f):
+        return let(_get(v, f.name), lambda x: _field_errors(x, f.dataType, F.lit(f.name)))
+
+    def check(v):
+        groups = _missing(v, st, F.lit("")) + [member(v, f) for f in st.fields]
+        return F.when(_is_object(data, v), F.concat(*groups)).otherwise(F.array(F.lit("Expected top-level JSON object")))
+
+    return let(F.try_parse_json(_c(data)), check)
 
 
 def schema_confidence(data, template: Template, errors=None) -> Column:
     """0.75 x share of required + 0.15 x share of optional fields - 0.12 per error (at most
     0.5), within [0, 1]; 0.2 for anything that is not an object."""
-    v = F.try_parse_json(_c(data))
     st = template.schema
     need = [f.name for f in st.fields if not f.nullable]
     free = [f.name for f in st.fields if f.nullable]
-
-    def filled(names):
-        return reduce(lambda a, b: a + b, [F.when(_present(_get(v, n)), 1).otherwise(0) for n in names], F.lit(0))
-
-    req = filled(need) / F.lit(float(len(need))) if need else F.lit(1.0)
-    opt = filled(free) / F.lit(float(max(len(free), 1)))
     n = F.size(_c(errors) if errors is not None else validation_errors(data, template))
     penalty = F.least(n * F.lit(0.12), F.lit(0.5))
-    value = F.least(F.greatest(req * 0.75 + opt * 0.15 - penalty, F.lit(0.0)), F.lit(1.0))
-    return F.when(_kind(v) == "dict", value).otherwise(0.2)
+
+    def base(v):
+        def filled(names):
+            return reduce(lambda a, b: a + b, [_present(v, n).cast("int") for n in names], F.lit(0))
+
+        req = filled(need) / F.lit(float(len(need))) if need else F.lit(1.0)
+        opt = filled(free) / F.lit(float(max(len(free), 1)))
+        return F.when(_is_object(data, v), req * 0.75 + opt * 0.15)
+
+    def clamp(points):
+        return F.when(points.isNull(), 0.2).otherwise(F.least(F.greatest(points - penalty, F.lit(0.0)), F.lit(1.0)))
+
+    return let(let(F.try_parse_json(_c(data)), base), clamp)
 
 
 def typed_confidence(errors) -> Column:

@@ -61,7 +61,8 @@ def chunks(docs: DataFrame, doc_id: str, text: str, size: int = fixed.CHUNK_CHAR
                 pos += range(len(parts))
                 tot += [len(parts)] * len(parts)
                 out += parts
-            yield pd.DataFrame({doc_id: ids, "chunk_index": pos, "total_chunks": tot, "chunk": out})
+            if ids:
+                yield pd.DataFrame({doc_id: ids, "chunk_index": pos, "total_chunks": tot, "chunk": out})
 
     return docs.select(doc_id, text).mapInPandas(
         split, f"`{doc_id}` {id_type}, chunk_index int, total_chunks int, chunk string")
@@ -198,7 +199,8 @@ def nearest(items: DataFrame, queries: DataFrame, item_id: str, query_id: str, v
                     near = np.nonzero(sims[row] >= bound)[0]
                     best[row] = heapq.nsmallest(n, heap + [(-sims[row, i], names[i]) for i in near])
             out = [(ids[i], name, -s) for i, heap in enumerate(best) for s, name in heap]
-            yield pd.DataFrame(out, columns=[query_id, item_id, "similarity"])
+            if out:
+                yield pd.DataFrame(out, columns=[query_id, item_id, "similarity"])
 
         parts.append(source.mapInPandas(scan, schema))
         if len(page) < batch_queries:

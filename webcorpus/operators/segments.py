@@ -178,6 +178,8 @@ def fold(
 
     def emit(pdf: pd.DataFrame) -> pd.DataFrame:
         _, out = run(pdf)
+        if not out:
+            return pd.DataFrame()
         frame = pd.DataFrame(out, columns=list(out_fields))
         return frame.astype({n: t for n, t in out_fields.items() if t})
 

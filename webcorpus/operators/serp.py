@@ -58,7 +58,8 @@ def results(pages: DataFrame, engine: str, page_id: str = "page_id", html: str =
                         continue
                     t, s = (_pick(b, e.title) or a), _pick(b, e.snippet)
                     rows.append((pid, pos, a.attrs["href"], t.text(" ", strip=True), s.text(" ", strip=True) if s else ""))
-            yield pd.DataFrame(rows, columns=[page_id, "pos", "href", "title", "snippet"])
+            if rows:
+                yield pd.DataFrame(rows, columns=[page_id, "pos", "href", "title", "snippet"])
 
     raw = pages.select(page_id, html).mapInPandas(
         blocks, f"`{page_id}` {id_type}, pos int, href string, title string, snippet string")

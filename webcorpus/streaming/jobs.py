@@ -100,9 +100,8 @@ def breaker(outcomes: DataFrame, threshold=fixed.FAILURE_THRESHOLD, recovery=fix
         current, out = advance(_load(state, BREAKER_START), _batch(frames, ["event_us", "kind", "call_id"]).to_dict("records"))
         state.update((json.dumps(current),))
         cols = ["host", "call_id", "event_us", "kind", "admitted", "state", "since_us", "run"]
-        frame = pd.DataFrame(out, columns=cols)
-        frame["since_us"] = frame["since_us"].astype("Int64")
-        yield frame
+        if out:
+            yield pd.DataFrame(out, columns=cols).astype({"since_us": "Int64"})
 
     return _stateful(events, "host",
                      "host string, call_id long, event_us long, kind string, admitted boolean, state string, since_us long, run long", step)
