@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from . import fixed
+from .bind import let
 from .text import collapse_space, strip_space
 
 
@@ -136,11 +137,20 @@ def _element(h: Column, tag: str) -> Column:
 
 def main_content(html) -> Column:
     """First of main, article, role=main, body; else the page."""
-    h = without_code(html)
-    role = _nullif_empty(
-        F.regexp_extract(h, r"""(?is)(<([a-z0-9]+)\b[^>]*\brole\s*=\s*["']?main\b[^>]*>.*?</\2\s*>)""", 1)
-    )
-    return F.coalesce(_element(h, "main"), _element(h, "article"), role, _element(h, "body"), h)
+    role = r"""(?is)(<([a-z0-9]+)\b[^>]*\brole\s*=\s*["']?main\b[^>]*>.*?</\2\s*>)"""
+
+    def pick(h):
+        # the cheap substring test spares pages without the element the pattern
+        low = F.lower(h)
+        return F.coalesce(
+            F.when(low.contains("<main"), _element(h, "main")), F.when(low.contains("<article"), _element(h, "article")),
+            F.when(low.contains("role"), _nullif_empty(F.regexp_extract(h, role, 1))), _element(h, "body"), h)
+
+    return let(without_code(html), pick)
+
+
+def body_content(html) -> Column:
+    return let(without_code(html), lambda h: F.coalesce(_element(h, "body"), h))
 
 
 def without_noise_tags(html) -> Column:
@@ -172,7 +182,7 @@ def without_noise_classes(html) -> Column:
 
 def clean_content(html, only_main: bool = True) -> Column:
     """Content element without page furniture."""
-    h = main_content(html) if only_main else F.coalesce(_element(without_code(html), "body"), without_code(html))
+    h = main_content(html) if only_main else body_content(html)
     return without_noise_classes(without_noise_tags(h))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import fixed
+from .bind import let
 
 
 def _c(x) -> Column:
@@ -78,8 +79,6 @@ def sentence_set(text) -> Column:
 
 def sentence_changes(old, new) -> Column:
     """Sorted added, then sorted removed sentences, first 50."""
-    o, n = sentence_set(old), sentence_set(new)
-
     def side(a, b, label):
         long_ones = F.filter(F.array_except(a, b), lambda s: F.length(s) > fixed.DIFF_MIN_CHARS)
         return F.transform(
@@ -87,7 +86,9 @@ def sentence_changes(old, new) -> Column:
             lambda s: F.concat(F.lit(label), F.substring(s, 1, fixed.DIFF_SENTENCE_CHARS)),
         )
 
-    return F.slice(F.concat(side(n, o, "+ Added: "), side(o, n, "- Removed: ")), 1, fixed.DIFF_MAX_CHANGES)
+    both = F.struct(sentence_set(old).alias("o"), sentence_set(new).alias("n"))
+    return let(both, lambda x: F.slice(
+        F.concat(side(x["n"], x["o"], "+ Added: "), side(x["o"], x["n"], "- Removed: ")), 1, fixed.DIFF_MAX_CHANGES))
 
 
 def words(text) -> Column:
@@ -97,42 +98,51 @@ def words(text) -> Column:
     )
 
 
-def _matched(content: Column, question: Column) -> tuple[Column, Column]:
-    w = words(question)
-    return F.size(F.filter(w, lambda x: content.contains(x))).cast("double"), F.size(w).cast("double")
+def _matched(content, question, score) -> Column:
+    """``score(x)`` over body, question, number of matching words and number of words."""
+    sides = F.struct(F.lower(_c(content)).alias("body"), F.lower(_c(question)).alias("q"), words(question).alias("w"))
+    counted = let(sides, lambda x: F.struct(
+        x["body"].alias("body"), x["q"].alias("q"), F.size(x["w"]).cast("double").alias("n"),
+        F.size(F.filter(x["w"], lambda w: x["body"].contains(w))).cast("double").alias("hit")))
+    return let(counted, score)
 
 
 def relevance(content, question) -> Column:
     """Share of question words in the content, plus phrase and length bonuses, at most 1."""
-    body, q = F.lower(_c(content)), F.lower(_c(question))
-    hit, n = _matched(body, q)
-    share = hit / n
-    phrase = F.when(body.contains(q), F.least(F.lit(1.0), share + 0.3)).otherwise(share)
-    bonus = F.least(F.lit(0.1), F.length(_c(content)) / F.lit(50000.0))
-    return F.when(n == 0, F.lit(0.5)).otherwise(F.least(F.lit(1.0), phrase + bonus))
+
+    def score(x):
+        share = x["hit"] / x["n"]
+        phrase = F.when(x["body"].contains(x["q"]), F.least(F.lit(1.0), share + 0.3)).otherwise(share)
+        bonus = F.least(F.lit(0.1), F.length(_c(content)) / F.lit(50000.0))
+        return F.when(x["n"] == 0, F.lit(0.5)).otherwise(F.least(F.lit(1.0), phrase + bonus))
+
+    return _matched(content, question, score)
 
 
 def word_overlap(content, query) -> Column:
     """Share of query words in the content, 0 for an empty side."""
-    hit, n = _matched(F.lower(_c(content)), _c(query))
-    empty = F.coalesce(_c(content), F.lit("")).eqNullSafe("") | F.coalesce(_c(query), F.lit("")).eqNullSafe("")
-    return F.when(empty | (n == 0), F.lit(0.0)).otherwise(F.least(hit / n, F.lit(1.0)))
+
+    def score(x):
+        empty = (F.coalesce(x["body"], F.lit("")) == "") | (F.coalesce(x["n"], F.lit(0.0)) == 0)
+        return F.when(empty, F.lit(0.0)).otherwise(F.least(x["hit"] / x["n"], F.lit(1.0)))
+
+    return _matched(content, query, score)
 
 
 def relevant_quote(content, question) -> Column:
     """Sentence sharing most words with the question (first on ties), at most 500 chars."""
     body = _c(content)
-    q = words(question)
-    sentences = F.filter(
-        F.transform(F.split(body, r"[.!?]+"), strip_space), lambda s: F.length(s) > 30
-    )
-    scored = F.transform(
-        sentences,
-        lambda s, i: F.struct(F.size(F.array_intersect(q, words(s))).alias("n"), (-i).alias("p"), s.alias("s")),
-    )
-    best = F.array_max(scored).getField("s")
+    sentences = F.filter(F.transform(F.split(body, r"[.!?]+"), strip_space), lambda s: F.length(s) > 30)
+
+    def best(q):
+        scored = F.transform(
+            sentences,
+            lambda s, i: F.struct(F.size(F.array_intersect(q, words(s))).alias("n"), (-i).alias("p"), s.alias("s")),
+        )
+        return F.array_max(scored).getField("s")
+
     return F.when(F.coalesce(body, F.lit("")) == "", F.lit("")).otherwise(
-        F.substring(F.coalesce(best, body), 1, 500)
+        F.substring(F.coalesce(let(words(question), best), body), 1, 500)
     )
 
 

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fixed
+from .bind import let
 
 # scheme, authority, path, query and fragment as in RFC 3986 appendix B
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -18,15 +19,6 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def let(value: Column, fn) -> Column:
-    """``fn(value)`` with the value computed once.
-
-    Spark inlines a column wherever it is used; expressions that use an inner result many
-    times would otherwise repeat its regular expressions and outgrow generated code.
-    """
-    return F.element_at(F.transform(F.array(value), fn), 1)
-
-
 def parts(url) -> Column:
     """[scheme, authority, path, query, fragment] by a single match."""
     return F.split(F.regexp_replace(_c(url), _PARTS, "$1\u0000$2\u0000$3\u0000$4\u0000$5"), "\u0000")

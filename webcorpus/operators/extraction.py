@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions import fixed, text as X
-from ..functions.urls import let
+from ..functions.bind import let
 from .segments import top_k
 from .templates import REGISTRY, Template, json_schema, json_type
 

@@ -40,7 +40,7 @@ def reach(edge_table: DataFrame, start: DataFrame | str, max_depth: int = 3, lim
     """
     spark = edge_table.sparkSession
     if isinstance(start, str):
-        start = spark.createDataFrame([(start,)], "url string")
+        start = spark.range(1).select(F.lit(start).alias("url"))
     seen = cut_lineage(start.select("url").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     adjacency = edge_table.select("source", "target")
@@ -128,7 +128,7 @@ def crawl(
         pages.select(U.normalize_url("url").alias("norm"), F.col("url").alias("stored_url"), "status", "error",
                      F.when(text != "", content_hash("markdown")).alias("_text_hash")),
         ["norm"], [F.col("stored_url")], 1))
-    seed = spark.createDataFrame([(start_url,)], "url string")
+    seed = spark.range(1).select(F.lit(start_url).alias("url"))
     base = U.netloc(F.lit(start_url))
     prefix = F.lit("/") if allow_backward else F.regexp_replace(U.path(F.lit(start_url)), r"/+$", "")
 

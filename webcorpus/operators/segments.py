@@ -142,50 +142,76 @@ def fold(
     until no segment holds more than about ``target_rows`` rows.
     """
     width = segment_width(df, [key], order, width, target_rows)
-    seg = cut_lineage(with_segment(df, order, width))
     start_text = json.dumps(initial, sort_keys=True)
-    sort_cols = [order, *(ties or [])]
-    in_cols = [c for c in df.columns]
-
-    def run(pdf: pd.DataFrame):
-        rows = pdf.sort_values(sort_cols)
-        entry = json.loads(rows["_entry"].iloc[0])
-        return step(entry, rows[in_cols].to_dict("records"))
+    in_cols, sort_cols = list(df.columns), [order, *(ties or [])]
+    key_type = df.schema[key].dataType.simpleString()
 
-    def end_state(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, _ = run(pdf)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], SEG: [pdf[SEG].iloc[0]],
-                             "_entry": [pdf["_entry"].iloc[0]],
-                             "_exit": [json.dumps(state, sort_keys=True)]})
+    def groups(batches):
+        """(key, segment, entry state, rows) of consecutive rows, cut at batch ends."""
+        for pdf in batches:
+            marks = list(zip(pdf[key], pdf[SEG]))
+            values = list(zip(*(pdf[c].tolist() for c in in_cols)))
+            entries = pdf["_entry"].tolist()
+            begin = 0
+            for i in range(1, len(marks) + 1):
+                if i == len(marks) or marks[i] != marks[begin]:
+                    yield marks[begin], entries[begin], [dict(zip(in_cols, v)) for v in values[begin:i]]
+                    begin = i
+
+    def runs(batches):
+        """(mark, entry, state, output) with the state carried over batch ends of a segment."""
+        last, state = None, None
+        for mark, entry, rows in groups(batches):
+            state = json.loads(entry) if mark != last else state
+            last = mark
+            state, out = step(state, rows)
+            yield mark, entry, state, out
+
+    def end_states(batches):
+        done = {}
+        for mark, entry, state, _ in runs(batches):
+            done[mark] = (*mark, entry, json.dumps(state, sort_keys=True))
+            if len(done) > 5000:
+                # all but the segment under way are complete
+                current = done.pop(mark)
+                yield pd.DataFrame(list(done.values()), columns=[key, SEG, "_entry", "_exit"])
+                done = {mark: current}
+        if done:
+            yield pd.DataFrame(list(done.values()), columns=[key, SEG, "_entry", "_exit"])
+
+    def emit(batches):
+        held = []
+        for _, _, _, out in runs(batches):
+            held += out
+            if len(held) > 5000:
+                yield frame(held)
+                held = []
+        if held:
+            yield frame(held)
+
+    def frame(rows):
+        return pd.DataFrame(rows, columns=list(out_fields)).astype({n: t for n, t in out_fields.items() if t})
+
+    def scan(rows: DataFrame, fn, schema: str) -> DataFrame:
+        """Rows of a segment together and in order; workers stream them batch by batch."""
+        return rows.repartition(key, SEG).sortWithinPartitions(key, SEG, *sort_cols).mapInPandas(fn, schema)
 
-    key_type = df.schema[key].dataType.simpleString()
+    seg = with_segment(df, order, width)
+    if width == _WHOLE:
+        return scan(seg.withColumn("_entry", F.lit(start_text)), emit, output)
+    seg = cut_lineage(seg)
     state_schema = f"`{key}` {key_type}, {SEG} long, _entry string, _exit string"
-    states = cut_lineage(
-        seg.withColumn("_entry", F.lit(start_text)).groupBy(key, SEG).applyInPandas(end_state, state_schema)
-    )
+    states = cut_lineage(scan(seg.withColumn("_entry", F.lit(start_text)), end_states, state_schema))
     w = W.partitionBy(key).orderBy(SEG)
     while True:
         linked = states.withColumn("_want", F.coalesce(F.lag("_exit").over(w), F.lit(start_text)))
         stale = linked.filter(F.col("_want") != F.col("_entry"))
         if stale.isEmpty():
             break
-        redo = (
-            seg.join(stale.select(key, SEG, F.col("_want").alias("_entry")), [key, SEG])
-            .groupBy(key, SEG).applyInPandas(end_state, state_schema)
-        )
+        redo = scan(seg.join(stale.select(key, SEG, F.col("_want").alias("_entry")), [key, SEG]), end_states, state_schema)
         kept = linked.filter(F.col("_want") == F.col("_entry")).select(key, SEG, "_entry", "_exit")
         states = cut_lineage(kept.unionByName(redo))
-
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, out = run(pdf)
-        if not out:
-            return pd.DataFrame()
-        frame = pd.DataFrame(out, columns=list(out_fields))
-        return frame.astype({n: t for n, t in out_fields.items() if t})
-
-    return (
-        seg.join(states.select(key, SEG, "_entry"), [key, SEG]).groupBy(key, SEG).applyInPandas(emit, output)
-    )
+    return scan(seg.join(states.select(key, SEG, "_entry"), [key, SEG]), emit, output)
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str | None = None,

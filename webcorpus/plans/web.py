@@ -321,8 +321,7 @@ _BODY = f"coalesce({q.element(q.no_code('html'), 'body')}, {q.no_code('html')})"
 
 @query("d11_noise_tags", sql=f"SELECT page_id, sha256({q.no_noise_tags(_BODY)}) AS h FROM pages")
 def _(t):
-    body = F.coalesce(H._element(H.without_code("html"), "body"), H.without_code("html"))
-    return t("pages").select("page_id", F.sha2(H.without_noise_tags(body), 256).alias("h"))
+    return t("pages").select("page_id", F.sha2(H.without_noise_tags(H.body_content("html")), 256).alias("h"))
 
 
 _CLASS = "replace(lower(event_type), 'view', 'ad') || CASE event_id % 4 WHEN 0 THEN '-slot' WHEN 1 THEN '_top main-nav' WHEN 2 THEN 'header' ELSE ' lead mysidenav' END"
