@@ -12,8 +12,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+_BLANKS = r"(?U)\s+"
+
+
 def collapse_space(text) -> Column:
-    return F.regexp_replace(_c(text), r"(?U)\s+", " ")
+    return F.regexp_replace(_c(text), _BLANKS, " ")
 
 
 # every character that counts as white space at the ends of a text
@@ -94,7 +97,7 @@ def sentence_changes(old, new) -> Column:
 def words(text) -> Column:
     """Distinct lower-cased words split on white space."""
     return F.array_distinct(
-        F.filter(F.split(F.lower(_c(text)), r"(?U)\s+"), lambda w: w != "")
+        F.filter(F.split(F.lower(_c(text)), _BLANKS), lambda w: w != "")
     )
 
 
@@ -155,7 +158,7 @@ def first_paragraph(markdown, max_length: int = 300) -> Column:
 
 def long_words(text, min_len: int = 5, first: int = 3) -> Column:
     """Words longer than four characters, first three, with their case."""
-    parts = F.filter(F.split(_c(text), r"(?U)\s+"), lambda w: F.length(w) >= min_len)
+    parts = F.filter(F.split(_c(text), _BLANKS), lambda w: F.length(w) >= min_len)
     return F.slice(parts, 1, first)
 
 
