@@ -10,12 +10,31 @@ from pyspark.sql import types as T
 from ..functions import fixed
 
 
+_SIMPLE = {"string": T.StringType(), "integer": T.LongType(), "number": T.DoubleType(), "boolean": T.BooleanType()}
+
+
+def spark_type(shape) -> T.DataType:
+    """Spark type of a shape: a type name, ``[item]``, ``{}`` for free keys, or a record whose
+    required fields end in ``!``."""
+    if isinstance(shape, str):
+        return _SIMPLE[shape]
+    if isinstance(shape, list):
+        return T.ArrayType(spark_type(shape[0]))
+    if not shape:
+        return T.MapType(T.StringType(), T.StringType())
+    return T.StructType([T.StructField(k.rstrip("!"), spark_type(v), not k.endswith("!")) for k, v in shape.items()])
+
+
 @dataclass(frozen=True)
 class Template:
-    """A named record type for extraction. ``NOT NULL`` in the DDL marks required fields."""
+    """A named record type for extraction: a shape, a Spark struct or DDL text.
+
+    Required fields are the non-nullable ones, or those listed in ``need``.
+    """
 
     name: str
-    ddl: str
+    record: dict | T.StructType | str
+    need: list[str] | None = None
     task: str = ""
     guide: dict[str, str] = field(default_factory=dict)
     max_page_chars: int = fixed.PAGE_CHARS
@@ -23,7 +42,11 @@ class Template:
 
     @property
     def schema(self) -> T.StructType:
-        return T.StructType.fromDDL(self.ddl)
+        r = self.record
+        st = T.StructType.fromDDL(r) if isinstance(r, str) else r if isinstance(r, T.StructType) else spark_type(r)
+        if self.need is None:
+            return st
+        return T.StructType([T.StructField(f.name, f.dataType, f.name not in self.need) for f in st.fields])
 
     @property
     def required(self) -> list[str]:
@@ -32,55 +55,72 @@ class Template:
 
 # ---- fixed values: field names, types, required fields and merge rules of the templates ----
 _BUILT_IN = [
-    Template("product", """
-        product_name STRING NOT NULL, brand STRING, price STRING NOT NULL, original_price STRING, currency STRING,
-        availability STRING, rating DOUBLE, review_count BIGINT, description STRING, features ARRAY<STRING>,
-        specifications MAP<STRING, STRING>, images ARRAY<STRING>, category STRING, sku STRING, url STRING""",
+    Template("product", {
+        "product_name": "string", "brand": "string", "price": "string", "original_price": "string",
+        "currency": "string", "availability": "string", "rating": "number", "review_count": "integer",
+        "description": "string", "features": ["string"], "specifications": {}, "images": ["string"],
+        "category": "string", "sku": "string", "url": "string",
+    }, ["product_name", "price"],
         "Collect the facts about the product sold on this page; keep currency symbols in prices.",
         {"price": "number next to a currency symbol", "rating": "mean score as a bare number",
          "availability": "stock or order button wording", "features": "bullet list of the product"}),
-    Template("article", """
-        title STRING NOT NULL, author STRING, published_date STRING, summary STRING, content STRING NOT NULL,
-        tags ARRAY<STRING>, category STRING, reading_time_minutes BIGINT, url STRING, word_count BIGINT""",
+    Template("article", {
+        "title": "string", "author": "string", "published_date": "string", "summary": "string", "content": "string",
+        "tags": ["string"], "category": "string", "reading_time_minutes": "integer", "url": "string",
+        "word_count": "integer",
+    }, ["title", "content"],
         "Collect the text and the publication facts of this article.",
         {"published_date": "date line near the headline", "author": "byline", "content": "body text without comments"}),
-    Template("job_posting", """
-        job_title STRING NOT NULL, company STRING NOT NULL, location STRING, remote_status STRING, salary STRING,
-        employment_type STRING, description STRING, requirements ARRAY<STRING>, nice_to_have ARRAY<STRING>,
-        benefits ARRAY<STRING>, application_url STRING, posted_date STRING, url STRING""",
+    Template("job_posting", {
+        "job_title": "string", "company": "string", "location": "string", "remote_status": "string",
+        "salary": "string", "employment_type": "string", "description": "string", "requirements": ["string"],
+        "nice_to_have": ["string"], "benefits": ["string"], "application_url": "string", "posted_date": "string",
+        "url": "string",
+    }, ["job_title", "company"],
         "Collect the facts of this vacancy; keep must-have and optional skills apart."),
-    Template("real_estate", """
-        property_type STRING, price STRING NOT NULL, currency STRING, address STRING NOT NULL, city STRING, state STRING,
-        zip_code STRING, country STRING, bedrooms BIGINT, bathrooms DOUBLE, square_feet BIGINT, lot_size STRING,
-        year_built BIGINT, description STRING, features ARRAY<STRING>, images ARRAY<STRING>, listing_agent STRING,
-        agent_phone STRING, url STRING, status STRING""",
+    Template("real_estate", {
+        "property_type": "string", "price": "string", "currency": "string", "address": "string", "city": "string",
+        "state": "string", "zip_code": "string", "country": "string", "bedrooms": "integer", "bathrooms": "number",
+        "square_feet": "integer", "lot_size": "string", "year_built": "integer", "description": "string",
+        "features": ["string"], "images": ["string"], "listing_agent": "string", "agent_phone": "string",
+        "url": "string", "status": "string",
+    }, ["price", "address"],
         "Collect the facts of this property listing."),
-    Template("person", """
-        name STRING NOT NULL, title STRING, organization STRING, email STRING, phone STRING, linkedin STRING,
-        twitter STRING, bio STRING, expertise ARRAY<STRING>, education ARRAY<STRING>, image_url STRING""",
+    Template("person", {
+        "name": "string", "title": "string", "organization": "string", "email": "string", "phone": "string",
+        "linkedin": "string", "twitter": "string", "bio": "string", "expertise": ["string"], "education": ["string"],
+        "image_url": "string",
+    }, ["name"],
         "Collect the profile facts of the person on this page."),
-    Template("event", """
-        event_name STRING NOT NULL, organizer STRING, start_date STRING, end_date STRING, location STRING, venue STRING,
-        description STRING, ticket_price STRING, registration_url STRING, speakers ARRAY<STRING>, topics ARRAY<STRING>,
-        format STRING, url STRING""",
+    Template("event", {
+        "event_name": "string", "organizer": "string", "start_date": "string", "end_date": "string",
+        "location": "string", "venue": "string", "description": "string", "ticket_price": "string",
+        "registration_url": "string", "speakers": ["string"], "topics": ["string"], "format": "string",
+        "url": "string",
+    }, ["event_name"],
         "Collect the facts of this event; dates as ISO 8601."),
-    Template("review", """
-        overall_rating DOUBLE NOT NULL, total_reviews BIGINT,
-        reviews ARRAY<STRUCT<author: STRING, rating: DOUBLE, date: STRING, title: STRING, body: STRING, verified: BOOLEAN>>,
-        pros ARRAY<STRING>, cons ARRAY<STRING>, url STRING""",
+    Template("review", {
+        "overall_rating": "number", "total_reviews": "integer",
+        "reviews": [{"author": "string", "rating": "number", "date": "string", "title": "string", "body": "string", "verified": "boolean"}],
+        "pros": ["string"], "cons": ["string"], "url": "string",
+    }, ["overall_rating"],
         "Collect every review on this page with its score.", merge="list"),
-    Template("faq", """
-        faq_items ARRAY<STRUCT<question: STRING NOT NULL, answer: STRING NOT NULL, category: STRING>> NOT NULL, url STRING""",
+    Template("faq", {
+        "faq_items": [{"question!": "string", "answer!": "string", "category": "string"}], "url": "string",
+    }, ["faq_items"],
         "Collect every question with its answer.", merge="merge"),
-    Template("recipe", """
-        recipe_name STRING NOT NULL, author STRING, description STRING, prep_time STRING, cook_time STRING,
-        total_time STRING, servings STRING, difficulty STRING, ingredients ARRAY<STRING> NOT NULL,
-        instructions ARRAY<STRING> NOT NULL, nutrition MAP<STRING, STRING>, tags ARRAY<STRING>, cuisine STRING,
-        diet ARRAY<STRING>, image_url STRING, url STRING""",
+    Template("recipe", {
+        "recipe_name": "string", "author": "string", "description": "string", "prep_time": "string",
+        "cook_time": "string", "total_time": "string", "servings": "string", "difficulty": "string",
+        "ingredients": ["string"], "instructions": ["string"], "nutrition": {}, "tags": ["string"],
+        "cuisine": "string", "diet": ["string"], "image_url": "string", "url": "string",
+    }, ["recipe_name", "ingredients", "instructions"],
         "Collect the recipe with amounts and units."),
-    Template("research_paper", """
-        title STRING NOT NULL, authors ARRAY<STRING>, abstract STRING, publication_date STRING, journal STRING, doi STRING,
-        arxiv_id STRING, keywords ARRAY<STRING>, citations_count BIGINT, pdf_url STRING, url STRING""",
+    Template("research_paper", {
+        "title": "string", "authors": ["string"], "abstract": "string", "publication_date": "string",
+        "journal": "string", "doi": "string", "arxiv_id": "string", "keywords": ["string"],
+        "citations_count": "integer", "pdf_url": "string", "url": "string",
+    }, ["title"],
         "Collect the bibliographic facts of this paper."),
 ]
 # ---- end of fixed values -------------------------------------------------------------------
@@ -90,10 +130,7 @@ REGISTRY: dict[str, Template] = {t.name: t for t in _BUILT_IN}
 
 def register_template(name: str, schema: T.StructType | str, required: list[str] | None = None, **kw) -> Template:
     """Add a user-defined record type; ``required`` overrides the nullability of top fields."""
-    st = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    if required is not None:
-        st = T.StructType([T.StructField(f.name, f.dataType, f.name not in required) for f in st.fields])
-    REGISTRY[name] = t = Template(name, st.toDDL(), **kw)
+    REGISTRY[name] = t = Template(name, schema, required, **kw)
     return t
 
 

@@ -11,11 +11,4 @@ def queries():
 
 
 def oracle_sql():
-    """SQL twins. The template texts need Spark's type parser, which needs a session."""
-    from pyspark.sql import SparkSession
-
-    out = dict(ORACLE)
-    if SparkSession.getActiveSession() is None:
-        SparkSession.builder.getOrCreate()
-    out.update({k: build() for k, build in research._LAZY.items()})
-    return out
+    return dict(ORACLE)

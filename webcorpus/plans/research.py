@@ -242,13 +242,9 @@ def _register_templates():
             s = Ex.score_answers(t("part").select(F.col("p_partkey").alias("id"), _record().alias("answer")), get_template(name))
             return s.select("id", F.size("errors").alias("errors"), F.round("confidence", 6).alias("confidence"))
 
-        key = f"l{15 + i}_template_{name}"
-        query(key)(run)
-        _LAZY[key] = lambda name=name: _template_sql(name)
+        query(f"l{15 + i}_template_{name}", sql=_template_sql(name))(run)
 
 
-# template types are parsed by Spark, so these SQL texts are built on first use
-_LAZY: dict = {}
 _register_templates()
 
 
@@ -274,7 +270,7 @@ def _(t):
 def _(t):
     from ..operators.templates import Template
 
-    own = Template("own", T.StructType([T.StructField("maker", T.StringType(), False), T.StructField("size", T.LongType())]).toDDL())
+    own = Template("own", T.StructType([T.StructField("maker", T.StringType(), False), T.StructField("size", T.LongType())]))
     a = F.concat(F.lit("{"), F.when(F.col("p_partkey") % 2 == 1, F.concat(F.lit('"maker": "'), "p_brand", F.lit('", '))).otherwise(""), F.lit('"size": '), F.col("p_size").cast("string"), F.lit("}"))
     return t("part").select(F.col("p_partkey").alias("id"), F.array_join(Ex.validation_errors(a, own), "; ").alias("errors"))
 
