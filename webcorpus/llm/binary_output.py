@@ -45,8 +45,8 @@ def write_shards(docs: DataFrame, folder: str, model: str = "word_bpe_49k.json",
             ids, held, size, done = [], [], 0, done + size
 
         for b in batches:
-            doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at, run in by_bytes(texts, 1 << 19):
+            doc_ids = b.column(0).to_pylist()
+            for at, run in by_bytes(b.column(1), 1 << 19):
                 for k, x in enumerate(encoder.encode(run)):
                     ids.append(x + end)
                     held.append(doc_ids[at + k])

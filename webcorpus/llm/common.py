@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -44,19 +45,42 @@ def read_file(path: str) -> bytes:
         return f.read()
 
 
-def by_bytes(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts (None: empty) of about ``limit`` characters, each with the position of its first text."""
+def by_bytes(texts: pa.Array, limit: int = 1 << 20, rows: int = 256) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts (null: empty) of about ``limit`` characters, each with the position of its first text.
+
+    Only ``rows`` texts of the column become Python strings at a time.
+    """
     begin, size, run = 0, 0, []
-    for i, t in enumerate(texts):
-        run.append(t or "")
-        size += len(run[-1])
-        if size >= limit:
-            yield begin, run
-            begin, size, run = i + 1, 0, []
+    for at in range(0, len(texts), rows):
+        for i, t in enumerate(texts.slice(at, rows).to_pylist(), at):
+            run.append(t or "")
+            size += len(run[-1])
+            if size >= limit:
+                yield begin, run
+                begin, size, run = i + 1, 0, []
     if run:
         yield begin, run
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Whole texts go to Python in Arrow batches of fewer rows while the jobs inside run."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def each_row(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[tuple]:
+    """Rows as tuples; only ``rows`` of them become Python values at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield from zip(*(c.slice(at, rows).to_pylist() for c in b.columns))
+
+
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 

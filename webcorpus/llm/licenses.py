@@ -121,7 +121,7 @@ def scan_licences(docs: DataFrame, sentences: dict[str, str] | None = None, rule
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, rows = b.column(0).to_pylist(), []
-            for at, run in by_bytes(b.column(1).to_pylist()):
+            for at, run in by_bytes(b.column(1)):
                 for i, t in enumerate(run):
                     found = identify(t, known)
                     rows.append((ids[at + i], len(found), ", ".join(x for x, _, _ in match([n for _, n in found], ordered)), found[0][0] if found else None))

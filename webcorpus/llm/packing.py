@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import batch, by_bytes, crc32_of
+from .common import batch, by_bytes, crc32_of, each_row
 from .shingles import mix
 from .tokens import WordEncoder, tokenizer_path
 
@@ -111,7 +111,7 @@ def encode_documents(docs: DataFrame, model: str = "byte_bpe_50k.json", end_id:
         rank2 = mix(rank + np.uint64(1))
         for b in batches:
             ids, rows = b.column(0).to_pylist(), []
-            for at, run in by_bytes(b.column(1).to_pylist(), 1 << 19):
+            for at, run in by_bytes(b.column(1), 1 << 19):
                 for i, x in enumerate(encoder.encode(run)):
                     t = np.frombuffer(x + end, encoder.dtype)
                     look = int(rank[t].min() >> np.uint64(33)) << 32 | int(rank2[t].min() >> np.uint64(32))
@@ -141,11 +141,10 @@ def pack(docs: DataFrame, window: int = 1024, model: str = "byte_bpe_50k.json",
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(size, np.int64)
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                seen = np.zeros(size, bool)
-                seen[np.frombuffer(x, kind)] = True
-                df[np.flatnonzero(seen)] += 1
+        for x, in each_row(batches):
+            seen = np.zeros(size, bool)
+            seen[np.frombuffer(x, kind)] = True
+            df[np.flatnonzero(seen)] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["token", "df"])
 
@@ -179,14 +178,13 @@ def pack(docs: DataFrame, window: int = 1024, model: str = "byte_bpe_50k.json",
                 next_id += 1
             return batch(PIECES, list(zip(*rows)))
 
-        for b in batches:
-            for name, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                names.append(name)
-                held.append(np.frombuffer(x, kind))
-                tokens += len(held[-1])
-                if len(held) >= shard_docs or tokens >= shard_tokens:
-                    yield shard()
-                    held, names, tokens = [], [], 0
+        for name, x in each_row(batches):
+            names.append(name)
+            held.append(np.frombuffer(x, kind))
+            tokens += len(held[-1])
+            if len(held) >= shard_docs or tokens >= shard_tokens:
+                yield shard()
+                held, names, tokens = [], [], 0
         if held:
             yield shard()
 

@@ -7,6 +7,8 @@ import numpy as np
 #: Fixed odd multipliers; hashes only have to agree between tasks.
 BASE, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Bytes hashed at once.
+CHUNK = 1 << 20
 _powers: list[np.ndarray] = []
 
 
@@ -19,7 +21,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least ``n`` of each."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, CHUNK + 256)
         inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
         _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)], dtype=np.uint64) for b in (BASE, inverse)]
     return _powers[0], _powers[1]
@@ -36,9 +38,16 @@ def shingle_sets(texts: list[str | None], k: int = 5) -> list[np.ndarray]:
     word = ~_SPACE[data]
     edge = np.flatnonzero(np.diff(np.r_[False, word].view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    power, inverse = _tables(len(data) + 1)
-    total = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)], dtype=np.uint64)]
-    words = mix((total[ends] - total[starts]) * inverse[starts])
+    words = np.empty(len(starts), np.uint64)
+    # in pieces of whole words, so that the tables stay small whatever the length of a text
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + CHUNK)))
+        lo, hi = int(starts[at]), int(ends[to - 1])
+        power, inverse = _tables(hi - lo)
+        total = np.r_[np.uint64(0), np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * power[:hi - lo], dtype=np.uint64)]
+        words[at:to] = mix((total[ends[at:to] - lo] - total[starts[at:to] - lo]) * inverse[starts[at:to] - lo])
+        at = to
     first = np.searchsorted(starts, np.r_[0, np.cumsum(lengths)])
     rolled = np.zeros(max(0, len(words) - k + 1), np.uint64)
     for j in range(k):

@@ -25,8 +25,8 @@ def token_counts(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter(path, longest)
         for b in batches:
-            texts, tokens, sizes = b.column(1).to_pylist(), [], []
-            for _, run in by_bytes(texts, batch_chars):
+            tokens, sizes = [], []
+            for _, run in by_bytes(b.column(1), batch_chars):
                 tokens += counter.count(run)
                 sizes += [len(t.encode()) for t in run]
             yield batch(SCHEMA, [b.column(0), sizes, tokens])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import batch
+from .common import batch, by_bytes
 
 #: Insults, abuse and threats by language, one voter each list.
 LEXICONS = {
@@ -126,7 +126,7 @@ def vote_table(docs: DataFrame, voters: Voters) -> DataFrame:
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [voters.found(t) for t in b.column(1).to_pylist()]
+            found = [voters.found(t) for _, run in by_bytes(b.column(1)) for t in run]
             yield batch(FOUND, [b.column(0), found, [voters.votes(f) for f in found]])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(vote, "doc_id long, found array<int>, votes long")

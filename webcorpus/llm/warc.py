@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import batch, new_folder, read_file, write_file
+from .common import batch, each_row, new_folder, read_file, write_file
 
 #: Fixed values of the public seekable Zstandard format, and of WARC 1.1.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -132,13 +132,12 @@ def write_bundles(pages: DataFrame, folder: str, least: int = 1000, frame_bytes:
             files, rows, held, bundle = files + 1, held, [], Bundle(frame_bytes, level)
             return batch(INDEX, [[r[0] for r in rows], [r[1] for r in rows], [path] * len(rows), *([r[i] for r in rows] for i in (2, 3, 4))])
 
-        for b in batches:
-            for page_id, url, payload, dig, n, refers in zip(*(b.column(i).to_pylist() for i in range(6))):
-                ident = record_id(page_id, part, count)
-                count += 1
-                held.append((ident, page_id, *bundle.add(build_record(ident, page_id, url, payload, dig, n, refers, date))))
-                if bundle.packed >= file_bytes:
-                    yield close()
+        for page_id, url, payload, dig, n, refers in each_row(batches):
+            ident = record_id(page_id, part, count)
+            count += 1
+            held.append((ident, page_id, *bundle.add(build_record(ident, page_id, url, payload, dig, n, refers, date))))
+            if bundle.packed >= file_bytes:
+                yield close()
         if held:
             yield close()
 
