@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import batch, by_bytes, components
+from .common import batch, by_bytes, components, small_batches
 from .shingles import set_id, shingle_sets
 
 #: Bits of the table of shared shingles, of the table of their frequency classes, and of a set's sketch.
@@ -35,10 +35,10 @@ def _need(n1: Column, n2: Column, percent: int) -> Column:
     return F.ceil(percent * (n1 + n2) / F.lit(100 + percent)).cast("long")
 
 
-def shared_tables(docs: DataFrame, k: int, range_bits: int = 8) -> tuple[bytes, bytes]:
+def shared_tables(docs: DataFrame, k: int, range_bits: int = 8, flush_at: int = 1_000_000) -> tuple[bytes, bytes]:
     """Which shingles two sets may share (one bit by hash), and how frequent they are (a class by hash).
 
-    Tasks send the sorted distinct shingles of their documents, packed by hash range; a range is counted by one
+    Tasks send the sorted distinct shingles of their documents (``flush_at`` at a time), packed by hash range; a range is counted by one
     task. The tables have a fixed size and only order the shingles: a wrong bit costs a list entry, never a pair.
     """
     import zstandard
@@ -63,13 +63,13 @@ def shared_tables(docs: DataFrame, k: int, range_bits: int = 8) -> tuple[bytes,
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["r", "gaps", "counts"])
 
         for b in batches:
-            for _, run in by_bytes(b.column(0).to_pylist()):
+            for _, run in by_bytes(b.column(0)):
                 for s in shingle_sets(run, k):
                     if len(s) and (c := set_id(s)) not in seen:
                         seen.add(c)
                         held.append(s)
                         size += len(s)
-                if size >= 4_000_000:
+                if size >= flush_at:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -108,7 +108,7 @@ def file_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
         seen: set[int] = set()
         for b in batches:
             ids, rows = b.column(0).to_pylist(), []
-            for at, run in by_bytes(b.column(1).to_pylist()):
+            for at, run in by_bytes(b.column(1)):
                 for i, s in enumerate(shingle_sets(run, k)):
                     n, c, sketch, token, pos = len(s), set_id(s), None, [], []
                     if n and c not in seen:
@@ -160,7 +160,7 @@ def _overlaps(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) ->
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             wanted = b.column(0).to_pylist()
-            for at, run in by_bytes(b.column(1).to_pylist()):
+            for at, run in by_bytes(b.column(1)):
                 rows = [(c, s.view(np.int64)) for c, s in zip(wanted[at:], shingle_sets(run, k)) if set_id(s) == c]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["cls", "set"])
@@ -259,11 +259,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     they are one class and are not expanded. Equal rows each keep a row. A null doc_id is never the smallest
     unless all are null. Other columns are not read.
     """
+    with small_batches(docs.sparkSession):
+        return _components(docs, k, percent)
+
+
+def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sets = file_sets(docs, k, percent)
     classes = cut_lineage(sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("sketch").alias("sketch")))
-    entries = sets.where(F.size("token") > 0).select("cls", "n", F.explode(F.arrays_zip("token", "pos")).alias("e")).select(F.col("e.token").alias("token"), "cls", "n", F.col("e.pos").alias("pos"))
-    entries = entries.dropDuplicates(["token", "cls"])
-    several = entries.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("lead"), F.max("cls").alias("last")).where("lead.cls <> last")
+    entries = sets.where(F.size("token") > 0).select("cls", "n", F.element_at("pos", 1).alias("alone"), F.explode(F.arrays_zip("token", "pos")).alias("e"))
+    entries = entries.select(F.col("e.token").alias("token"), "cls", "n", F.col("e.pos").alias("pos"), "alone").dropDuplicates(["token", "cls"])
+    # the leader is the member with the fewest shingles of its own: the likeliest original of near copies
+    several = entries.groupBy("token").agg(F.min(F.struct("alone", "cls", "n")).alias("lead"), F.min("cls").alias("one"), F.max("cls").alias("last")).where("one <> last")
     lists = cut_lineage(entries.join(several, "token").select("token", "cls", "n", "pos", F.col("lead.cls").alias("lead"), F.col("lead.n").alias("lead_n")))
     sketches = classes.where("sketch is not null").select("cls", "sketch")
 
