@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
-from .common import batch, by_bytes, crc32_of, new_folder, read_file, write_file
+from .common import batch, by_bytes, crc32_of, new_folder, read_file, small_batches, write_file
 from .tokens import WordEncoder, tokenizer_path
 from .wavelet import dump, load
 
@@ -32,15 +32,15 @@ def write_shards(docs: DataFrame, folder: str, model: str = "word_bpe_49k.json",
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = WordEncoder(path), TaskContext.get().partitionId()
-        end = np.array([end_id], encoder.dtype).tobytes()
+        encoder, part = WordEncoder.shared(path), TaskContext.get().partitionId()
+        end = np.array([end_id], encoder.dtype)
         ids, held, size, done, rows = [], [], 0, 0, []
 
         def close() -> None:
             nonlocal ids, held, size, done
-            lengths = np.array([len(x) // encoder.dtype.itemsize for x in ids], np.int64)
+            lengths = np.array([len(x) for x in ids], np.int64)
             at = f"{folder}/part-{part:06d}-{len(rows):06d}.wvm"
-            write_file(at, dump(np.frombuffer(b"".join(ids), encoder.dtype), held, np.cumsum(lengths) - lengths))
+            write_file(at, dump(np.concatenate(ids), held, np.cumsum(lengths) - lengths))
             rows.append((part, len(rows), at, len(held), size, done))
             ids, held, size, done = [], [], 0, done + size
 
@@ -48,9 +48,9 @@ def write_shards(docs: DataFrame, folder: str, model: str = "word_bpe_49k.json",
             doc_ids = b.column(0).to_pylist()
             for at, run in by_bytes(b.column(1), 1 << 19):
                 for k, x in enumerate(encoder.encode(run)):
-                    ids.append(x + end)
+                    ids.append(np.r_[x, end])
                     held.append(doc_ids[at + k])
-                    size += len(ids[-1]) // encoder.dtype.itemsize
+                    size += len(ids[-1])
                     if size >= shard_tokens:
                         close()
         if held:
@@ -58,7 +58,8 @@ def write_shards(docs: DataFrame, folder: str, model: str = "word_bpe_49k.json",
         if rows:
             yield batch(MANIFEST, list(zip(*rows)))
 
-    manifest = cut_lineage(dealt.mapInArrow(write, "part long, shard long, path string, n_docs long, n_tokens long, inner_start long"))
+    with small_batches(docs.sparkSession):
+        manifest = cut_lineage(dealt.mapInArrow(write, "part long, shard long, path string, n_docs long, n_tokens long, inner_start long"))
     # one row per writing task
     parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

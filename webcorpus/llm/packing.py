@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import batch, by_bytes, crc32_of, each_row
+from .common import batch, by_bytes, crc32_of, each_row, small_batches
 from .shingles import mix
 from .tokens import WordEncoder, tokenizer_path
 
@@ -105,17 +105,17 @@ def encode_documents(docs: DataFrame, model: str = "byte_bpe_50k.json", end_id:
     path = tokenizer_path(model)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
-        end, rank = np.array([end_id], encoder.dtype).tobytes(), mix(np.arange(1, encoder.tk.get_vocab_size() + 1, dtype=np.uint64))
+        encoder = WordEncoder.shared(path)
+        end, rank = np.array([end_id], encoder.dtype), mix(np.arange(1, encoder.tk.get_vocab_size() + 1, dtype=np.uint64))
         # least hash of the pairs of an id and a second hash: spreads the documents of one first value
         rank2 = mix(rank + np.uint64(1))
         for b in batches:
             ids, rows = b.column(0).to_pylist(), []
             for at, run in by_bytes(b.column(1), 1 << 19):
                 for i, x in enumerate(encoder.encode(run)):
-                    t = np.frombuffer(x + end, encoder.dtype)
+                    t = np.r_[x, end]
                     look = int(rank[t].min() >> np.uint64(33)) << 32 | int(rank2[t].min() >> np.uint64(32))
-                    rows.append((ids[at + i], x + end, len(t), look))
+                    rows.append((ids[at + i], t.tobytes(), len(t), look))
             if rows:
                 yield batch(IDS, list(zip(*rows)))
 
@@ -133,7 +133,8 @@ def pack(docs: DataFrame, window: int = 1024, model: str = "byte_bpe_50k.json",
     equal rows stay apart; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    coded = cut_lineage(encode_documents(docs, model, end_id))
+    with small_batches(spark):
+        coded = cut_lineage(encode_documents(docs, model, end_id))
     from tokenizers import Tokenizer
 
     size = Tokenizer.from_file(tokenizer_path(model)).get_vocab_size()

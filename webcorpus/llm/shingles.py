@@ -27,6 +27,22 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ascending, non-empty stretches of bytes.
+
+    Works on pieces of whole stretches, so that the tables stay small whatever the length of a text.
+    """
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + CHUNK)))
+        lo, hi = int(starts[at]), int(ends[to - 1])
+        power, inverse = _tables(hi - lo)
+        total = np.r_[np.uint64(0), np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * power[:hi - lo], dtype=np.uint64)]
+        out[at:to] = mix((total[ends[at:to] - lo] - total[starts[at:to] - lo]) * inverse[starts[at:to] - lo])
+        at = to
+    return out
+
+
 def shingle_sets(texts: list[str | None], k: int = 5) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the ``k``-word shingles of every text, A-Z lower-cased.
 
@@ -38,16 +54,7 @@ def shingle_sets(texts: list[str | None], k: int = 5) -> list[np.ndarray]:
     word = ~_SPACE[data]
     edge = np.flatnonzero(np.diff(np.r_[False, word].view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    words = np.empty(len(starts), np.uint64)
-    # in pieces of whole words, so that the tables stay small whatever the length of a text
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(starts, starts[at] + CHUNK)))
-        lo, hi = int(starts[at]), int(ends[to - 1])
-        power, inverse = _tables(hi - lo)
-        total = np.r_[np.uint64(0), np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * power[:hi - lo], dtype=np.uint64)]
-        words[at:to] = mix((total[ends[at:to] - lo] - total[starts[at:to] - lo]) * inverse[starts[at:to] - lo])
-        at = to
+    words = hash_spans(data, starts, ends)
     first = np.searchsorted(starts, np.r_[0, np.cumsum(lengths)])
     rolled = np.zeros(max(0, len(words) - k + 1), np.uint64)
     for j in range(k):

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import re
+import sys
+import types
+
+import numpy as np
+
+from .shingles import hash_spans, mix
 
 #: A single space between two plain characters. No pre-token, special token, merge or
 #: normalisation of the vocabularies used here reaches across it, other than by taking the
@@ -17,77 +24,179 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def worker_memory() -> dict:
+    """What a Python worker keeps from task to task."""
+    name = "_webcorpus_worker_memory"
+    if name not in sys.modules:
+        sys.modules[name] = types.ModuleType(name)
+        sys.modules[name].held = {}
+    return sys.modules[name].held
+
+
+#: A word of Latin letters and what ASCII marks follow it.
+LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write for bytes: printable ones stand for themselves, the rest follow from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
+
+
 class WordEncoder:
-    """Ids of texts as little-endian bytes of ``dtype`` (uint16 where the vocabulary fits).
+    """Ids of texts as arrays of ``dtype`` (uint16 where the vocabulary fits).
 
-    Texts are cut at ``BREAK``; the ids of a text are those of its words in order. Ids of words are
-    remembered, at most ``keep`` of them, after which the memory starts anew. A word of ASCII
-    letters goes straight to the merge model, all else through the library's whole pipeline.
+    Texts are cut into words at places that nothing in the vocabulary reaches across: at every space or line feed where the
+    tokenizer drops white space, else at single spaces between plain characters. The ids of a text are those of its words in
+    order. Words are known by a 64-bit hash in one table for the whole batch; only new words are looked at one by one: a word of
+    letters goes straight to the merge model, all else through the library's pipeline. Beyond ``keep`` words the table starts anew.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
-        import numpy as np
+    def __init__(self, path: str, keep: int = 2_500_000):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tk, self.keep = Tokenizer.from_file(path), keep
         self.dtype = np.dtype("<u2" if self.tk.get_vocab_size() <= 1 << 16 else "<u4")
-        #: whether a space becomes part of the word behind it, and whether case is dropped
+        #: whether a space becomes part of the word behind it, white space is dropped, and case is dropped
         self.spaced = self._ids([" a"]) != self._ids(["a"])
+        self.dropped = not self._ids([" \n "])[0] and self._ids(["a\n  b"]) == self._ids(["a b"])
         self.lower = self._ids(["A"]) == self._ids(["a"])
-        self.mark = "Ġ" if self.spaced else ""
-        self.rest: dict[str, bytes] = {}
-        self.stops = {x: self._pack(self.tk.encode(x, add_special_tokens=False).ids) for x in (".", ",")} | {"": b""}
+        self.letters, self.stops = byte_letters(), {"": []}
+        self._start(1 << 17)
+
+    @classmethod
+    def shared(cls, path: str) -> WordEncoder:
+        """This worker's encoder for a vocabulary."""
+        held = worker_memory()
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tk.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pack(self, ids: list[int]) -> bytes:
-        import numpy as np
-
-        return np.asarray(ids, self.dtype).tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        import numpy as np
+    def _start(self, slots: int) -> None:
+        self.keys, self.at = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
+        self.n, self.size = 0, 0
+        self.begin, self.length, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.dtype)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes, -1 where unknown."""
+        mask = np.uint64(len(self.keys) - 1)
+        slot = (h & mask).astype(np.int64)
+        seen = self.keys[slot]
+        out = np.where(seen == h, self.at[slot], -1)
+        todo = np.flatnonzero((seen != h) & (seen != 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & int(mask)
+            seen = self.keys[slot[todo]]
+            hit = seen == h[todo]
+            out[todo[hit]] = self.at[slot[todo[hit]]]
+            todo = todo[~hit & (seen != 0)]
+        return out
 
-        odd, model, mark, dtype, rest, stops = [], self.tk.model, self.mark, self.dtype, self.rest, self.stops
-        for w in words:
-            m = PLAIN.fullmatch(w)
-            if m is None or len(w) > 100:
-                odd.append(w)
+    def _insert(self, h: np.ndarray, place: np.ndarray) -> None:
+        """Different new hashes into free slots."""
+        mask, slot, todo = len(self.keys) - 1, (h & np.uint64(len(self.keys) - 1)).astype(np.int64), np.arange(len(h))
+        while len(todo):
+            free = todo[self.keys[slot[todo]] == 0]
+            self.keys[slot[free]] = h[free]
+            won = free[self.keys[slot[free]] == h[free]]
+            self.at[slot[won]] = place[won]
+            left = np.ones(len(h), bool)
+            left[won] = False
+            todo = todo[left[todo]]
+            slot[todo] = (slot[todo] + 1) & mask
+
+    def _remember(self, h: np.ndarray, ids: list[list[int]]) -> None:
+        if 2 * (self.n + len(h)) > len(self.keys):
+            old_keys, old_at = self.keys, self.at
+            used = old_keys != 0
+            size = len(old_keys)
+            while 2 * (self.n + len(h)) > size:
+                size *= 2
+            self.keys, self.at = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._insert(old_keys[used], old_at[used])
+        lengths = np.array([len(x) for x in ids], np.int64)
+        new = np.array([i for x in ids for i in x], self.dtype)
+        for name, need in (("begin", self.n + len(h)), ("length", self.n + len(h)), ("flat", self.size + len(new))):
+            if need > len(getattr(self, name)):
+                setattr(self, name, np.r_[getattr(self, name), np.zeros(max(need, len(getattr(self, name))), getattr(self, name).dtype)])
+        self.begin[self.n:self.n + len(h)] = self.size + np.cumsum(lengths) - lengths
+        self.length[self.n:self.n + len(h)] = lengths
+        self.flat[self.size:self.size + len(new)] = new
+        self._insert(h, np.arange(self.n, self.n + len(h), dtype=np.int32))
+        self.n, self.size = self.n + len(h), self.size + len(new)
+
+    def learn(self, words: list[str], heads: list[bool]) -> list[list[int]]:
+        """Ids of words; ``heads`` have no space before them."""
+        out: list[list[int] | None] = [None] * len(words)
+        odd, tokenize, letters, stops, lower, spaced = [], self.tk.model.tokenize, self.letters, self.stops, self.lower, self.spaced
+        for i, (w, head) in enumerate(zip(words, heads)):
+            m = LETTERS.fullmatch(w) if len(w) <= 64 else None
+            if m is None:
+                odd.append(i)
                 continue
             base, stop = m.groups()
-            known = rest.get(base)
-            if known is None:
-                known = np.array([t.id for t in model.tokenize(mark + (base.lower() if self.lower else base))], dtype).tobytes()
-                if stop:
-                    rest[base] = known
-            rest[w] = known + stops[stop]
-        front = " " if self.spaced else ""
-        for i in range(0, len(odd), 2000):
-            run = odd[i:i + 2000]
-            for w, ids in zip(run, self._ids([front + w for w in run])):
-                rest[w] = self._pack(ids)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [BREAK.split(t) for t in texts]
-        heads = [self._pack(x) for x in self._ids([w[0] for w in cut])] if self.spaced else None
-        words = [w[1:] for w in cut] if self.spaced else cut
-        new: set[str] = set()
-        for w in words:
-            new.update(w)
-        self._learn([w for w in new if w not in self.rest])
-        get = self.rest.__getitem__
-        out = [b"".join(map(get, w)) for w in words]
-        if heads:
-            out = [h + b for h, b in zip(heads, out)]
-        if len(self.rest) > self.keep:
-            self.rest.clear()
-        else:
-            for w in new:
-                if len(w) > 100:
-                    self.rest.pop(w, None)
+            if stop not in stops:
+                if len(stops) > 100_000:
+                    stops.clear()
+                stops[stop] = self._ids([stop])[0] if stop else []
+            if lower:
+                base = base.lower()
+            if not base.isascii():
+                base = base.encode().decode("latin-1").translate(letters)
+            out[i] = [t.id for t in tokenize("Ġ" + base if spaced and not head else base)] + stops[stop]
+        for a in range(0, len(odd), 1000):
+            run = odd[a:a + 1000]
+            for i, ids in zip(run, self._ids([words[i] if heads[i] or not spaced else " " + words[i] for i in run])):
+                out[i] = ids
         return out
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.n > self.keep:
+            self._start(1 << 17)
+        raw = [t.encode("utf-8") for t in texts]
+        # a zero byte between texts; texts that hold one go through the library alone
+        alone = {i: self._ids([t])[0] for i, t in enumerate(texts) if "\0" in t}
+        for i in alone:
+            raw[i] = b""
+        buffer = b"\0".join([b"", *raw, b""])
+        data = np.frombuffer(buffer, np.uint8)
+        edge = data == 0
+        if self.dropped:
+            cut = edge | (data == 32) | (data == 10)
+        elif self.spaced:
+            ascii_, lead = (data > 32) & (data < 127), (data >= 0xC3) & (data <= 0xC8)
+            front = ascii_ | lead
+            back = ascii_ | np.r_[False, lead[:-1]]
+            cut = (data == 32) & np.r_[False, back[:-1]] & np.r_[front[1:], False] | edge
+        else:
+            cut = edge
+        part = np.flatnonzero(np.diff((~cut).view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        starts, ends = part[::2], part[1::2]
+        h = hash_spans(data, starts, ends)
+        head = edge[starts - 1]
+        if self.spaced:
+            h = np.where(head, mix(h + np.uint64(1)), h)
+        h[h == 0] = 1
+        place = self._find(h)
+        miss = np.flatnonzero(place < 0)
+        if len(miss):
+            new, first = np.unique(h[miss], return_index=True)
+            at = miss[first]
+            self._remember(new, self.learn([buffer[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist())], head[at].tolist()))
+            place[miss] = self._find(h[miss])
+        n = self.length[place]
+        stops = np.cumsum(n)
+        ids = self.flat[np.repeat(self.begin[place] - (stops - n), n) + np.arange(n.sum())]
+        # the first word of every text, and with it the text's first id
+        words = np.searchsorted(starts, np.flatnonzero(edge))
+        bounds = np.r_[0, stops][words]
+        return [np.array(alone[i], self.dtype) if i in alone else ids[bounds[i]:bounds[i + 1]] for i in range(len(texts))]
+
 
 class PieceCounter:
     """Token counts by a sentencepiece model. Pieces never hold a word mark behind another

@@ -44,17 +44,20 @@ class Plane:
 
 
 class WaveletMatrix:
-    """Tokens of one shard. ``alphabet`` lists the ids that occur; planes hold their ranks in it, highest bit first."""
+    """Tokens of one shard. ``alphabet`` lists the ids that occur, the most frequent first; planes hold their ranks in it,
+    highest bit first, so that the high planes are almost empty."""
 
     def __init__(self, n: int, alphabet: np.ndarray, planes: list[Plane]):
         self.n, self.alphabet, self.planes = n, alphabet, planes
+        self.rank_of: dict[int, int] | None = None
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        seen = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
-        seen[ids] = True
-        alphabet = np.flatnonzero(seen).astype("<u4")
-        now = (np.cumsum(seen) - 1).astype(np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)[ids]
+        counts = np.bincount(ids)
+        alphabet = np.argsort(-counts, kind="stable")[:np.count_nonzero(counts)].astype("<u4")
+        code = np.zeros(len(counts), np.uint16 if len(alphabet) <= 1 << 16 else np.uint32)
+        code[alphabet] = np.arange(len(alphabet))
+        now = code[ids]
         planes = []
         for p in reversed(range(cls.width(alphabet))):
             ones = (now & (1 << p)) != 0
@@ -78,8 +81,9 @@ class WaveletMatrix:
         return self.alphabet[now]
 
     def code(self, token: int) -> int | None:
-        at = int(np.searchsorted(self.alphabet, token))
-        return at if at < len(self.alphabet) and self.alphabet[at] == token else None
+        if self.rank_of is None:
+            self.rank_of = {t: i for i, t in enumerate(self.alphabet.tolist())}
+        return self.rank_of.get(token)
 
     def access(self, i: int) -> int:
         code = 0
