@@ -150,7 +150,8 @@ def plan(sized: DataFrame, share: float = 1.5, most: float = 2.0, block_words: i
     taken = slots.mapInArrow(place, "shard long, rank long, slot long, epoch long, block long, cut long")
     # the words cut from a source's last slot come off the end of its block
     ends = F.least(F.col("size_"), (F.col("block") + 1) * block_words) - F.col("cut")
-    pieces = taken.join(filled, ["rank", "block"]).join(F.broadcast(facts.select("rank", F.col("source_size").alias("size_"))), "rank")
+    # Spark cannot foresee how many slots the few counts unfold to: without the hint it would broadcast them
+    pieces = taken.hint("merge").join(filled, ["rank", "block"]).join(F.broadcast(facts.select("rank", F.col("source_size").alias("size_"))), "rank")
     pieces = pieces.select("rank", "start", "shard", "slot", "epoch", F.col("from_word").alias("begin"), F.least("to_word", ends - F.col("start")).alias("end")).where("begin < end")
     return rows, pieces
 
@@ -163,7 +164,7 @@ def mix_taken(docs: DataFrame, **options) -> DataFrame:
     """
     rows, pieces = plan(with_sizes(docs), **options)
     taken = pieces.groupBy("rank", "start").agg(F.sum(F.col("end") - F.col("begin")).cast("long").alias("taken")).select(F.col("rank").alias("_rank"), F.col("start").alias("_start"), "taken")
-    out = rows.join(taken, (F.col("rank") == F.col("_rank")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0), "left")
+    out = rows.join(taken.hint("merge"), (F.col("rank") == F.col("_rank")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0), "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -177,7 +178,7 @@ def mix_texts(docs: DataFrame, **options) -> DataFrame:
     key = F.xxhash64("text").alias("_hash")
     rows, pieces = plan(with_sizes(docs, key).distinct(), **options)
     spans = pieces.groupBy("rank", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
-    wanted = rows.where("size > 0").select(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), "_hash", "rank", "start", "size").join(spans, ["rank", "start"])
+    wanted = rows.where("size > 0").select(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), "_hash", "rank", "start", "size").join(spans.hint("merge"), ["rank", "start"])
     wanted = cut_lineage(wanted.select("_doc_id", "_source", F.col("_hash").alias("_of"), "size", F.col("spans.begin").alias("begin"), F.col("spans.end").alias("end")))
     at = [c for c in docs.columns if c not in ("text", "n_chars")]
     met = docs.withColumn("_hash", key).join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_hash") == F.col("_of")))
