@@ -13,23 +13,34 @@ from webcorpus.llm.common import table
 from webcorpus.session import cut_lineage
 
 
+def wide_rows(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts make wide rows: Arrow batches of at most ``rows`` of them keep the Python workers small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(now, rows) if now > 0 else rows))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised classifier rejects go."""
+    wide_rows(spark)
     return toxicity.clean_only(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group linked by a Jaccard similarity of 0.75 of five-word shingles, the smallest doc_id stays."""
+    wide_rows(spark)
     return set_join.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that a mix of sources by weight takes, as documents; a source may be passed over twice."""
+    wide_rows(spark)
     return mixing.mix_texts(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 1024 tokens, like documents together."""
+    wide_rows(spark)
     return packing.pack(docs)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
-from .common import WORD, batch, running_starts
+from .common import WORD, batch, each_row, running_starts
 from .shingles import mix
 
 #: Fixed values of the contract: weights in code point order of the sources, repeating.
@@ -183,14 +183,12 @@ def mix_texts(docs: DataFrame, **options) -> DataFrame:
     at = [c for c in docs.columns if c not in ("text", "n_chars")]
     met = docs.withColumn("_hash", key).join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_hash") == F.col("_of")))
 
-    @F.pandas_udf("string")
-    def words_of(text, size, begin, end):
+    @F.arrow_udf("string")
+    def words_of(text: pa.Array, size: pa.Array, begin: pa.Array, end: pa.Array) -> pa.Array:
         import re
 
-        import pandas as pd
-
         out = []
-        for t, n, bs, es in zip(text, size, begin, end):
+        for t, n, bs, es in each_row([pa.RecordBatch.from_arrays([text, size, begin, end], names=list("tnbe"))], 64):
             joined: list[list[int]] = []
             for b, e in zip(bs, es):
                 if joined and joined[-1][1] == b:
@@ -202,7 +200,7 @@ def mix_texts(docs: DataFrame, **options) -> DataFrame:
             else:
                 spots = [m.span() for m in re.finditer(WORD, t)]
                 out.append("\n".join(t[spots[b][0]:spots[e - 1][1]] for b, e in joined))
-        return pd.Series(out, dtype=object)
+        return pa.array(out, pa.string())
 
     cut = met.withColumn("text", words_of("text", "size", "begin", "end"))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else cut.select(docs.columns)

@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import cut_lineage
 from .common import batch, by_bytes, components, small_batches
 from .shingles import set_id, shingle_sets
+from .tokens import forget
 
 #: Bits of the table of shared shingles, of the table of their frequency classes, and of a set's sketch.
 SHARED_BITS, LEVEL_BITS, SKETCH = 27, 22, 2048
@@ -46,6 +47,7 @@ def shared_tables(docs: DataFrame, k: int, range_bits: int = 8, flush_at: int =
     ranges = 1 << range_bits
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held, size, seen = [], 0, set()
         pack = zstandard.ZstdCompressor(level=1).compress
 
@@ -63,7 +65,7 @@ def shared_tables(docs: DataFrame, k: int, range_bits: int = 8, flush_at: int =
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["r", "gaps", "counts"])
 
         for b in batches:
-            for _, run in by_bytes(b.column(0)):
+            for _, run in by_bytes(b.column(0), 1 << 18):
                 for s in shingle_sets(run, k):
                     if len(s) and (c := set_id(s)) not in seen:
                         seen.add(c)
@@ -104,11 +106,12 @@ def file_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     tables = docs.sparkSession.sparkContext.broadcast(shared_tables(docs, k))
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         bits, levels = (np.frombuffer(x, np.uint8) for x in tables.value)
         seen: set[int] = set()
         for b in batches:
             ids, rows = b.column(0).to_pylist(), []
-            for at, run in by_bytes(b.column(1)):
+            for at, run in by_bytes(b.column(1), 1 << 18):
                 for i, s in enumerate(shingle_sets(run, k)):
                     n, c, sketch, token, pos = len(s), set_id(s), None, [], []
                     if n and c not in seen:
@@ -131,15 +134,13 @@ def file_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return cut_lineage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(file, "doc_id long, n long, cls long, sketch binary, token array<long>, pos array<long>"))
 
 
-@F.pandas_udf("long")
-def _differ(a, b):
+@F.arrow_udf(T.LongType())
+def _differ(a: pa.Array, b: pa.Array) -> pa.Array:
     """Bits in which two sketches differ: no more than the elements in which the sets differ."""
-    import pandas as pd
-
     if not len(a):
-        return pd.Series([], dtype="int64")
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
-    return pd.Series(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64))
+        return pa.array([], pa.int64())
+    x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(len(s), -1) for s in (a, b))
+    return pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64))
 
 
 def _promising(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -158,9 +159,10 @@ def _overlaps(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) ->
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(needed, F.col("doc_id").eqNullSafe(F.col("_id"))).select("cls", "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             wanted = b.column(0).to_pylist()
-            for at, run in by_bytes(b.column(1)):
+            for at, run in by_bytes(b.column(1), 1 << 18):
                 rows = [(c, s.view(np.int64)) for c, s in zip(wanted[at:], shingle_sets(run, k)) if set_id(s) == c]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["cls", "set"])

@@ -8,7 +8,7 @@ import numpy as np
 BASE, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Bytes hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _powers: list[np.ndarray] = []
 
 

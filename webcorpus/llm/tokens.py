@@ -8,6 +8,7 @@ import sys
 import types
 
 import numpy as np
+import pyarrow as pa
 
 from .shingles import hash_spans, mix
 
@@ -33,6 +34,20 @@ def worker_memory() -> dict:
     return sys.modules[name].held
 
 
+def forget() -> None:
+    """Frees what an earlier operator keeps in this worker."""
+    import ctypes
+    import gc
+
+    worker_memory().clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    # the C library keeps freed memory unless told otherwise
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 #: A word of Latin letters and what ASCII marks follow it.
 LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -71,6 +86,7 @@ class WordEncoder:
         """This worker's encoder for a vocabulary."""
         held = worker_memory()
         if path not in held:
+            forget()
             held[path] = cls(path)
         return held[path]
 

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import batch, by_bytes
+from .common import batch, by_bytes, small_batches
+from .tokens import forget
 
 #: Insults, abuse and threats by language, one voter each list.
 LEXICONS = {
@@ -59,7 +60,7 @@ class Voters:
 
     def found(self, text: str | None) -> list[int]:
         """Features present in the whole text, ascending."""
-        if len(self.known) > 500_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         known, words, hits, out = self.known, WORDS.findall((text or "").lower()), [], set()
         for w in set(words):
@@ -125,6 +126,7 @@ def vote_table(docs: DataFrame, voters: Voters) -> DataFrame:
     """``doc_id, found, votes`` of every row's whole text: one narrow pass."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             found = [voters.found(t) for _, run in by_bytes(b.column(1)) for t in run]
             yield batch(FOUND, [b.column(0), found, [voters.votes(f) for f in found]])
@@ -230,7 +232,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> tuple[Mod
     ones; the label model counts the votes of all documents. Without labels the voters' prior beliefs stand.
     """
     voters = Voters(mine_words(docs, labels, fit_rows))
-    votes = cut_lineage(vote_table(docs, voters))
+    with small_batches(docs.sparkSession):
+        votes = cut_lineage(vote_table(docs, voters))
     known = labels.where(~held_out() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     joined = votes.select("doc_id", "votes").join(known, "doc_id", "left")
     patterns = cut_lineage(joined.groupBy("votes", "toxic").agg(F.count("*").alias("n")))
@@ -281,10 +284,12 @@ def clean_only(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> Da
     """The rows that are not predicted toxic, with their columns: one more narrow pass over the texts."""
     model, _ = fit(docs, labels, fit_rows)
 
-    @F.pandas_udf("boolean")
-    def clean(texts):
-        import pandas as pd
+    at = docs.columns.index("text")
 
-        return pd.Series([s < 0.5 for s in model.score([model.voters.found(t) for t in texts])], dtype=bool)
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for b in batches:
+            yield b.filter(pa.array([s < 0.5 for _, run in by_bytes(b.column(at)) for s in model.score([model.voters.found(t) for t in run])], pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
-    return docs.where(clean(F.col("text")))
+    return docs.mapInArrow(keep, docs.schema)
