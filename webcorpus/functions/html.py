@@ -60,9 +60,9 @@ def language(html) -> Column:
 
 
 def _attr(tag: Column, name: str) -> Column:
-    dq = F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*"([^"]*)\"""", 1)
-    sq = F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*'([^']*)'", 1)
-    bare = F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*([^"'\s>]+)""", 1)
+    dq = F.regexp_extract(tag, rf"""(?is)(?<=\s){name}\s*=\s*"([^"]*)\"""", 1)
+    sq = F.regexp_extract(tag, rf"(?is)(?<=\s){name}\s*=\s*'([^']*)'", 1)
+    bare = F.regexp_extract(tag, rf"""(?is)(?<=\s){name}\s*=\s*([^"'\s>]+)""", 1)
     return F.coalesce(_nullif_empty(dq), _nullif_empty(sq), _nullif_empty(bare), F.lit(""))
 
 
@@ -106,13 +106,13 @@ def headings(html) -> Column:
     )
 
 
-_A_HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>]+))"""
+_A_HREF = r"""(?is)<a\b[^>]*?(?<=\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>]+))"""
 
 
 def hrefs(html) -> Column:
     """``href`` of every anchor in document order."""
     h = without_code(html)
-    tags = F.regexp_extract_all(h, F.lit(r"(?is)(<a\b[^>]*\bhref\s*=[^>]*>)"), F.lit(1))
+    tags = F.regexp_extract_all(h, F.lit(r"(?is)(<a\b[^>]*(?<=\s)href\s*=[^>]*>)"), F.lit(1))
     return F.transform(tags, lambda t: unescape(_attr(t, "href")))
 
 

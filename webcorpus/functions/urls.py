@@ -233,7 +233,7 @@ def decode_bing(href) -> Column:
     h = _c(href)
 
     def target(u):
-        b64 = F.translate(F.substring(u, 3, 1_000_000), "-_", "+/")
+        b64 = F.translate(F.substr(u, F.lit(3)), "-_", "+/")
         padded = F.rpad(b64, F.length(b64) + F.pmod(-F.length(b64), F.lit(4)).cast("int"), F.lit("="))
         return F.when(u.startswith("a1"), F.decode(F.try_to_binary(padded, F.lit("base64")), "UTF-8"))
 

@@ -217,7 +217,7 @@ def synthesis_context(sources: DataFrame, k: int = 10) -> DataFrame:
 def _title_case(c: Column) -> Column:
     """Capital after every non-letter, lower case elsewhere."""
     pieces = F.split(F.lower(c), r"(?<=[^\p{L}])(?=\p{L})")
-    return F.array_join(F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1_000_000))), "")
+    return F.array_join(F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))), "")
 
 
 def report_bodies(reports: DataFrame, findings: DataFrame, citation_rows: DataFrame, as_of: Column,

@@ -23,15 +23,16 @@ def page_budget(pages: DataFrame, job="job_id", position="position", url="url",
                 per_page: int = fixed.PAGE_CHARS, total: int = fixed.TOTAL_CHARS) -> DataFrame:
     """Part of every page that fits the budget of its job, with its marker.
 
-    ``position`` counts the pages of a job from 1. A page costs at least its marker, so only
-    the first ``total / marker`` positions can ever fit; later rows are filtered out before
-    anything is shuffled, which bounds the window of any job.
+    ``position`` orders the pages of a job and may have gaps. A page costs at least its marker, so only
+    the first ``total / marker`` pages of a job can ever fit; the others go in a row-number filter, which
+    Spark applies per task before the shuffle, so that no job's window is large.
     """
     a, b, c, d = fixed.PAGE_MARKER
     least = len(a + "1" + b + c + d)
     p = F.col(position)
     marker = F.concat(F.lit(a), p.cast("string"), F.lit(b), F.coalesce(title, F.lit("")), F.lit(c), F.col(url), F.lit(d))
-    rows = pages.filter(p <= total // least + 1).select(
+    first = F.row_number().over(W.partitionBy(job).orderBy(position))
+    rows = pages.withColumn("_nth", first).filter(F.col("_nth") <= total // least + 1).select(
         job, position, url, marker.alias("_m"), F.substring(text, 1, per_page).alias("_t"))
     rows = rows.withColumn("_len", F.length("_m") + F.length("_t"))
     w = W.partitionBy(job).orderBy(position).rowsBetween(W.unboundedPreceding, 0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed
@@ -38,7 +40,7 @@ def cache_key(url, formats, extra: dict[str, Column] | None = None) -> Column:
     return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), 256)
 
 
-def lookup(requests: DataFrame, stored: DataFrame, key: str = "key", max_ttl: int | None = None,
+def lookup(requests: DataFrame, stored: DataFrame, key: str = "key", max_ttl: float | None = None,
            request_id: str = "req_id") -> DataFrame:
     """As-of lookup: the latest entry at or before each request, a hit while its TTL lasts.
 
@@ -48,8 +50,9 @@ def lookup(requests: DataFrame, stored: DataFrame, key: str = "key", max_ttl: in
     asked for a third of the time is spread over all its segments.
     """
     if max_ttl is None:
-        max_ttl = int(stored.agg(F.max("ttl")).first()[0] or fixed.CACHE_TTL_SECONDS)
-    unit = max_ttl * 1_000_000
+        max_ttl = stored.agg(F.max("ttl")).first()[0]
+    # whole seconds, rounded up, so that no entry outlives the segment behind its own
+    unit = max(1, math.ceil(max_ttl or 0)) * 1_000_000
     r = requests.select(
         key, request_id, F.unix_micros("req_ts").alias("_t"), F.lit(None).cast("long").alias("_s"),
         F.lit(None).cast("double").alias("_ttl"), F.lit(1).alias("_side"))
