@@ -111,7 +111,7 @@ def encode_documents(docs: DataFrame, model: str = "byte_bpe_50k.json", end_id:
         rank2 = mix(rank + np.uint64(1))
         for b in batches:
             ids, rows = b.column(0).to_pylist(), []
-            for at, run in by_bytes(b.column(1), 1 << 18):
+            for at, run in by_bytes(b.column(1), 1 << 17):
                 for i, x in enumerate(encoder.encode(run)):
                     t = np.r_[x, end]
                     look = int(rank[t].min() >> np.uint64(33)) << 32 | int(rank2[t].min() >> np.uint64(32))

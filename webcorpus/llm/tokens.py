@@ -36,10 +36,15 @@ def worker_memory() -> dict:
 
 def forget() -> None:
     """Frees what an earlier operator keeps in this worker."""
+    worker_memory().clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system."""
     import ctypes
     import gc
 
-    worker_memory().clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     # the C library keeps freed memory unless told otherwise
@@ -68,7 +73,7 @@ class WordEncoder:
     letters goes straight to the merge model, all else through the library's pipeline. Beyond ``keep`` words the table starts anew.
     """
 
-    def __init__(self, path: str, keep: int = 2_500_000):
+    def __init__(self, path: str, keep: int = 750_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -88,6 +93,7 @@ class WordEncoder:
         if path not in held:
             forget()
             held[path] = cls(path)
+        give_back()
         return held[path]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -96,7 +102,7 @@ class WordEncoder:
     def _start(self, slots: int) -> None:
         self.keys, self.at = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
         self.n, self.size = 0, 0
-        self.begin, self.length, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.dtype)
+        self.begin, self.length, self.flat = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, self.dtype)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Places of the hashes, -1 where unknown."""
@@ -127,11 +133,11 @@ class WordEncoder:
             slot[todo] = (slot[todo] + 1) & mask
 
     def _remember(self, h: np.ndarray, ids: list[list[int]]) -> None:
-        if 2 * (self.n + len(h)) > len(self.keys):
+        if 4 * (self.n + len(h)) > 3 * len(self.keys):
             old_keys, old_at = self.keys, self.at
             used = old_keys != 0
             size = len(old_keys)
-            while 2 * (self.n + len(h)) > size:
+            while 4 * (self.n + len(h)) > 3 * size:
                 size *= 2
             self.keys, self.at = np.zeros(size, np.uint64), np.zeros(size, np.int32)
             self._insert(old_keys[used], old_at[used])
@@ -139,7 +145,7 @@ class WordEncoder:
         new = np.array([i for x in ids for i in x], self.dtype)
         for name, need in (("begin", self.n + len(h)), ("length", self.n + len(h)), ("flat", self.size + len(new))):
             if need > len(getattr(self, name)):
-                setattr(self, name, np.r_[getattr(self, name), np.zeros(max(need, len(getattr(self, name))), getattr(self, name).dtype)])
+                setattr(self, name, np.r_[getattr(self, name), np.zeros(max(need - len(getattr(self, name)), len(getattr(self, name)) // 2), getattr(self, name).dtype)])
         self.begin[self.n:self.n + len(h)] = self.size + np.cumsum(lengths) - lengths
         self.length[self.n:self.n + len(h)] = lengths
         self.flat[self.size:self.size + len(new)] = new
@@ -205,7 +211,7 @@ class WordEncoder:
             at = miss[first]
             self._remember(new, self.learn([buffer[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist())], head[at].tolist()))
             place[miss] = self._find(h[miss])
-        n = self.length[place]
+        n = self.length[place].astype(np.int64)
         stops = np.cumsum(n)
         ids = self.flat[np.repeat(self.begin[place] - (stops - n), n) + np.arange(n.sum())]
         # the first word of every text, and with it the text's first id
