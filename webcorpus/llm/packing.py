@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut_lineage
 from .common import batch, by_bytes, crc32_of, each_row, small_batches
 from .shingles import mix
-from .tokens import WordEncoder, tokenizer_path
+from .tokens import WordEncoder, forget, tokenizer_path
 
 IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n", pa.int64()), ("look", pa.int64())])
 PIECES = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -141,6 +141,7 @@ def pack(docs: DataFrame, window: int = 1024, model: str = "byte_bpe_50k.json",
     kind = "<u2" if size <= 1 << 16 else "<u4"
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         df = np.zeros(size, np.int64)
         for x, in each_row(batches):
             seen = np.zeros(size, bool)
@@ -163,6 +164,8 @@ def pack(docs: DataFrame, window: int = 1024, model: str = "byte_bpe_50k.json",
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        # all texts are encoded: the room is for the index now
+        forget()
         next_id, held, names, tokens = TaskContext.get().partitionId() << 40, [], [], 0
 
         def shard() -> pa.RecordBatch:

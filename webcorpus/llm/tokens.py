@@ -83,7 +83,7 @@ class WordEncoder:
         self.spaced = self._ids([" a"]) != self._ids(["a"])
         self.dropped = not self._ids([" \n "])[0] and self._ids(["a\n  b"]) == self._ids(["a b"])
         self.lower = self._ids(["A"]) == self._ids(["a"])
-        self.letters, self.stops = byte_letters(), {"": []}
+        self.letters, self.stops, self.since = byte_letters(), {"": []}, 0
         self._start(1 << 17)
 
     @classmethod
@@ -180,12 +180,17 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.n > self.keep:
             self._start(1 << 17)
+        if self.since > 1 << 24:
+            # what the library frees piecemeal stays with the C library otherwise
+            self.since = 0
+            give_back()
         raw = [t.encode("utf-8") for t in texts]
         # a zero byte between texts; texts that hold one go through the library alone
         alone = {i: self._ids([t])[0] for i, t in enumerate(texts) if "\0" in t}
         for i in alone:
             raw[i] = b""
         buffer = b"\0".join([b"", *raw, b""])
+        self.since += len(buffer)
         data = np.frombuffer(buffer, np.uint8)
         edge = data == 0
         if self.dropped:
