@@ -1,7 +1,8 @@
-"""HTML expressions for flat structure: no parser, no Python worker.
+"""HTML expressions: no parser, no Python worker.
 
-Nested same-name elements need the document tree of ``operators.dom``; everything here is
-a regular expression over the page string and prunes like any other column.
+Everything here is an expression over the page string and prunes like any other column. Where
+elements of one name nest, their tags are counted; what nobody closes needs the document tree
+of ``operators.dom``.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, functions as F
 
 from . import fixed
 from .bind import let
+from .references import decode_references
 from .text import collapse_space, strip_space
 
 
@@ -24,8 +26,8 @@ def _nullif_empty(c: Column) -> Column:
 
 
 def unescape(text) -> Column:
-    """Decode the common character references, ``&amp;`` last."""
-    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), fixed.ENTITIES, _c(text))
+    """Decode all character references."""
+    return decode_references(_c(text))
 
 
 def without_comments(html) -> Column:
@@ -131,20 +133,46 @@ def link_records(html) -> Column:
     return F.filter(recs, lambda r: (r["href"] != "") & ~r["href"].startswith("javascript:"))
 
 
+def _balanced(h: Column, name: Column, start: Column) -> Column:
+    """The element that begins with the start tag ``start`` (a stretch of ``h``), to its own end tag.
+
+    Tags of the same name inside are counted. Without any end tag there is no element (None); with too few it goes to the end of the page.
+    """
+    def cut(tail):
+        # stretches that end in a tag of that name
+        parts = F.regexp_extract_all(tail, F.concat(F.lit(r"(?is)(.*?</?"), name, F.lit(r"(?=[\s/>])[^>]*>)")), F.lit(1))
+
+        def step(s, p):
+            closing = p.rlike(r"</[^<>]*>$")
+            depth = s["depth"] + F.when(closing, -1).otherwise(1)
+            size = s["size"] + F.length(p)
+            return F.when(s["done"], s).otherwise(F.struct(depth.alias("depth"), size.alias("size"), (depth <= 0).alias("done"), (s["closed"] | closing).alias("closed")))
+
+        zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"), F.lit(False).alias("closed"))
+        return let(F.aggregate(parts, zero, step), lambda s: F.when(s["done"], F.substring(tail, F.lit(1), s["size"])).when(s["closed"], tail))
+
+    return let(F.substring(h, F.instr(h, start), F.length(h)), cut)
+
+
 def _element(h: Column, tag: str) -> Column:
-    return _nullif_empty(F.regexp_extract(h, rf"(?is)(<{tag}\b[^>]*>.*?</{tag}\s*>)", 1))
+    """The first element of a name, None where there is none."""
+    return let(F.regexp_extract(h, rf"(?is)(<{tag}(?=[\s/>])[^>]*>)", 1), lambda start: F.when(start != "", _balanced(h, F.lit(tag), start)))
+
+
+def _role_main(h: Column) -> Column:
+    role = r"""(?is)(<[a-z][a-z0-9-]*\b[^>]*(?<=\s)role\s*=\s*(?:"main"|'main'|main(?=[\s/>]))[^>]*>)"""
+    name = lambda start: F.regexp_extract(start, r"(?s)^<([A-Za-z0-9-]+)", 1)
+    return let(F.regexp_extract(h, role, 1), lambda start: F.when(start != "", _balanced(h, name(start), start)))
 
 
 def main_content(html) -> Column:
     """First of main, article, role=main, body; else the page."""
-    role = r"""(?is)(<([a-z0-9]+)\b[^>]*\brole\s*=\s*["']?main\b[^>]*>.*?</\2\s*>)"""
-
     def pick(h):
         # the cheap substring test spares pages without the element the pattern
         low = F.lower(h)
         return F.coalesce(
             F.when(low.contains("<main"), _element(h, "main")), F.when(low.contains("<article"), _element(h, "article")),
-            F.when(low.contains("role"), _nullif_empty(F.regexp_extract(h, role, 1))), _element(h, "body"), h)
+            F.when(low.contains("role"), _role_main(h)), _element(h, "body"), h)
 
     return let(without_code(html), pick)
 
@@ -153,9 +181,59 @@ def body_content(html) -> Column:
     return let(without_code(html), lambda h: F.coalesce(_element(h, "body"), h))
 
 
+def _without(html: Column, start_tag: str) -> Column:
+    """Drops every element whose start tag matches, with all it holds.
+
+    Only tags of the names that occur in such start tags are looked at. An element without an end tag keeps what follows its start.
+    """
+    def drop(h):
+        names = F.array_distinct(F.transform(F.regexp_extract_all(h, F.lit(rf"(?is)({start_tag})"), F.lit(1)), lambda t: F.lower(F.regexp_extract(t, r"(?s)^<([A-Za-z0-9-]+)", 1))))
+
+        def with_names(names):
+            tag = F.concat(F.lit(r"</?(?:"), F.array_join(names, "|"), F.lit(r")(?=[\s/>])"))
+            tokens = F.regexp_extract_all(h, F.concat(F.lit("(?is)("), tag, F.lit("[^>]*>|.+?(?="), tag, F.lit(r"|\z))")), F.lit(1))
+            return F.when(F.size(names) > 0, let(tokens, lambda ts: F.array_join(_kept(ts, tag), ""))).otherwise(h)
+
+        return let(names, with_names)
+
+    def _kept(tokens, tag):
+        marks = F.filter(
+            F.transform(tokens, lambda t, i: F.struct(
+                i.alias("i"), F.lower(F.regexp_extract(t, r"(?s)^</?([A-Za-z0-9-]+)", 1)).alias("name"), t.startswith("</").alias("closing"),
+                t.rlike(rf"(?is)^(?:{start_tag})").alias("starts"))),
+            lambda m: m["name"] != "")
+
+        def step(s, m):
+            def to(name, depth, begin, cuts):
+                return F.struct(name.alias("name"), depth.alias("depth"), begin.alias("begin"), cuts.alias("cuts"))
+
+            depth = s["depth"] + F.when(m["closing"], -1).otherwise(1)
+            ended = F.concat(s["cuts"], F.array(F.struct(s["begin"].alias("a"), (m["i"] + 1).alias("b"))))
+            return (
+                F.when((s["name"] == "") & m["starts"] & m["name"].isin(_VOID), to(s["name"], s["depth"], s["begin"], F.concat(s["cuts"], F.array(F.struct(m["i"].alias("a"), (m["i"] + 1).alias("b"))))))
+                .when((s["name"] == "") & m["starts"], to(m["name"], F.lit(1), m["i"], s["cuts"]))
+                .when((s["name"] != m["name"]) | (s["name"] == ""), s)
+                .when(depth > 0, to(s["name"], depth, s["begin"], s["cuts"]))
+                .otherwise(to(F.lit(""), F.lit(0), F.lit(0), ended)))
+
+        zero = F.struct(F.lit("").alias("name"), F.lit(0).alias("depth"), F.lit(0).alias("begin"), F.array().cast("array<struct<a:int,b:int>>").alias("cuts"))
+
+        def between(cuts):
+            begins = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda c: c["b"]))
+            ends = F.concat(F.transform(cuts, lambda c: c["a"]), F.array(F.size(tokens)))
+            return F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice(tokens, a + 1, b - a)))
+
+        return let(F.aggregate(marks, zero, step)["cuts"], between)
+
+    return let(html, drop)
+
+
+#: Elements that hold nothing and have no end tag.
+_VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
+
+
 def without_noise_tags(html) -> Column:
-    tags = "|".join(fixed.NOISE_TAGS)
-    return F.regexp_replace(_c(html), rf"(?is)<({tags})\b[^>]*>.*?</\1\s*>", "")
+    return _without(_c(html), rf"<(?:{'|'.join(fixed.NOISE_TAGS)})(?=[\s/>])[^>]*>")
 
 
 def is_noise_class(css_class) -> Column:
@@ -174,10 +252,11 @@ def _noise_word_regex() -> str:
 
 
 def without_noise_classes(html) -> Column:
-    """Drop flat elements (no nested element of the same name) whose class is page furniture."""
+    """Drop elements whose class is page furniture, with all they hold."""
     word = _noise_word_regex()
-    cls = rf"""\bclass\s*=\s*"(?:[^"]*[-_\s])?{word}(?:[-_\s][^"]*)?\""""
-    return F.regexp_replace(_c(html), rf"(?is)<([a-z0-9]+)\b[^>]*{cls}[^>]*>.*?</\1\s*>", "")
+    quoted = "|".join(rf"{q}(?:[^{q}]*[-_\s])?{word}(?:[-_\s][^{q}]*)?{q}" for q in ('"', "'"))
+    bare = rf"(?:[^\s\"'>]*[-_])?{word}(?:[-_][^\s\"'>]*)?(?=[\s/>])"
+    return _without(_c(html), rf"<[a-z][a-z0-9-]*\b[^>]*(?<=\s)class\s*=\s*(?:{quoted}|{bare})[^>]*>")
 
 
 def clean_content(html, only_main: bool = True) -> Column:
