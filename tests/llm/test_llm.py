@@ -315,6 +315,25 @@ def test_toxicity_accuracy(spark):
     assert abs(toxicity.clean_only(docs, marks).count() - 2625) < 60
 
 
+def test_toxicity_learns_from_unlabelled(spark):
+    """Toxic German rows are never labelled: lexicon votes on unlabelled rows teach the classifier a word that no list holds."""
+    rng, rows, labels = np.random.default_rng(4), [], []
+    de = toxicity.LEXICONS["de"].split()
+    for i in range(3000):
+        words = [f"s{x}" for x in rng.integers(0, 400, 60)]
+        if i % 10 == 0:
+            words[10], words[30] = "zargo", "mipfel"
+        elif i % 10 == 1:
+            words[10], words[20], words[30] = (*rng.choice(de, 2, replace=False), "krumpfel")
+        rows.append((i, " ".join(words)))
+        if i % 10 != 1:
+            labels.append((i, int(i % 10 == 0)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, marks).where("held_out").collect()
+    assert {r.doc_id % 10 for r in got if r.predicted} == {0, 1}
+    assert sum(r.predicted == int(r.doc_id % 10 < 2) for r in got) >= 0.98 * len(got)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, name):
     fn = queries.QUERIES[name]

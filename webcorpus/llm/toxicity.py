@@ -36,6 +36,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)), F.lit(0)) == 0
 
 
+def apart(mined: list[tuple[str, bool]]) -> list[tuple[str, bool]]:
+    """The mined words of which none begins another one: beginnings of one word would vote many times over."""
+    out: list[tuple[str, bool]] = []
+    for w, toxic in mined:
+        root = w.rstrip("*")
+        if not any(root.startswith(o) or o.startswith(root) for o in (x.rstrip("*") for x, _ in out)):
+            out.append((w, toxic))
+    return out
+
+
 class Voters:
     """Votes and features of a text. ``words`` (mined, toxic first, with sign) and lexicon words are
     features by presence; lexicons, patterns and the strongest mined words vote."""
@@ -46,7 +56,7 @@ class Voters:
         self.index = {w: i for i, w in enumerate(self.features)}
         self.lexicons = [np.array([self.index[w] for w in words.split()]) for words in LEXICONS.values()]
         #: feature and whether it votes toxic
-        self.single = [(self.index[w], toxic) for w, toxic in mined[:MINED_VOTERS]]
+        self.single = [(self.index[w], toxic) for w, toxic in apart(mined)[:MINED_VOTERS]]
         self.insults = frozenset(listed) - frozenset(LEXICONS["en_threat"].split()) | {w for w, toxic in mined if toxic}
         self.known: dict[str, tuple[bool, tuple[int, ...]]] = {}
         self.names = [*LEXICONS, *PATTERNS, "no_insult", *(self.features[i] for i, _ in self.single)]
@@ -138,7 +148,8 @@ class LabelModel:
     """Two classes; given the class every voter votes or abstains. Correlated voters share their weight.
 
     ``rate[y, j]`` is the chance that voter j votes on class y, ``share[j]`` its weight after
-    dividing by one plus its correlations with the others inside the classes.
+    dividing by one plus its correlations with the others inside the classes. A voter that abstains says nothing: most
+    are of another language. ``scale`` and ``shift`` fit the log-odds to known labels.
     """
 
     def __init__(self, polarity: np.ndarray, strength: float = 20.0, prior: float = 0.1):
@@ -146,14 +157,22 @@ class LabelModel:
         # belief before any data: a voter speaks far more often on its own side
         self.base = np.where(polarity == 1, np.array([[0.01], [0.15]]), np.array([[0.5], [0.05]]))
         self.strength, self.pi, self.rate, self.share = strength, prior, self.base.copy(), np.ones(m)
-        self.first_pi = prior
+        self.first_pi, self.scale, self.shift = prior, 1.0, 0.0
+
+    def log_odds(self, bits: np.ndarray) -> np.ndarray:
+        return np.log(self.pi / (1 - self.pi)) + bits @ ((np.log(self.rate[1]) - np.log(self.rate[0])) * self.share)
 
     def posterior(self, bits: np.ndarray) -> np.ndarray:
         """P(toxic) of rows of a 0/1 matrix of votes."""
-        r = np.log(self.rate), np.log1p(-self.rate)
-        on, off = (r[0][1] - r[0][0]) * self.share, (r[1][1] - r[1][0]) * self.share
-        z = np.log(self.pi / (1 - self.pi)) + bits @ (on - off) + off.sum()
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.log_odds(bits) + self.shift, -40, 40)))
+
+    def calibrate(self, bits: np.ndarray, truth: np.ndarray, least: int = 20) -> LabelModel:
+        """Scale and shift of the log-odds by logistic regression on rows with known labels, ``least`` of either at least."""
+        if min((truth == 1).sum(), (truth == 0).sum()) >= least:
+            w, c = fit_linear(self.log_odds(bits)[:, None], truth, penalty=1e-3)
+            if w[0] > 0:
+                self.scale, self.shift = float(w[0]), c
+        return self
 
     def fit(self, patterns: DataFrame, rounds: int = 12) -> LabelModel:
         """EM over ``votes, toxic, n`` of all documents; where ``toxic`` is known it is the truth.
@@ -200,14 +219,20 @@ class LabelModel:
         return np.where(rho > 0.1, rho, 0).sum(axis=1)
 
 
-def fit_linear(x: np.ndarray, p: np.ndarray, penalty: float = 1.0, steps: int = 25) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by Newton steps; the last column is the constant."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, ridge = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, penalty), 1e-3]
+def fit_linear(x: np.ndarray, p: np.ndarray, penalty: float = 1.0, steps: int = 25, block: int = 4096) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by Newton steps; the last column is the constant.
+
+    Only ``block`` rows at a time are held as floats.
+    """
+    width = x.shape[1] + 1
+    w, ridge = np.zeros(width), np.r_[np.full(width - 1, penalty), 1e-3]
     for _ in range(steps):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (q - p) + ridge * w
-        hess = (x * (q * (1 - q) + 1e-6)[:, None]).T @ x + np.diag(ridge)
+        grad, hess = ridge * w, np.diag(ridge)
+        for a in range(0, len(x), block):
+            now = np.hstack([x[a:a + block].astype(float), np.ones((len(x[a:a + block]), 1))])
+            q = 1 / (1 + np.exp(-np.clip(now @ w, -30, 30)))
+            grad += now.T @ (q - p[a:a + block])
+            hess += (now * (q * (1 - q) + 1e-6)[:, None]).T @ now
         step = np.linalg.solve(hess, grad)
         w -= step * min(1.0, 4 / (np.abs(step).max() + 1e-9))
         if np.abs(step).max() < 1e-4:
@@ -228,8 +253,10 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> tuple[Model, DataFrame]:
     """The model and the stored votes of all rows.
 
-    Words are mined and the classifier is fit on hash samples of about ``fit_rows`` rows, never held-out
-    ones; the label model counts the votes of all documents. Without labels the voters' prior beliefs stand.
+    Words are mined on a hash sample of about ``fit_rows`` labelled rows. The classifier is fit on the label model's
+    posteriors of two hash samples of about ``fit_rows`` rows each, of the labelled and of the unlabelled, so that
+    neither crowds the other out; a known label is its own posterior, as in the EM. Held-out rows are in none.
+    The label model counts the votes of all documents. Without labels the voters' prior beliefs start the EM.
     """
     voters = Voters(mine_words(docs, labels, fit_rows))
     with small_batches(docs.sparkSession):
@@ -239,20 +266,21 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> tuple[Mod
     patterns = cut_lineage(joined.groupBy("votes", "toxic").agg(F.count("*").alias("n")))
     model = LabelModel(voters.polarity).fit(patterns)
 
-    # rows with a known label where there are any, else all that may be learned from
-    seen = joined.where(F.col("toxic").isNotNull()).count()
-    share = min(1.0, fit_rows / max(1, seen or votes.count()))
     open_rows = votes.where(~held_out()).join(known, "doc_id", "left")
-    few = open_rows.where((F.lit(not seen) | F.col("toxic").isNotNull()) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))))
-    # bounded by fit_rows rows of a few numbers
+    sizes = open_rows.agg(F.count("toxic"), F.count("*") - F.count("toxic")).first()
+    many = [int(min(1.0, fit_rows / max(1, n)) * (1 << 30)) for n in sizes]
+    few = open_rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.when(F.col("toxic").isNotNull(), many[0]).otherwise(many[1]))
+    # bounded by twice fit_rows rows of a few numbers
     got = few.select("found", "votes", "toxic").collect()
     m, width = len(voters.polarity), len(voters.features)
-    x, bits, truth = np.zeros((len(got), width), np.float32), np.zeros((len(got), m)), np.full(len(got), np.nan)
+    x, bits, truth = np.zeros((len(got), width), bool), np.zeros((len(got), m)), np.full(len(got), np.nan)
     for i, r in enumerate(got):
         x[i, r.found] = 1
         bits[i] = r.votes >> np.arange(m) & 1
         truth[i] = np.nan if r.toxic is None else r.toxic
-    p = np.where(np.isnan(truth), model.posterior(bits), truth) if len(got) else np.zeros(0)
+    sure = ~np.isnan(truth)
+    model.calibrate(bits[sure], truth[sure])
+    p = np.where(sure, truth, model.posterior(bits)) if len(got) else np.zeros(0)
     if p.sum() < 1 or (1 - p).sum() < 1:
         # nothing to tell apart: insults count as the prior beliefs say
         w, c = np.array([4.0 if f in voters.insults else 0.0 for f in voters.features]), -3.0
