@@ -268,6 +268,19 @@ def test_nearest(spark):
     assert not got and nearest.nearest(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("data_rows", [40, 1000])
+def test_nearest_repeated_rows(spark, data_rows):
+    """A table joined with its own copy gives the same neighbours, in one block or in several."""
+    table = spark.createDataFrame(vectors(), "vec_id long, embedding array<double>")
+    want = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 12)) for r in nearest.nearest(table, 5, 1000, 1000).collect())
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 12)) for r in nearest.nearest(table.union(table), 5, 1000, data_rows).collect())
+    assert got == want and max(r[1] for r in want) == 5
+    twice = table.union(table.select("vec_id", F.transform("embedding", lambda x: x * 2)))
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 12)) for r in nearest.nearest(twice, 5, 1000, data_rows).collect()) == want
+    near = [sorted(map(tuple, hamming.hamming_nearest(t, 10, 1000, data_rows).collect())) for t in (table, twice)]
+    assert near[0] == near[1]
+
+
 def test_hamming(spark):
     rows = vectors()
     table = spark.createDataFrame([(*r, 1) for r in rows + rows[:3]], "vec_id long, embedding array<double>, rank int")

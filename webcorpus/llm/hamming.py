@@ -74,6 +74,9 @@ def hamming_tile(k: int):
         codes = pack_signs(rows)
         order = np.lexsort((vec_id, *codes.T[::-1]))
         codes, vec_id = codes[order], vec_id[order]
+        # different vectors of one id may have one code
+        once = np.r_[True, (codes[1:] != codes[:-1]).any(axis=1) | (vec_id[1:] != vec_id[:-1])][:len(codes)]
+        codes, vec_id = codes[once], vec_id[once]
         # of equal codes only the k + 1 smallest ids can be among the k nearest of anything
         new = np.r_[True, (codes[1:] != codes[:-1]).any(axis=1)] if len(codes) else np.zeros(0, bool)
         first = np.maximum.accumulate(np.where(new, np.arange(len(codes)), 0))
@@ -92,7 +95,7 @@ def hamming_nearest(vectors: DataFrame, k: int = 10, query_rows: int = 2048, dat
 
     A code has one bit per component, set where it is above zero. Exact, ties to smaller vec_id. Every block of rows has
     its own index. Rows with a null id and vectors that are null, empty or hold null or non-finite components take
-    no part; vectors of different lengths never meet; equal rows count once.
+    no part; vectors of different lengths never meet; equal codes of one id count once.
     """
     rows = usable(vectors, zero=True).dropDuplicates(["vec_id", "v"])
     found = block_join(rows, hamming_tile(k), query_rows, data_rows).distinct()
