@@ -28,7 +28,7 @@ from .tokens import forget
 
 #: Bits of the table of shared shingles, of the table of their frequency classes, and of a set's sketch.
 SHARED_BITS, LEVEL_BITS, SKETCH = 27, 22, 2048
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary()), ("token", pa.list_(pa.int64())), ("pos", pa.list_(pa.int64()))])
+SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary()), ("token", pa.list_(pa.int64())), ("pos", pa.list_(pa.int64())), ("text_hash", pa.int64())])
 
 
 def _need(n1: Column, n2: Column, percent: int) -> Column:
@@ -102,7 +102,7 @@ def shared_tables(docs: DataFrame, k: int, range_bits: int = 8, flush_at: int =
 
 
 def file_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per row ``doc_id, n, cls`` (fingerprint of its set), a sketch and its list entries (empty for most)."""
+    """Per row ``doc_id, n, cls`` (fingerprint of its set), a sketch and its list entries (empty for most), and ``text_hash``."""
     tables = docs.sparkSession.sparkContext.broadcast(shared_tables(docs, k))
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +110,7 @@ def file_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
         bits, levels = (np.frombuffer(x, np.uint8) for x in tables.value)
         seen: set[int] = set()
         for b in batches:
-            ids, rows = b.column(0).to_pylist(), []
+            ids, hashes, rows = b.column(0).to_pylist(), b.column(2).to_pylist(), []
             for at, run in by_bytes(b.column(1), 1 << 18):
                 for i, s in enumerate(shingle_sets(run, k)):
                     n, c, sketch, token, pos = len(s), set_id(s), None, [], []
@@ -127,11 +127,11 @@ def file_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                             token = own[np.argsort(level, kind="stable")][:prefix - alone].view(np.int64).tolist()
                             pos = list(range(alone, alone + len(token)))
                             sketch = np.packbits(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
-                    rows.append((ids[at + i], n, c, sketch, token, pos))
+                    rows.append((ids[at + i], n, c, sketch, token, pos, hashes[at + i]))
             if rows:
                 yield batch(SETS, list(zip(*rows)))
 
-    return cut_lineage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(file, "doc_id long, n long, cls long, sketch binary, token array<long>, pos array<long>"))
+    return cut_lineage(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(file, "doc_id long, n long, cls long, sketch binary, token array<long>, pos array<long>, text_hash long"))
 
 
 @F.arrow_udf(T.LongType())
@@ -262,10 +262,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     unless all are null. Other columns are not read.
     """
     with small_batches(docs.sparkSession):
-        return _components(docs, k, percent)
+        return _components(docs, k, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The rows of ``jaccard_components`` with ``text_hash`` and ``group``, a number of the component (null for empty sets)."""
     sets = file_sets(docs, k, percent)
     classes = cut_lineage(sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("sketch").alias("sketch")))
     entries = sets.where(F.size("token") > 0).select("cls", "n", F.element_at("pos", 1).alias("alone"), F.explode(F.arrays_zip("token", "pos")).alias("e"))
@@ -304,22 +305,27 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     placed = classes.select("cls", "doc_id").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least_id = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_class = placed.join(least_id, "component").select(F.col("cls").alias("_cls"), "component_id")
-    joined = sets.select("doc_id", "n", "cls").join(by_class, (F.col("cls") == F.col("_cls")) & (F.col("n") > 0), "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    by_class = placed.join(least_id, "component").select(F.col("cls").alias("_cls"), F.col("component").alias("group"), "component_id")
+    joined = sets.select("doc_id", "n", "cls", "text_hash").join(by_class, (F.col("cls") == F.col("_cls")) & (F.col("n") > 0), "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash", "group")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """The rows whose doc_id is the smallest of its component, with all columns.
+    """One row of every component, with all columns: that of the smallest doc_id, a null one last, then of the least text hash.
 
-    Of rows with the same doc_id and text one stays. Rows with empty sets are alone and stay. Only the ids that go are joined with
+    Of rows with the same doc_id and text one stays. Rows with empty sets are alone and stay. Rows go by doc_id and text
+    hash: a null or repeated doc_id takes no other text along. Only these two of the rows that go are joined with
     the documents: a stored table, which Spark broadcasts while it is small.
     """
-    groups = cut_lineage(jaccard_components(docs, k, percent))
-    gone = cut_lineage(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
-    kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
-    again = cut_lineage(groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
+    with small_batches(docs.sparkSession):
+        groups = cut_lineage(_components(docs, k, percent).select("doc_id", "text_hash", "group"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    stays = groups.where("group is not null").groupBy("group").agg(F.min(first).alias("stays"))
+    other = ~(F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_hash") == F.col("stays.text_hash")))
+    gone = cut_lineage(groups.join(stays, "group").where(other).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    met = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    kept = docs.join(gone, met, "left_anti")
+    again = cut_lineage(groups.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).count().where("count > 1").drop("count"))
     if again.isEmpty():
         return kept
-    met = F.col("doc_id").cast("long").eqNullSafe(F.col("_again"))
     return kept.join(again, met, "left_anti").unionByName(kept.join(again, met, "left_semi").dropDuplicates(["doc_id", "text"]))
