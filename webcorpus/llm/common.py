@@ -62,6 +62,28 @@ def by_bytes(texts: pa.Array, limit: int = 1 << 20, rows: int = 256) -> Iterator
         yield begin, run
 
 
+def drop_folder(path: str) -> None:
+    """Delete a folder of the shared storage that its maker no longer needs; a missing one is fine."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    if store.get_file_info(at).type == fs.FileType.Directory:
+        store.delete_dir(at)
+
+
+@contextmanager
+def settings(spark: SparkSession, **conf: str):
+    """Session settings that hold while the jobs inside run."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000):
     """Whole texts go to Python in Arrow batches of fewer rows while the jobs inside run."""

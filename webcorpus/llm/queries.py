@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import binary_output, hamming, licenses, mixing, nearest, packing, set_join, token_counts, toxicity, warc
+from pyspark.sql import functions as F
+
+from . import binary_output, hamming, licenses, line_dedup, mixing, nearest, packing, set_join, token_counts, toxicity, warc
 from .common import table
 
 
@@ -46,7 +48,12 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hamming_topk, op2_nearest, op3_wavelet_output, op4_mixing, op5_token_counts, op6_packing, op7_warc, op8_jaccard_join, op9_licences, op10_toxicity)}
+def op12_line_dedup(spark, sf_dir):
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hamming_topk, op2_nearest, op3_wavelet_output, op4_mixing, op5_token_counts, op6_packing, op7_warc, op8_jaccard_join, op9_licences, op10_toxicity, op12_line_dedup)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -91,5 +98,14 @@ r AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT e.y, r.c FROM
 m AS (SELECT d, min(c) AS c FROM r GROUP BY d)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.d = d.doc_id
+""",
+    "op12_line_dedup": f"""
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM s),
+k AS (SELECT doc_id, line, pos, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{_UPPER}', '{_LOWER}') AS key FROM l),
+o AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+m AS (SELECT k.doc_id, k.pos, k.line, o.first IS NOT NULL AND k.doc_id > o.first AS gone FROM k LEFT JOIN o ON o.key = k.key)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
 """,
 }
