@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import binary_output, hamming, licenses, line_dedup, mixing, nearest, packing, set_join, token_counts, toxicity, warc
+from ..functions.bind import let
+from . import binary_output, hamming, licenses, line_dedup, mixing, nearest, packing, periods, set_join, token_counts, toxicity, warc
 from .common import table
 
 
@@ -53,7 +54,31 @@ def op12_line_dedup(spark, sf_dir):
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hamming_topk, op2_nearest, op3_wavelet_output, op4_mixing, op5_token_counts, op6_packing, op7_warc, op8_jaccard_join, op9_licences, op10_toxicity, op12_line_dedup)}
+def with_planted_periods(docs):
+    """Of every document with ``crc32(doc_id) % 10 = 0``, the words behind a prefix repeat with a period (both from the crc32). Null ids stay as they are."""
+    h, blank = F.crc32(F.col("doc_id").cast("string").cast("binary")), "[\\x20\\x09-\\x0D]+"
+    g = F.floor(h / 10).cast("long")
+
+    def turned(words):
+        n = F.size(words).cast("long")
+        spans = F.struct((g % n).alias("a"), (1 + F.floor((n - g % n) / (3 + g % 8))).cast("long").alias("p"))
+        return let(spans, lambda s: F.array_join(F.transform(words, lambda w, i: F.when(i < s["a"], w).otherwise(F.get(words, (s["a"] + (i - s["a"]) % s["p"]).cast("int")))), " "))
+
+    bare = F.regexp_replace("text", f"^{blank}|{blank}$", "")
+    return docs.select("doc_id", F.when((h % 10 == 0) & (bare != ""), let(F.split(bare, blank), turned)).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periods(spark, sf_dir):
+    found = periods.periodic_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return found.select("doc_id", "runs", "text", best.alias("best")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hamming_topk, op2_nearest, op3_wavelet_output, op4_mixing, op5_token_counts, op6_packing, op7_warc, op8_jaccard_join, op9_licences, op10_toxicity, op12_line_dedup, op13_periods)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
