@@ -4,6 +4,7 @@ import collections
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from webcorpus.llm import divergence
@@ -45,10 +46,10 @@ def plain(rows, least=3, top=200):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block,tile,shards", [(400_000, 1024, None), (3, 2, 5), (1, 1, 1)])
-def test_divergence(spark, block, tile, shards):
+@pytest.mark.parametrize("block,shards", [(400_000, None), (3, 5), (1, 1)])
+def test_divergence(spark, block, shards):
     docs = spark.createDataFrame([(i, t, g, s, "x", 1) for i, t, g, s in ROWS], SCHEMA).repartition(3)
-    got = divergence.divergence(docs, block=block, tile=tile, shards=shards)
+    got = divergence.divergence(docs, block=block, shards=shards)
     assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
     assert sorted(tuple(r) for r in got.collect()) == plain(ROWS)
 
@@ -71,13 +72,31 @@ def test_shares_beyond_64_bits():
 
 def test_long_texts_are_cut_between_terms():
     text = "Über den Wolken " * 500 + "x" * 300
-    assert divergence.terms(text, 64) == collections.Counter(w.encode() for w in TERM.findall(text.translate(LOWER)))
+    assert [w for part in divergence.words(text, 64) for w in part] == [w.encode() for w in TERM.findall(text.translate(LOWER))]
 
 
-def test_merge_of_runs():
-    runs = [sorted((b"en", bytes([97 + (i * k) % 26]), b"s", i, 1) for i in range(50)) for k in (1, 3, 7)]
+@pytest.mark.parametrize("size", [1, 2, 7, 1 << 15])
+def test_merge_of_runs(size):
+    rng = np.random.default_rng(size)
+    entries = []
+    for k in range(6):
+        rows = [(b"k%02d" % rng.integers(30), [None, b"s", b"t"][rng.integers(3)], int(rng.integers(1, 9))) for _ in range(40 * min(k, 1))]
+        entries.append(sorted(rows, key=lambda r: r[0]))
     want = collections.Counter()
-    for e in (e for r in runs for e in r):
-        want[e[:3]] += e[3]
-    merged = list(divergence.merge_runs([divergence.pack_run(r) for r in runs]))
-    assert merged == sorted(merged) and {e[:3]: e[3] for e in merged} == want and sum(e[4] for e in merged) == 150
+    for rows in entries:
+        for key, source, n in rows:
+            want[key, source] += n
+    tables = [pa.table([list(c) for c in zip(*rows)] if rows else [[], [], []], schema=divergence.RUN) for rows in entries]
+    merged = list(divergence.merge_runs([divergence.pack_run(t, size) for t in tables]))
+    got = [tuple(r.values()) for t in merged for r in t.to_pylist()]
+    assert [r[0] for r in got] == sorted(r[0] for r in got) and {r[:2]: r[2] for r in got} == want and len(got) == len(want)
+    assert all(a["key"][-1].as_py() < b["key"][0].as_py() for a, b in zip(merged, merged[1:]) if len(a) and len(b))
+
+
+def test_corrections_handed_on_early():
+    sums, got = divergence.Corrections(most=3), collections.Counter()
+    for k in range(5):
+        for b in [*sums.add("x", False, np.array([k % 2, 1]), np.array([[1, 2], [3, 4]])), *(sums.flush() if k == 4 else ())]:
+            for r in b.to_pylist():
+                got[r["i"], r["j"]] += r["value"]
+    assert got == {(0, 0): 3, (0, 1): 6, (1, 0): 17, (1, 1): 24}
