@@ -1,8 +1,9 @@
 """HTML expressions: no parser, no Python worker.
 
 Everything here is an expression over the page string and prunes like any other column. Where
-elements of one name nest, their tags are counted; what nobody closes needs the document tree
-of ``operators.dom``.
+elements of one name nest, a page is split once at the tags of that name and their running sum
+gives the depth: no pattern looks at the text between two tags, so time grows with the page
+alone, whatever is left open. What nobody closes needs the document tree of ``operators.dom``.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from . import fixed
-from .bind import let
+from .bind import let, scan
 from .references import decode_references
 from .text import collapse_space, strip_space
 
@@ -30,13 +31,32 @@ def unescape(text) -> Column:
     return decode_references(_c(text))
 
 
+def _up_to_last(h: Column, end: str) -> Column:
+    """The text up to the last match of ``end``: in it, everything that begins finds an end."""
+    return F.regexp_extract(h, rf"(?is)^(.*{end})", 1)
+
+
+def _replace_closed(h: Column, begin: str, end: str) -> Column:
+    """Drops all stretches from ``begin`` to the next ``end``; open ones stay."""
+    return let(_up_to_last(h, end), lambda head: F.concat(F.regexp_replace(head, rf"(?is){begin}.*?{end}", ""), F.substring(h, F.length(head) + 1, F.length(h))))
+
+
 def without_comments(html) -> Column:
-    return F.regexp_replace(_c(html), r"(?s)<!--.*?-->", "")
+    def cut(h):
+        # up to the last end, every comment that begins is closed
+        closed = F.length(h) - F.length(F.substring_index(h, "-->", -1))
+        dropped = let(closed, lambda n: F.concat(F.regexp_replace(F.substring(h, F.lit(1), n), r"(?s)<!--.*?-->", ""), F.substring(h, n + 1, F.length(h))))
+        return F.when(h.contains("<!--"), dropped).otherwise(h)
+
+    return let(_c(html), cut)
 
 
 def without_code(html) -> Column:
     """Page without comments, scripts and styles: what tag patterns may look at."""
-    return F.regexp_replace(without_comments(html), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
+    def without(h, name):
+        return let(h, lambda x: F.when(x.rlike(f"(?i)</{name}"), _replace_closed(x, rf"<{name}\b[^>]*>", rf"</{name}\s*>")).otherwise(x))
+
+    return without(without(without_comments(html), "script"), "style")
 
 
 def title(html) -> Column:
@@ -44,8 +64,8 @@ def title(html) -> Column:
 
 
 def description(html) -> Column:
-    name_first = r"""(?is)<meta\b[^>]*\bname\s*=\s*["']?description["']?[^>]*\bcontent\s*=\s*["']([^"']*)["']"""
-    content_first = r"""(?is)<meta\b[^>]*\bcontent\s*=\s*["']([^"']*)["'][^>]*\bname\s*=\s*["']?description["'\s/>]"""
+    name_first = r"""(?is)<meta\b[^>]*(?<=\s)name\s*=\s*["']?description(?=["'\s/>])["']?[^>]*(?<=["'\s])content\s*=\s*["']([^"']*)["']"""
+    content_first = r"""(?is)<meta\b[^>]*(?<=\s)content\s*=\s*["']([^"']*)["'][^>]*(?<=["'\s])name\s*=\s*["']?description["'\s/>]"""
     h = _c(html)
     return unescape(
         F.coalesce(
@@ -57,7 +77,7 @@ def description(html) -> Column:
 
 
 def language(html) -> Column:
-    lang = F.regexp_extract(_c(html), r"""(?is)<html\b[^>]*\blang\s*=\s*["']?([^"'\s>]+)""", 1)
+    lang = F.regexp_extract(_c(html), r"""(?is)<html\b[^>]*(?<=\s)lang\s*=\s*["']?([^"'\s>]+)""", 1)
     return F.coalesce(_nullif_empty(lang), F.lit("en"))
 
 
@@ -97,7 +117,7 @@ def inner_text(html) -> Column:
 def headings(html) -> Column:
     """level, text (at most 500 characters) and id of every heading in order."""
     pat = r"(?is)(<h[1-6]\b[^>]*>.*?</h[1-6]\s*>)"
-    blocks = F.regexp_extract_all(without_code(html), F.lit(pat), F.lit(1))
+    blocks = F.regexp_extract_all(_up_to_last(without_code(html), r"</h[1-6]\s*>"), F.lit(pat), F.lit(1))
     return F.transform(
         blocks,
         lambda b: F.struct(
@@ -121,7 +141,7 @@ def hrefs(html) -> Column:
 def link_records(html) -> Column:
     """href, anchor text (at most 200 characters) and rel; script links dropped."""
     pat = r"(?is)(<a\b[^>]*\bhref\s*=[^>]*>.*?)</a\s*>"
-    blocks = F.regexp_extract_all(without_code(html), F.lit(pat), F.lit(1))
+    blocks = F.regexp_extract_all(_up_to_last(without_code(html), r"</a\s*>"), F.lit(pat), F.lit(1))
     recs = F.transform(
         blocks,
         lambda b: F.struct(
@@ -133,36 +153,51 @@ def link_records(html) -> Column:
     return F.filter(recs, lambda r: (r["href"] != "") & ~r["href"].startswith("javascript:"))
 
 
-def _balanced(h: Column, name: Column, start: Column) -> Column:
-    """The element that begins with the start tag ``start`` (a stretch of ``h``), to its own end tag.
+def _at_tags(h: Column, name: Column) -> Column:
+    """The page split before every start and end tag of a name."""
+    return F.split(h, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"[\s/>])")))
+
+
+def _tag(piece: Column) -> Column:
+    """The tag at the head of a piece, all of it where nothing ends the tag."""
+    return let(F.instr(piece, ">"), lambda n: F.when(n > 0, F.substring(piece, F.lit(1), n)).otherwise(piece))
+
+
+def _behind_tag(piece: Column) -> Column:
+    return let(F.instr(piece, ">"), lambda n: F.when(n > 0, F.substring(piece, n + 1, F.length(piece))).otherwise(""))
+
+
+def _balanced(tail: Column, name: Column) -> Column:
+    """The element whose start tag begins ``tail``, to its own end tag.
 
     Tags of the same name inside are counted. Without any end tag there is no element (None); with too few it goes to the end of the page.
     """
-    def cut(tail):
-        # stretches that end in a tag of that name
-        parts = F.regexp_extract_all(tail, F.concat(F.lit(r"(?is)(.*?</?"), name, F.lit(r"(?=[\s/>])[^>]*>)")), F.lit(1))
-
+    def cut(pieces):
         def step(s, p):
-            closing = p.rlike(r"</[^<>]*>$")
+            closing = p.startswith("</")
             depth = s["depth"] + F.when(closing, -1).otherwise(1)
-            size = s["size"] + F.length(p)
-            return F.when(s["done"], s).otherwise(F.struct(depth.alias("depth"), size.alias("size"), (depth <= 0).alias("done"), (s["closed"] | closing).alias("closed")))
+            return F.when(s["done"], s).otherwise(F.struct(depth.alias("depth"), (s["n"] + 1).alias("n"), (depth <= 0).alias("done"), (s["closed"] | closing).alias("closed")))
 
-        zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"), F.lit(False).alias("closed"))
-        return let(F.aggregate(parts, zero, step), lambda s: F.when(s["done"], F.substring(tail, F.lit(1), s["size"])).when(s["closed"], tail))
+        zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"), F.lit(False).alias("closed"))
+        return let(F.aggregate(pieces, zero, step), lambda s: F.when(s["done"], F.concat(F.array_join(F.slice(pieces, 1, s["n"] - 1), ""), _tag(F.get(pieces, s["n"] - 1)))).when(s["closed"], tail))
 
-    return let(F.substring(h, F.instr(h, start), F.length(h)), cut)
+    return let(_at_tags(tail, name), cut)
+
+
+def _from_tag(h: Column, name: str) -> Column:
+    """The page from the first start tag of a name on, None where there is none."""
+    return F.get(F.split(F.concat(F.lit(" "), h), rf"(?i)(?=<{name}[\s/>])", 2), 1)
 
 
 def _element(h: Column, tag: str) -> Column:
     """The first element of a name, None where there is none."""
-    return let(F.regexp_extract(h, rf"(?is)(<{tag}(?=[\s/>])[^>]*>)", 1), lambda start: F.when(start != "", _balanced(h, F.lit(tag), start)))
+    return let(_from_tag(h, tag), lambda tail: F.when(tail.isNotNull(), _balanced(tail, F.lit(tag))))
 
 
 def _role_main(h: Column) -> Column:
     role = r"""(?is)(<[a-z][a-z0-9-]*\b[^>]*(?<=\s)role\s*=\s*(?:"main"|'main'|main(?=[\s/>]))[^>]*>)"""
     name = lambda start: F.regexp_extract(start, r"(?s)^<([A-Za-z0-9-]+)", 1)
-    return let(F.regexp_extract(h, role, 1), lambda start: F.when(start != "", _balanced(h, name(start), start)))
+    return let(F.regexp_extract(h, role, 1), lambda start: F.when(start != "", let(F.substring(h, F.instr(h, start), F.length(h)), lambda tail: _balanced(tail, name(start)))))
 
 
 def main_content(html) -> Column:
@@ -184,56 +219,67 @@ def body_content(html) -> Column:
 def _without(html: Column, start_tag: str) -> Column:
     """Drops every element whose start tag matches, with all it holds.
 
-    Only tags of the names that occur in such start tags are looked at. An element without an end tag keeps what follows its start.
+    Name by name: only tags of the names that occur in such start tags are looked at. An element that is not closed stays, start tag and all.
     """
-    def drop(h):
-        names = F.array_distinct(F.transform(F.regexp_extract_all(h, F.lit(rf"(?is)({start_tag})"), F.lit(1)), lambda t: F.lower(F.regexp_extract(t, r"(?s)^<([A-Za-z0-9-]+)", 1))))
+    def tags(h):
+        found = F.regexp_extract_all(h, F.lit(rf"(?is)({start_tag})"), F.lit(1))
+        return F.array_distinct(F.transform(found, lambda t: F.lower(F.regexp_extract(t, r"(?s)^<([A-Za-z0-9-]+)", 1))))
+
+    return let(html, lambda h: F.aggregate(tags(h), h, lambda page, name: _without_named(page, name, rf"(?is)^(?:{start_tag})")))
+
 
-        def with_names(names):
-            tag = F.concat(F.lit(r"</?(?:"), F.array_join(names, "|"), F.lit(r")(?=[\s/>])"))
-            tokens = F.regexp_extract_all(h, F.concat(F.lit("(?is)("), tag, F.lit("[^>]*>|.+?(?="), tag, F.lit(r"|\z))")), F.lit(1))
-            return F.when(F.size(names) > 0, let(tokens, lambda ts: F.array_join(_kept(ts, tag), ""))).otherwise(h)
+#: Depth of no element.
+_OPEN_NOWHERE = -(1 << 30)
 
-        return let(names, with_names)
 
-    def _kept(tokens, tag):
-        marks = F.filter(
-            F.transform(tokens, lambda t, i: F.struct(
-                i.alias("i"), F.lower(F.regexp_extract(t, r"(?s)^</?([A-Za-z0-9-]+)", 1)).alias("name"), t.startswith("</").alias("closing"),
-                t.rlike(rf"(?is)^(?:{start_tag})").alias("starts"))),
-            lambda m: m["name"] != "")
+def _without_named(page: Column, name: Column, start_tag: str) -> Column:
+    """Drops the closed elements of one name whose start tag matches."""
+    def split(pieces):
+        # only the first piece may begin with something else than a tag of the name
+        def mark(p, i):
+            tag = (i > 0) | F.rlike(p, F.concat(F.lit("(?i)^</?"), name, F.lit(r"[\s/>]")))
+            return F.struct(F.when(~tag, 0).when(p.startswith("</"), -1).otherwise(1).alias("sign"), (tag & p.rlike(start_tag)).alias("begins"))
 
-        def step(s, m):
-            def to(name, depth, begin, cuts):
-                return F.struct(name.alias("name"), depth.alias("depth"), begin.alias("begin"), cuts.alias("cuts"))
+        # from the last piece back: the sum of signs from a piece on, and its greatest value behind the piece. An element is closed if that reaches its own
+        zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("behind"), F.lit(0).alias("most"), F.lit(False).alias("begins"))
 
-            depth = s["depth"] + F.when(m["closing"], -1).otherwise(1)
-            ended = F.concat(s["cuts"], F.array(F.struct(s["begin"].alias("a"), (m["i"] + 1).alias("b"))))
-            return (
-                F.when((s["name"] == "") & m["starts"] & m["name"].isin(_VOID), to(s["name"], s["depth"], s["begin"], F.concat(s["cuts"], F.array(F.struct(m["i"].alias("a"), (m["i"] + 1).alias("b"))))))
-                .when((s["name"] == "") & m["starts"], to(m["name"], F.lit(1), m["i"], s["cuts"]))
-                .when((s["name"] != m["name"]) | (s["name"] == ""), s)
-                .when(depth > 0, to(s["name"], depth, s["begin"], s["cuts"]))
-                .otherwise(to(F.lit(""), F.lit(0), F.lit(0), ended)))
+        def back(s, m):
+            now = s["sum"] + m["sign"]
+            return F.struct(now.alias("sum"), s["most"].alias("behind"), F.greatest(s["most"], now).alias("most"), m["begins"].alias("begins"))
 
-        zero = F.struct(F.lit("").alias("name"), F.lit(0).alias("depth"), F.lit(0).alias("begin"), F.array().cast("array<struct<a:int,b:int>>").alias("cuts"))
+        # the depth behind a piece is its sum of signs less its own sign: the ``sum`` of the next piece
+        def forth(s, m):
+            open_ = s["level"] != _OPEN_NOWHERE
+            ended = open_ & (m["sum"] == s["level"])
+            starts = ~(open_ & ~ended) & m["begins"]
+            closed = starts & ~name.isin(_VOID) & (m["behind"] >= m["sum"])
+            level = F.when(closed, m["sum"]).when(open_ & ~ended, s["level"]).otherwise(_OPEN_NOWHERE)
+            return F.struct(level.cast("int").alias("level"), ended.alias("ended"), (starts & name.isin(_VOID)).alias("void"))
 
-        def between(cuts):
-            begins = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda c: c["b"]))
-            ends = F.concat(F.transform(cuts, lambda c: c["a"]), F.array(F.size(tokens)))
-            return F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice(tokens, a + 1, b - a)))
+        states = scan(F.reverse(scan(F.reverse(F.transform(pieces, mark)), zero, back)), F.struct(F.lit(_OPEN_NOWHERE).alias("level"), F.lit(False).alias("ended"), F.lit(False).alias("void")), forth)
+        return let(states, lambda st: F.array_join(kept(pieces, st), ""))
 
-        return let(F.aggregate(marks, zero, step)["cuts"], between)
+    def kept(pieces, states):
+        # the end tag is the last piece inside its element: what follows it stays
+        def one(p, i):
+            inside = F.get(states, i)["level"] != _OPEN_NOWHERE
+            last = F.coalesce(F.get(states, i + 1)["ended"], inside & (i == F.size(pieces) - 1))
+            return F.when(~inside & ~F.get(states, i)["void"], p).when(~inside | last, _behind_tag(p)).otherwise("")
 
-    return let(html, drop)
+        return F.transform(pieces, one)
+
+    return let(_at_tags(page, name), split)
 
 
 #: Elements that hold nothing and have no end tag.
 _VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 
 
+_NOISE_TAG = rf"<(?:{'|'.join(fixed.NOISE_TAGS)})(?=[\s/>])[^>]*>"
+
+
 def without_noise_tags(html) -> Column:
-    return _without(_c(html), rf"<(?:{'|'.join(fixed.NOISE_TAGS)})(?=[\s/>])[^>]*>")
+    return _without(_c(html), _NOISE_TAG)
 
 
 def is_noise_class(css_class) -> Column:
@@ -251,18 +297,22 @@ def _noise_word_regex() -> str:
     return rf"(?:{'|'.join(fixed.NOISE_CLASS_WORDS)}|[^\s\"'_-]*(?:{suffix}))"
 
 
-def without_noise_classes(html) -> Column:
-    """Drop elements whose class is page furniture, with all they hold."""
+def _noise_class_tag() -> str:
     word = _noise_word_regex()
     quoted = "|".join(rf"{q}(?:[^{q}]*[-_\s])?{word}(?:[-_\s][^{q}]*)?{q}" for q in ('"', "'"))
     bare = rf"(?:[^\s\"'>]*[-_])?{word}(?:[-_][^\s\"'>]*)?(?=[\s/>])"
-    return _without(_c(html), rf"<[a-z][a-z0-9-]*\b[^>]*(?<=\s)class\s*=\s*(?:{quoted}|{bare})[^>]*>")
+    return rf"<[a-z][a-z0-9-]*\b[^>]*(?<=\s)class\s*=\s*(?:{quoted}|{bare})[^>]*>"
+
+
+def without_noise_classes(html) -> Column:
+    """Drop elements whose class is page furniture, with all they hold."""
+    return _without(_c(html), _noise_class_tag())
 
 
 def clean_content(html, only_main: bool = True) -> Column:
-    """Content element without page furniture."""
+    """Content element without page furniture, by tag or by class."""
     h = main_content(html) if only_main else body_content(html)
-    return without_noise_classes(without_noise_tags(h))
+    return _without(h, f"(?:{_NOISE_TAG}|{_noise_class_tag()})")
 
 
 def plain_text(content) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from html.entities import html5
 
 from pyspark.sql import Column, functions as F
@@ -14,17 +13,32 @@ _PIECE = r"(&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?|&|[^&]+)"
 _OPEN_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
 
 
-def _named() -> Column:
-    """Two-step table: the first two letters of a name, then the name. A space that does not break counts as a space."""
-    table: dict[str, dict[str, str]] = {}
-    for name, value in html5.items():
-        table.setdefault(name[:2], {})[name] = " " if value == "\xa0" else value
-    return F.from_json(F.lit(json.dumps(table)), "map<string,map<string,string>>")
+#: Marks in the table of names: before a name, between it and its value.
+_BEFORE, _BETWEEN = "\x01", "\x02"
+#: Names that make up nearly all references in pages; they need no search.
+_COMMON = ("amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;", "copy;", "middot;")
+_RARE = f"&(?!(?:{'|'.join(_COMMON)}))[#A-Za-z]"
+
+
+def _value(name: str) -> str:
+    # a space that does not break counts as a space
+    return " " if html5[name] == "\xa0" else html5[name]
+
+
+#: One string literal: plans with a map of all names take seconds to analyse.
+_TABLE = "".join(f"{_BEFORE}{n}{_BETWEEN}{_value(n)}" for n in sorted(html5)) + _BEFORE
+_WINDOWS = "".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160))
+
+
+def _named(name: Column) -> Column:
+    """The value of a name, None for unknown ones."""
+    behind = F.call_function("substring_index", F.lit(_TABLE), F.concat(F.lit(_BEFORE), name, F.lit(_BETWEEN)), F.lit(-1))
+    return let(behind, lambda rest: F.when(F.length(rest) < len(_TABLE), F.substring_index(rest, _BEFORE, 1)))
 
 
 def _windows(code: Column) -> Column:
     """Numbers 128 to 159 mean the characters of the Windows code page."""
-    return F.element_at(F.array(*[F.lit(bytes([i]).decode("cp1252", "ignore") or chr(i)) for i in range(128, 160)]), code.cast("int") - 127)
+    return F.substring(F.lit(_WINDOWS), code.cast("int") - 127, F.lit(1))
 
 
 def _numbered(code: Column) -> Column:
@@ -42,14 +56,24 @@ def _one(piece: Column) -> Column:
     zero = F.when(piece.rlike(r"^&#(?:[xX]0+|0+);?$"), F.lit("�"))
 
     def name(n: Column) -> Column:
-        start = F.regexp_extract(n, f"^({_OPEN_NAMES})", 1)
-        whole = F.get(F.array(_named()[F.substring(n, 1, 2)][n]), F.lit(0))
-        open_ = let(start, lambda s: F.when(s != "", F.concat(_named()[F.substring(s, 1, 2)][s], F.substring(n, F.length(s) + 1, F.length(n)))))
-        return F.coalesce(whole, open_, piece)
+        # the whole name or, for names known without a semicolon, its longest beginning
+        open_ = let(F.regexp_extract(n, f"^({_OPEN_NAMES})", 1), lambda s: F.when(s != "", F.concat(_named(s), F.substring(n, F.length(s) + 1, F.length(n)))))
+        return F.coalesce(_named(n), open_, piece)
 
-    return F.when(~piece.startswith("&") | (piece == "&"), piece).when(piece.startswith("&#"), F.coalesce(zero, number)).otherwise(let(F.substring(piece, 2, F.length(piece)), name))
+    out = F
+    for n in _COMMON:
+        out = out.when(piece == f"&{n}", _value(n))
+    return out.when(~piece.startswith("&") | (piece == "&"), piece).when(piece.startswith("&#"), F.coalesce(zero, number)).otherwise(let(F.substring(piece, 2, F.length(piece)), name))
 
 
 def decode_references(text: Column) -> Column:
     """Text with all named and numbered character references decoded once, from left to right."""
-    return F.when(text.contains("&"), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(1)), _one), "")).otherwise(text)
+    def decode(t):
+        plain = t
+        # none of these values but the last holds a "&", so one after the other is the same as once from left to right
+        for n in sorted(_COMMON, key=lambda n: n == "amp;"):
+            plain = F.replace(plain, F.lit(f"&{n}"), F.lit(_value(n)))
+        pieces = F.transform(F.regexp_extract_all(t, F.lit(_PIECE), F.lit(1)), _one)
+        return F.when(~t.contains("&"), t).when(t.rlike(_RARE), F.array_join(pieces, "")).otherwise(plain)
+
+    return let(text, decode)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import html as H, text as X, urls as U
-from ..operators.segments import top_k
 from ..session import cut_lineage
 from . import sqltext as q
 from .registry import query
@@ -25,15 +24,20 @@ def clean_pages(pages: DataFrame) -> DataFrame:
 
 
 def host_report(pages: DataFrame) -> DataFrame:
-    """Per host: pages, distinct URLs, pages with content no other page had first, links."""
-    # parsed once: the narrow rows are stored, both uses below read them back
+    """Per host: pages, distinct URLs, pages with content no other page had first, links.
+
+    The narrow rows are stored once; three partial reports read them, each a plain aggregate that combines before its
+    shuffle, and meet as rows of hosts. Nothing is joined back to pages.
+    """
     rows = cut_lineage(clean_pages(pages).drop("title"))
-    # first page per hash, by window limit before the shuffle
-    firsts = top_k(rows.select("page_id", "hash"), ["hash"], [F.col("page_id")], 1).select("page_id", F.lit(1).alias("first"))
-    return (
-        rows.join(firsts, "page_id", "left").groupBy("host").agg(
-            F.count("*").alias("pages"), F.countDistinct("url").alias("urls"), F.sum(F.coalesce("first", F.lit(0))).alias("unique_pages"),
-            F.sum("links").alias("links"), F.countDistinct("language").alias("languages")))
+    none = F.lit(0).cast("long")
+    counted = rows.groupBy("host").agg(F.count("*").alias("pages"), F.sum("links").alias("links"), F.size(F.collect_set("language")).cast("long").alias("languages"))
+    urls = rows.select("host", "url").distinct().groupBy("host").agg(F.count("*").alias("urls"))
+    # the first page of every hash, as its host
+    firsts = rows.groupBy("hash").agg(F.min_by("host", "page_id").alias("host")).groupBy("host").agg(F.count("*").alias("unique_pages"))
+    names = ["pages", "urls", "unique_pages", "links", "languages"]
+    parts = [p.select("host", *(F.col(n) if n in p.columns else none.alias(n) for n in names)) for p in (counted, urls, firsts)]
+    return parts[0].union(parts[1]).union(parts[2]).groupBy("host").agg(*(F.sum(n).alias(n) for n in names))
 
 
 _ROWS = f"""WITH r AS (SELECT page_id, {q.normalize('url')} AS url, {q.domain('url')} AS host, {q.content_hash(q.plain_text(q.clean('html')))} AS hash, len({q.hrefs(q.no_code('html'))}) AS links,

@@ -340,6 +340,44 @@ def _(t):
     return t("pages").select("page_id", F.sha2(H.clean_content("html", only_main=False), 256).alias("h"))
 
 
+# ---- nested content: pages built around stored ones, so that every part of them is known ----
+
+def _nested(t):
+    """Elements in elements of one name, a page that is never closed in every third place, open elements between closed ones."""
+    deep = F.expr("cast(page_id % 7 as int)")
+    shell = [
+        F.lit("<html><body class=x><NAV a=1>menu<nav>sub</nav>more</NAV><aside>open<main id='m'><div>"), F.repeat(F.lit("<div>"), deep), F.replace("url", F.lit("&"), F.lit("+")), F.repeat(F.lit("</div>"), deep),
+        F.lit("</div><main>inner "), F.col("page_id").cast("string"), F.lit("</main><div class='card sidebar'>s<div>t<div>u</div></div>v</div><a href='/in'>end</a></main><main>late</main><footer>f<footer>g</footer></footer>"),
+        F.when(F.col("page_id") % 3 == 0, "").otherwise("</body>"), F.lit("</html>")]
+    return t("pages").select("page_id", F.concat(*shell).alias("html"))
+
+
+_HEAD, _DEEP, _END = "'<main id=''m''><div>'", "repeat('<div>', page_id % 7) || replace(url, '&', '+') || repeat('</div>', page_id % 7) || '</div><main>inner ' || page_id || '</main>'", "'<a href=''/in''>end</a></main>'"
+_SIDE = "'<div class=''card sidebar''>s<div>t<div>u</div></div>v</div>'"
+_LATE = "'<main>late</main>' || CASE WHEN page_id % 3 = 0 THEN '</html>' ELSE '</body>' END"
+_FRONT = "CASE WHEN page_id % 3 = 0 THEN '<html>' ELSE '' END || '<body class=x><aside>open'"
+
+
+@query("d10_nested_content", sql=f"SELECT page_id, {_HEAD} || {_DEEP} || {_SIDE} || {_END} AS content FROM pages")
+def _(t):
+    return _nested(t).select("page_id", H.main_content("html").alias("content"))
+
+
+@query("d11_nested_tags", sql=f"SELECT page_id, {_FRONT} || {_HEAD} || {_DEEP} || {_SIDE} || {_END} || {_LATE} AS content FROM pages")
+def _(t):
+    return _nested(t).select("page_id", H.without_noise_tags(H.body_content("html")).alias("content"))
+
+
+@query("d13_nested_noise", sql=f"SELECT page_id, {_FRONT} || {_HEAD} || {_DEEP} || {_END} || {_LATE} AS content FROM pages")
+def _(t):
+    return _nested(t).select("page_id", H.clean_content("html", only_main=False).alias("content"))
+
+
+@query("d17_nested_text", sql="SELECT page_id, trim(regexp_replace(replace(url, '&', '+'), '\\s+', ' ', 'g')) || ' inner ' || page_id || ' end' AS text, 1::BIGINT AS links FROM pages")
+def _(t):
+    return _nested(t).select("page_id", H.plain_text(H.clean_content("html")).alias("text"), F.size(H.main_links("html")).alias("links"))
+
+
 @query("d14_include_selectors")
 def _(t):
     return dom.extract(t("pages"), "page_id", "html", ["text", "links"], include=["h1", "p > b"]).withColumn("links", F.array_join("links", " "))
