@@ -9,6 +9,7 @@ the number of segments a key has.
 
 from __future__ import annotations
 
+import itertools
 import json
 
 import pandas as pd
@@ -108,6 +109,20 @@ def halo(df: DataFrame, order: str, width: int) -> DataFrame:
     )
 
 
+def exclusive_prefix(df: DataFrame, order: list[str], value: str, name: str, store=cut_lineage) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over all rows before this one, in the order of the whole table.
+
+    Rows are dealt out by ranges of the order and stored, which fixes the ranges; a window runs inside each, and one sum a
+    range (at most as many as shuffle partitions) is added up in between. No task sees more than its range.
+    """
+    dealt = store(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sums = sorted(dealt.groupBy("_part").agg(F.sum(value)).collect())
+    starts = zip([p for p, _ in sums], itertools.accumulate([0, *(n or 0 for _, n in sums)]))
+    first = df.sparkSession.createDataFrame(list(starts), "_part int, _first long")
+    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return dealt.join(F.broadcast(first), "_part").withColumn(name, F.col("_first") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_part", "_first")
+
+
 _WHOLE = 10**11  # wider than any history: one segment per key
 
 

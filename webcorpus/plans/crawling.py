@@ -134,10 +134,52 @@ def _(t):
     return _crawl(t, max_pages=None)["pages"]
 
 
-@query("f5_crawl_page_cap")
+_CAP = 40
+_ORDER = "length(url), url"
+
+
+def _capped_level(n: int, sources: str, taken: str, waiting: str) -> str:
+    """Level n of the capped crawl: queued in the order of linking pages up to twice the cap, visited in queue order up to the cap."""
+    return f"""
+  q{n} AS (SELECT url FROM (SELECT e.target AS url, row_number() OVER (ORDER BY length(e.source), e.source, e.pos) AS rn FROM edges e JOIN {sources} s ON e.source = s.url) WHERE rn <= {2 * _CAP} - {waiting} AND {taken} < {_CAP}),
+  m{n} AS (SELECT url, row_number() OVER (PARTITION BY md ORDER BY {_ORDER}) = 1 AS fresh FROM q{n} JOIN texts USING (url)),
+  b{n} AS (SELECT *, coalesce(sum(fresh::INT) OVER (ORDER BY {_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m{n}),
+  p{n} AS (SELECT url, fresh FROM b{n} WHERE before < {_CAP} - {taken})"""
+
+
+_T1 = "(SELECT count(*) + 1 FROM p1)"
+_CAPPED = (_CRAWLED.split(",\n  crawled AS")[0] + ", p1 AS (SELECT target AS url FROM edges WHERE source = '" + START + "'),"
+           + _capped_level(2, "p1", _T1, _T1) + ","
+           + _capped_level(3, "p2", f"({_T1} + (SELECT count(*) FROM p2 WHERE fresh))", f"({_T1} + (SELECT count(*) FROM q2))")
+           + f" SELECT '{START}' AS url, 0::BIGINT AS depth UNION ALL SELECT url, 1 FROM p1 UNION ALL SELECT url, 2 FROM p2 WHERE fresh UNION ALL SELECT url, 3 FROM p3 WHERE fresh")
+
+
+@query("f5_crawl_page_cap", sql=_CAPPED)
 def _(t):
     # the page and queue caps of the crawl itself
-    return _crawl(t, max_pages=40)["pages"]
+    return _crawl(t, max_pages=_CAP)["pages"]
+
+
+# robots rules and path patterns: customers 3... are left out, orders 2... but 20... are forbidden
+_SCOPED = _CRAWLED.replace("FROM walk w JOIN edges e ON e.source = w.url WHERE w.depth < 3", "FROM walk w JOIN edges e ON e.source = w.url WHERE w.depth < 3 AND NOT starts_with(e.target, 'http://site/customer/3')")
+_SCOPED = _SCOPED.split(",\n  crawled AS")[0] + """, judged AS (SELECT url, depth, md, starts_with(url, 'http://site/order/2') AND NOT starts_with(url, 'http://site/order/20') AS forbidden FROM reached JOIN texts USING (url)),
+  crawled AS (SELECT url, depth FROM (SELECT url, depth, row_number() OVER (PARTITION BY md ORDER BY depth, length(url), url) AS rn FROM judged WHERE NOT forbidden) WHERE rn = 1)"""
+
+
+def _scoped(t):
+    # the robots file of the host of the start page
+    file = t("region").filter("r_regionkey = 1").select(F.lit("site").alias("host"), F.lit("User-agent: *\nDisallow: /order/2\nAllow: /order/20").alias("body"))
+    return _crawl(t, max_pages=None, exclude=["/customer/3*"], include=["/nation/*", "/customer/", "/order/"], rules=R.parse_rules(file))
+
+
+@query("f5_crawl_scoped", sql=_SCOPED + " SELECT url, depth FROM crawled")
+def _(t):
+    return _scoped(t)["pages"]
+
+
+@query("f8_crawl_blocked", sql=_SCOPED + " SELECT url, url || ': blocked by robots.txt' AS error FROM judged WHERE forbidden")
+def _(t):
+    return _scoped(t)["errors"]
 
 
 @query("f6_robots_rules", sql=f"WITH {q.ROBOTS} SELECT host, 'disallow' AS kind, lo AS pattern FROM robots WHERE lo <> '' UNION ALL SELECT host, 'allow', hi FROM robots WHERE hi <> ''")

@@ -64,6 +64,40 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Tables of one run, in a folder of their own below the shared one; leaving the context deletes them.
+
+    Results that outlive the run are written outside, by ``cut_lineage``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.names = spark, []
+        self.folder = os.path.join(shared_dir(spark), "work", uuid.uuid4().hex)
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def store(self, df: DataFrame) -> DataFrame:
+        path = os.path.join(self.folder, uuid.uuid4().hex)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def bucketed(self, df: DataFrame, *keys: str) -> DataFrame:
+        """Store rows by the hash of ``keys``: joins on them between tables of this workspace move no row."""
+        name = f"work_{uuid.uuid4().hex}"
+        out = df.repartition(self.buckets, *keys).write.format("parquet").bucketBy(self.buckets, *keys).sortBy(*keys)
+        out.option("path", os.path.join(self.folder, name)).saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
+
+
 def stream_dir(spark: SparkSession, name: str) -> str:
     """A fresh checkpoint location for one run of a stream."""
     return os.path.join(shared_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
