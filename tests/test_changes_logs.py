@@ -57,7 +57,7 @@ def test_segmented_windows_equal_plain_windows(skewed, width):
     assert prev.select("id", "p").exceptAll(skewed.select("id", F.lag("v").over(w).alias("p"))).isEmpty()
     island = skewed.withColumn("i", F.sum(F.col("ok").cast("int")).over(run))
     runs = island.select("id", F.when(F.col("ok"), 0).otherwise(F.sum((~F.col("ok")).cast("int")).over(W.partitionBy("key", "i").orderBy("t", "id"))).cast("long").alias("run_length"))
-    assert G.failures_in_a_row(skewed, ["key"], "t", "ok", width, ["id"]).select("id", "run_length").exceptAll(runs).isEmpty()
+    assert G.failures_in_a_row(skewed, ["key"], "t", "ok", ["id"]).select("id", "run_length").exceptAll(runs).isEmpty()
 
 
 def test_salted_top_k(skewed):

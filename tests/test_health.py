@@ -110,8 +110,8 @@ def test_adaptive_multiplier(spark):
     for c in seqs["mixed"]:
         m = min(m + 0.05, 1.0) if c == "S" else max(m * 0.7, 0.1)
     want = {"one": 0.7, "three": 0.343, "recover": 1.0, "floor": 0.1, "mixed": m}
-    for width in (1, 4, None):
-        got = {r.host: r.multiplier for r in Hh.rate_multiplier(df, width=width).collect()}
+    for tiers in ((0, 1, 33), (1, 2, 3, 33), None):
+        got = {r.host: r.multiplier for r in Hh.rate_multiplier(df.repartition(3), tiers=tiers).collect()}
         assert all(abs(got[h] - w) < 1e-9 for h, w in want.items())
     lim = {r.host: (round(r.rpm, 6), r.burst) for r in Hh.effective_limits(Hh.rate_multiplier(df)).collect()}
     assert lim["one"] == (42.0, 14) and lim["floor"] == (6.0, 2) and lim["recover"] == (60.0, 20)
@@ -120,8 +120,8 @@ def test_adaptive_multiplier(spark):
 def test_engines(spark):
     rows = [("bing", 1, at(0), False, 100.0, "timeout"), ("bing", 2, at(1), False, 100.0, "captcha"), ("brave", 3, at(2), True, 500.0, None)]
     df = spark.createDataFrame(rows, "engine string, id long, ts timestamp, ok boolean, latency_ms double, code string")
-    for width in (1, None):
-        st = Hh.health_states(df, priors=fixed.ENGINE_PRIORS, error="code", width=width)
+    for tiers in ((0, 1, 33), None):
+        st = Hh.health_states(df, priors=fixed.ENGINE_PRIORS, error="code", tiers=tiers)
         snap = {r.engine: r for r in Hh.engine_snapshot(st, F.lit(at(11)).cast("timestamp")).collect()}
         assert {e: r.status for e, r in snap.items()} == {"bing": "open", "brave": "healthy", "duckduckgo": "untried"}
         assert snap["bing"].circuit_open_for_seconds == 20.0 and snap["bing"].last_error_code == "captcha" and snap["bing"].consecutive_failures == 2
@@ -130,6 +130,22 @@ def test_engines(spark):
         assert order == ["brave", "duckduckgo"]
 
 
+def test_folds_of_a_hot_host_match_plain_loops(spark):
+    rng = random.Random(4)
+    rows = [("hot" if rng.random() < 0.6 else f"h{rng.randrange(5)}", i, at(i // 3), rng.random() < 0.6, rng.random() * 3000 - 100) for i in range(6000)]
+    df = spark.createDataFrame(rows, "host string, id long, ts timestamp, ok boolean, latency_ms double").repartition(7)
+    m, s, l, run, runs = {}, {}, {}, {}, {}
+    for h, i, _, good, lat in rows:
+        m[h] = min(m.get(h, 1.0) + 0.05, 1.0) if good else max(m.get(h, 1.0) * 0.7, 0.1)
+        s[h], l[h] = s.get(h, 1.0) * 0.7 + good * 0.3, l.get(h, 0.0) * 0.7 + max(lat, 0) * 0.3
+        run[h] = runs[i] = 0 if good else run.get(h, 0) + 1
+    got = {r.host: r.multiplier for r in Hh.rate_multiplier(df, tiers=(2, 5, 33)).collect()}
+    assert got.keys() == m.keys() and all(abs(got[h] - m[h]) < 1e-12 for h in m)
+    for r in Hh.health_states(df, key="host", tiers=(3, 33)).collect():
+        assert abs(r.success_ema - s[r.host]) < 1e-12 and abs(r.latency_ema_ms - l[r.host]) < 1e-9 and r.consecutive_failures == run[r.host]
+    assert {r.id: r.run_length for r in Hh.consecutive_failures(df, ties=["id"]).collect()} == runs
+
+
 def test_endpoints(spark):
     ep = spark.createDataFrame([(f"http://p{i}:80", None if i % 2 else "u") for i in range(4)], "server string, username string").withColumn("identity", Hh.endpoint_identity("server", "username"))
     ids = [r.identity for r in ep.collect()]
@@ -138,6 +154,7 @@ def test_endpoints(spark):
     keys = spark.range(50).select(F.col("id").cast("string").alias("k"))
     got = {r.k: r.endpoint for r in Hh.rendezvous(keys, "k", ep).collect()}
     assert got == {str(k): max(ids, key=lambda e: hashlib.sha256(f"{k}\0{e}".encode()).digest()) for k in range(50)}
+    assert {r.k: r.endpoint for r in Hh.rendezvous(keys, "k", ep, block=3).collect()} == got
     reqs = spark.range(50).select("id", F.timestamp_seconds(F.col("id") * 100).alias("ts"))
     rr = Hh.round_robin(reqs, "ts", ep, ties=["id"]).orderBy("id").collect()
     assert [r.endpoint for r in rr] == [sorted(ids)[i % 4] for i in range(50)]

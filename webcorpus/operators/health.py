@@ -1,7 +1,7 @@
 """Host health from ordered outcome logs ``(host, ts, ok, ...)``.
 
-Affine folds (rate multiplier, moving averages) compose, so each segment is reduced to one
-small function and functions are chained per key. State machines (breaker, token bucket)
+Affine folds (rate multiplier, moving averages) compose: rows become small functions, which are
+composed piece by piece over ranges of (key, time), by one plan at every size. State machines (breaker, token bucket)
 use the segment-wise ``fold``.
 """
 
@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed
-from .segments import HOUR, SEG, failures_in_a_row, fold, halo, segment_width, top_k, with_segment
+from .segments import HOUR, SEG, compose, failures_in_a_row, fold, halo, ranked, top_k
 
 
-def consecutive_failures(outcomes: DataFrame, host="host", ts="ts", ok="ok", width=HOUR, ties=None) -> DataFrame:
+def consecutive_failures(outcomes: DataFrame, host="host", ts="ts", ok="ok", ties=None) -> DataFrame:
     """Failures since the last success at every row."""
-    return failures_in_a_row(outcomes, [host], ts, ok, width, ties)
+    return failures_in_a_row(outcomes, [host], ts, ok, ties)
 
 
 def recent_failure_rate(outcomes: DataFrame, host="host", ts="ts", ok="ok",
@@ -35,41 +35,24 @@ def recent_failure_rate(outcomes: DataFrame, host="host", ts="ts", ok="ok",
     ).drop(SEG, "native", "_t")
 
 
-def _segments_in_order(df: DataFrame, key: str, item: Column, name: str) -> DataFrame:
-    """All segment summaries of a key as one ordered array: bounded by time span / width."""
-    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(SEG, item.alias("f")))).alias(name))
-
-
-def rate_multiplier(outcomes: DataFrame, host="host", ts="ts", ok="ok", tie="id", width: int | None = None) -> DataFrame:
+def rate_multiplier(outcomes: DataFrame, host="host", ts="ts", ok="ok", tie="id", tiers: tuple[int, ...] | None = None) -> DataFrame:
     """Adaptive rate multiplier per host after its last outcome.
 
     A failure multiplies by 0.7 (not below 0.1), a success adds 0.05 (not above 1). Both are
     clamped affine maps, and so is their composition: x -> clamp(a*x + b, lo, hi).
     """
-    width = width or segment_width(outcomes, [host], ts)
-    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"),
-                     F.lit(fixed.MIN_MULTIPLIER).alias("lo"), F.lit(fixed.MAX_MULTIPLIER).alias("hi"))
-
-    def step(f, row):
-        up, down = F.lit(fixed.RECOVERY_STEP), F.lit(fixed.BACKOFF_FACTOR)
-        top, floor = F.lit(fixed.MAX_MULTIPLIER), F.lit(fixed.MIN_MULTIPLIER)
-        good = row["ok"]
-        return F.struct(
-            F.when(good, f["a"]).otherwise(f["a"] * down).alias("a"),
-            F.when(good, f["b"] + up).otherwise(f["b"] * down).alias("b"),
-            F.when(good, F.least(f["lo"] + up, top)).otherwise(F.greatest(f["lo"] * down, floor)).alias("lo"),
-            F.when(good, F.least(f["hi"] + up, top)).otherwise(F.greatest(f["hi"] * down, floor)).alias("hi"),
-        )
-
-    rows = F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(tie).alias("i"), F.col(ok).alias("ok"))))
-    per_seg = with_segment(outcomes, ts, width).groupBy(host, SEG).agg(rows.alias("_r")).select(
-        host, SEG, F.aggregate("_r", start, step).alias("_f"))
-    chained = _segments_in_order(per_seg, host, F.col("_f"), "_s")
-    value = F.aggregate(
-        "_s", F.lit(fixed.MAX_MULTIPLIER),
-        lambda x, s: F.least(F.greatest(s["f"]["a"] * x + s["f"]["b"], s["f"]["lo"]), s["f"]["hi"]),
-    )
-    return chained.select(host, value.alias("multiplier"))
+    low, high, good = F.lit(fixed.MIN_MULTIPLIER), F.lit(fixed.MAX_MULTIPLIER), F.col(ok)
+    one = F.struct(
+        F.when(good, F.lit(1.0)).otherwise(F.lit(fixed.BACKOFF_FACTOR)).alias("a"), F.when(good, F.lit(fixed.RECOVERY_STEP)).otherwise(F.lit(0.0)).alias("b"),
+        low.alias("lo"), high.alias("hi"))
+
+    def after(f, g):
+        clamp = lambda x: F.least(F.greatest(g["a"] * x + g["b"], g["lo"]), g["hi"])
+        return F.struct((g["a"] * f["a"]).alias("a"), (g["a"] * f["b"] + g["b"]).alias("b"), clamp(f["lo"]).alias("lo"), clamp(f["hi"]).alias("hi"))
+
+    composed = compose(outcomes, host, [ts, tie], one, after, **({"tiers": tiers} if tiers else {}))
+    value = F.least(F.greatest(F.col("f.a") * high + F.col("f.b"), F.col("f.lo")), F.col("f.hi"))
+    return composed.select(host, value.alias("multiplier"))
 
 
 def effective_limits(multipliers: DataFrame, limits: DataFrame | None = None, host="host") -> DataFrame:
@@ -88,9 +71,9 @@ def effective_limits(multipliers: DataFrame, limits: DataFrame | None = None, ho
     return m.select(
         host, "multiplier",
         F.when(full, rpm).otherwise(F.greatest(rpm * F.col("multiplier"), F.lit(0.01))).alias("rpm"),
-        # 1e-9 keeps e.g. 20 * 0.35 at 7 whatever the order of the additions was
+        # rounded first: 20 * 0.35 is 7 whatever the order of the additions was
         F.when(full, burst.cast("long")).otherwise(
-            F.greatest(F.floor(burst * F.col("multiplier") + 1e-9), F.lit(1))).cast("long").alias("burst"),
+            F.greatest(F.floor(F.round(burst * F.col("multiplier"), 9)), F.lit(1))).cast("long").alias("burst"),
     )
 
 
@@ -100,53 +83,33 @@ def outcome_history(outcomes: DataFrame, host="host", ts="ts", tie="id", n: int
 
 def health_states(outcomes: DataFrame, key="engine", ts="ts", ok="ok", latency="latency_ms", tie="id",
                   priors: dict[str, tuple[float, float]] | None = None, default_prior=(1.0, 0.0),
-                  width: int | None = None, error: str | None = None) -> DataFrame:
+                  error: str | None = None, tiers: tuple[int, ...] | None = None) -> DataFrame:
     """Per key: moving averages, counts, trailing failures, last outcome.
 
-    An average step is ``x -> 0.7*x + 0.3*v``; a segment is the pair (factor, offset).
+    An average step is ``x -> 0.7*x + 0.3*v``, the pair (factor, offset). Counts and last rows are plain aggregates.
     """
-    width = width or segment_width(outcomes, [key], ts)
-    keep, gain = F.lit(fixed.EMA_KEEP), F.lit(fixed.EMA_GAIN)
-    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("s"), F.lit(0.0).alias("l"),
-                     F.lit(0).cast("long").alias("trail"), F.lit(False).alias("any_ok"))
+    keep, gain, good = F.lit(fixed.EMA_KEEP), F.lit(fixed.EMA_GAIN), F.col(ok)
+    one = F.struct(
+        keep.alias("a"), F.when(good, gain).otherwise(F.lit(0.0)).alias("s"), (F.greatest(F.col(latency).cast("double"), F.lit(0.0)) * gain).alias("l"),
+        F.when(good, F.lit(0)).otherwise(F.lit(1)).cast("long").alias("trail"), good.alias("any_ok"))
 
-    def step(f, r):
-        good = r["ok"]
+    def after(f, g):
         return F.struct(
-            (f["a"] * keep).alias("a"),
-            (f["s"] * keep + F.when(good, gain).otherwise(F.lit(0.0))).alias("s"),
-            (f["l"] * keep + F.greatest(r["l"], F.lit(0.0)) * gain).alias("l"),
-            F.when(good, F.lit(0).cast("long")).otherwise(f["trail"] + 1).alias("trail"),
-            (f["any_ok"] | good).alias("any_ok"),
-        )
-
-    row = F.struct(F.col(ts).alias("t"), F.col(tie).alias("i"), F.col(ok).alias("ok"),
-                   F.col(latency).cast("double").alias("l"))
-    rank = F.struct(F.col(ts), F.col(tie))
+            (f["a"] * g["a"]).alias("a"), (f["s"] * g["a"] + g["s"]).alias("s"), (f["l"] * g["a"] + g["l"]).alias("l"),
+            F.when(g["any_ok"], g["trail"]).otherwise(f["trail"] + g["trail"]).alias("trail"), (f["any_ok"] | g["any_ok"]).alias("any_ok"))
+
+    composed = compose(outcomes, key, [ts, tie], one, after, **({"tiers": tiers} if tiers else {}))
     err = F.col(error) if error else F.lit(None).cast("string")
-    per_seg = (
-        with_segment(outcomes, ts, width).groupBy(key, SEG).agg(
-            F.array_sort(F.collect_list(row)).alias("_r"),
-            F.count("*").alias("n"), F.count_if(F.col(ok)).alias("good"),
-            F.max_by(F.struct(F.col(ts).alias("ts"), F.when(~F.col(ok), err).alias("err")), rank).alias("last"),
-            F.max(F.when(F.col(ok), F.col(ts))).alias("last_ok"),
-            F.max(F.when(~F.col(ok), F.col(ts))).alias("last_bad"),
-        )
-        .withColumn("f", F.aggregate("_r", start, step)).drop("_r")
-    )
-    per_key = per_seg.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(SEG, "f"))).alias("_s"),
-        F.sum("n").alias("attempts"), F.sum("good").alias("successes"),
-        F.max_by("last", SEG).alias("last"), F.max("last_ok").alias("last_success"), F.max("last_bad").alias("last_failure"),
-    )
+    counted = outcomes.groupBy(key).agg(
+        F.count("*").alias("attempts"), F.count_if(good).alias("successes"),
+        F.max_by(F.struct(F.col(ts).alias("ts"), F.when(~good, err).alias("err")), F.struct(F.col(ts), F.col(tie))).alias("last"),
+        F.max(F.when(good, F.col(ts))).alias("last_success"), F.max(F.when(~good, F.col(ts))).alias("last_failure"))
+    per_key = counted.join(composed, key)
 
     def chain(field, prior):
-        return F.aggregate("_s", prior, lambda x, s: s["f"]["a"] * x + s["f"][field])
+        return F.col("f.a") * prior + F.col(f"f.{field}")
 
-    trail = F.aggregate(
-        "_s", F.lit(0).cast("long"),
-        lambda x, s: F.when(s["f"]["any_ok"], s["f"]["trail"]).otherwise(x + s["f"]["trail"]),
-    )
+    trail = F.col("f.trail")
     table = priors or {}
     p_success, p_latency = F.lit(float(default_prior[0])), F.lit(float(default_prior[1]))
     for name, (s, l) in table.items():
@@ -386,29 +349,24 @@ def public_identity(server, username) -> Column:
     return F.concat(F.lit("proxy-"), F.substring(endpoint_identity(server, username), 1, 16))
 
 
-def _endpoint_list(endpoints: DataFrame, col: str, max_endpoints: int) -> list:
-    """Endpoints are configuration; the size is checked before they become literals."""
-    rows = endpoints.select(col).distinct().orderBy(col).limit(max_endpoints + 1).collect()
-    if len(rows) > max_endpoints:
-        raise ValueError(f"more than {max_endpoints} endpoints")
-    return [r[0] for r in rows]
+def rendezvous(keys: DataFrame, key: str, endpoints: DataFrame, identity: str = "identity", block: int = 1000) -> DataFrame:
+    """Endpoint with the highest hash of (key, identity).
 
-
-def rendezvous(keys: DataFrame, key: str, endpoints: DataFrame, identity: str = "identity",
-               max_endpoints: int = 2000) -> DataFrame:
-    """Endpoint with the highest hash of (key, identity): computed in the row, no join."""
-    ids = F.array(*[F.lit(i) for i in _endpoint_list(endpoints, identity, max_endpoints)])
+    Endpoints lie in a table of blocks; a key meets every block once, by its number, and takes its best there.
+    """
+    ids = endpoints.select(identity).distinct()
+    blocks = ranked(ids, [identity]).groupBy(F.floor(F.col("_place") / block).alias("_block")).agg(F.collect_list(identity).alias("_ids"))
+    n = blocks.count()
     k = F.col(key).cast("string")
-    scored = F.transform(ids, lambda e: F.struct(F.sha2(F.concat(k, F.lit("\0"), e), 256).alias("h"), e.alias("e")))
-    return keys.withColumn("endpoint", F.array_max(scored).getField("e"))
-
-
-def round_robin(requests: DataFrame, order: str, endpoints: DataFrame, identity: str = "identity",
-                ties: list[str] | None = None, width: int = HOUR, max_endpoints: int = 2000) -> DataFrame:
-    """Endpoints in turn over the requests in order; positions come from segment counts."""
-    from .segments import running
-
-    ids = _endpoint_list(endpoints, identity, max_endpoints)
-    pos = running(requests.withColumn("_all", F.lit(1)), ["_all"], order, width, ties, sums={"_pos": F.lit(1).cast("long")})
-    slot = (F.col("_pos") - 1) % len(ids)
-    return pos.withColumn("endpoint", F.element_at(F.array(*[F.lit(i) for i in ids]), (slot + 1).cast("int"))).drop("_pos", "_all")
+    met = keys.select(key).distinct().withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1))).cast("array<bigint>"))).join(blocks, "_block")
+    scored = F.array_max(F.transform("_ids", lambda e: F.struct(F.sha2(F.concat(k, F.lit("\0"), e), 256).alias("h"), e.alias("e"))))
+    best = met.groupBy(key).agg(F.max(scored).getField("e").alias("endpoint"))
+    return keys.join(best.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+
+
+def round_robin(requests: DataFrame, order: str, endpoints: DataFrame, identity: str = "identity", ties: list[str] | None = None) -> DataFrame:
+    """Endpoints in turn over the requests in order; places come from the sizes of ranges."""
+    ids = ranked(endpoints.select(identity).distinct(), [identity]).select(F.col("_place").alias("_slot"), F.col(identity).alias("endpoint"))
+    n = ids.count()
+    turns = ranked(requests, [order, *(ties or [])]).withColumn("_slot", F.col("_place") % F.lit(max(1, n)))
+    return turns.join(ids, "_slot").drop("_slot", "_place")

@@ -89,13 +89,63 @@ def previous(
     return out.drop(SEG, "_row", "_p", "_n", "_c")
 
 
-def failures_in_a_row(df: DataFrame, keys: list[str], order: str, ok: str, width: int = HOUR,
-                      ties: list[str] | None = None, name: str = "run_length") -> DataFrame:
-    """Failures since the last success: position minus position of the last success."""
-    pos = running(df, keys, order, width, ties, sums={"_pos": F.lit(1).cast("long")})
-    last = running(pos, keys, order, width, ties,
-                   maxes={"_ok_pos": F.when(F.col(ok), F.col("_pos")).otherwise(F.lit(0).cast("long"))})
-    return last.withColumn(name, F.col("_pos") - F.col("_ok_pos")).drop("_pos", "_ok_pos")
+#: Bits of a row number below the number of its range.
+_RANGE_BITS = 33
+
+
+def numbered(df: DataFrame, sort: list[str]) -> DataFrame:
+    """Adds ``_id``, rising in the order of ``sort`` over the whole table: number of the range, then row in the range.
+
+    Rows are dealt out by ranges of the full order, so a key with a third of all rows has a third of the ranges. The table is
+    stored once, which fixes the numbers.
+    """
+    dealt = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    return cut_lineage(dealt.withColumn("_id", F.monotonically_increasing_id()))
+
+
+def ranked(df: DataFrame, sort: list[str]) -> DataFrame:
+    """Adds ``_place``: how many rows come before, in the order of the whole table. One count a range goes to the driver."""
+    rows = numbered(df, sort).withColumn("_range", F.shiftright("_id", _RANGE_BITS))
+    counts = sorted(rows.groupBy("_range").count().collect())
+    starts = list(zip([r for r, _ in counts], itertools.accumulate([0, *(n for _, n in counts)])))
+    first = df.sparkSession.createDataFrame(starts, "_range long, _start long")
+    inside = F.col("_id").bitwiseAND(F.lit((1 << _RANGE_BITS) - 1))
+    return rows.join(F.broadcast(first), "_range").withColumn("_place", F.col("_start") + inside).drop("_range", "_id", "_start")
+
+
+def compose(df: DataFrame, key: str, sort: list[str], function: Column, join, tiers: tuple[int, ...] = (10, 20, _RANGE_BITS)) -> DataFrame:
+    """``key, f``: the functions of a key's rows, composed in order. ``join(f, g)`` is g after f.
+
+    ``function`` describes one row's map as a struct of fixed size. Pieces of at most 1024 consecutive rows become one
+    function each, 1024 of these the next, then a whole range, then the key: every group is bounded, at any size of the key
+    and by the same plan.
+    """
+    rows = numbered(df.select(key, *sort, function.alias("f")), [key, *sort]).select(key, "_id", "f")
+    for bits in (*tiers, None):
+        piece = [key] if bits is None else [key, F.shiftright("_id", bits).alias("_piece")]
+        listed = rows.groupBy(*piece).agg(F.array_sort(F.collect_list(F.struct("_id", "f"))).alias("_r"))
+        whole = F.aggregate(F.slice("_r", 2, F.size("_r")), F.col("_r")[0]["f"], lambda f, x: join(f, x["f"]))
+        rows = listed.select(key, F.col("_r")[0]["_id"].alias("_id"), whole.alias("f"))
+    return rows.select(key, "f")
+
+
+def failures_in_a_row(df: DataFrame, keys: list[str], order: str, ok: str, ties: list[str] | None = None, name: str = "run_length") -> DataFrame:
+    """Failures since the last success at every row.
+
+    Inside a range the rows of a key are numbered without gaps, so a run is a difference of numbers; what a
+    run brings along from earlier ranges is one row per key and range.
+    """
+    rows = numbered(df, [*keys, order, *(ties or [])]).withColumn("_range", F.shiftright("_id", _RANGE_BITS))
+    good = F.when(F.col(ok), F.col("_id"))
+    part = rows.groupBy(*keys, "_range").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"), F.max(good).alias("_good"))
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    passed = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    part = part.withColumn("_passed", passed).withColumn("_at", F.when(F.col("_good").isNotNull(), F.col("_passed") + F.col("_good") - F.col("_first") + 1))
+    part = part.withColumn("_carry", F.col("_passed") - F.coalesce(F.max("_at").over(before), F.lit(0)))
+    inside = W.partitionBy(*keys, "_range").orderBy("_id").rowsBetween(W.unboundedPreceding, 0)
+    met = rows.withColumn("_last", F.max(good).over(inside)).join(part.select(*keys, "_range", "_first", "_carry"), [*keys, "_range"])
+    run = F.coalesce(F.col("_id") - F.col("_last"), F.col("_id") - F.col("_first") + 1 + F.col("_carry"))
+    return met.select(*df.columns, run.alias(name))
 
 
 def halo(df: DataFrame, order: str, width: int) -> DataFrame:

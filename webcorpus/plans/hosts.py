@@ -146,7 +146,7 @@ def _(t):
 @query("h13_failure_runs", sql=f"""WITH {q.OUTCOMES}, i AS (SELECT host, id, ok, ts, sum(ok::INT) OVER (PARTITION BY host ORDER BY ts, id) AS island FROM outcomes)
   SELECT host, id, CASE WHEN ok THEN 0 ELSE sum((NOT ok)::INT) OVER (PARTITION BY host, island ORDER BY ts, id) END::BIGINT AS run_length FROM i""")
 def _(t):
-    return Hh.consecutive_failures(fx.outcomes(t), ties=["id"], width=86400).select("host", "id", "run_length")
+    return Hh.consecutive_failures(fx.outcomes(t), ties=["id"]).select("host", "id", "run_length")
 
 
 @query("h14_failure_rate", sql=f"""WITH {q.OUTCOMES}, w AS (SELECT host, id, count(*) OVER r AS calls, count(*) FILTER (NOT ok) OVER r AS failures FROM outcomes
@@ -157,21 +157,13 @@ def _(t):
     return r.select("host", "id", "calls", "failures", F.round("failure_rate", 6).alias("failure_rate"))
 
 
-# values are compared on a grid that decimal fractions of the folds never sit on the edge of
-_GRID = "floor(({0}) * 1000000 + 0.3141592) / 1000000"
-
-
-def _grid(c):
-    return F.floor(c * 1000000 + 0.3141592) / 1000000
-
-
 _MULT = f"""WITH {q.OUTCOMES}, o AS (SELECT host, list(ok ORDER BY ts, id) AS oks FROM outcomes GROUP BY 1),
   m AS (SELECT host, list_reduce(list_transform(oks, lambda x: x::INT::DOUBLE), lambda a, x: CASE WHEN x = 1 THEN least(a + 0.05::DOUBLE, 1.0::DOUBLE) ELSE greatest(a * 0.7::DOUBLE, 0.1::DOUBLE) END, 1.0::DOUBLE) AS m FROM o)"""
 
 
-@query("h15_rate_multiplier", sql=_MULT + f" SELECT host, {_GRID.format('m')} AS multiplier FROM m")
+@query("h15_rate_multiplier", sql=_MULT + " SELECT host, round(m, 9) AS multiplier FROM m")
 def _(t):
-    return Hh.rate_multiplier(fx.outcomes(t)).select("host", _grid(F.col("multiplier")).alias("multiplier"))
+    return Hh.rate_multiplier(fx.outcomes(t)).select("host", F.round("multiplier", 9).alias("multiplier"))
 
 
 _LIMITS = "l AS (SELECT 'h' || user_id AS host, (30 + user_id % 50)::DOUBLE AS rpm, 5 + user_id % 20 AS burst FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 2 = 0))"
@@ -183,10 +175,10 @@ def _limits(t):
 
 
 @query("h16_effective_limits", sql=_MULT + f""", {_LIMITS}, x AS (SELECT m.host, m.m, coalesce(l.rpm, 60.0::DOUBLE) AS rpm, coalesce(l.burst, 20) AS burst FROM m LEFT JOIN l ON l.host = m.host)
-  SELECT host, {_GRID.format('CASE WHEN m >= 1 THEN rpm ELSE greatest(rpm * m, 0.01::DOUBLE) END')} AS rpm, CASE WHEN m >= 1 THEN burst ELSE greatest(floor(burst * m + 1e-9), 1) END::BIGINT AS burst FROM x""")
+  SELECT host, round(CASE WHEN m >= 1 THEN rpm ELSE greatest(rpm * m, 0.01::DOUBLE) END, 9) AS rpm, CASE WHEN m >= 1 THEN burst ELSE greatest(floor(round(burst * m, 9)), 1) END::BIGINT AS burst FROM x""")
 def _(t):
     e = Hh.effective_limits(Hh.rate_multiplier(fx.outcomes(t)), _limits(t))
-    return e.select("host", _grid(F.col("rpm")).alias("rpm"), "burst")
+    return e.select("host", F.round("rpm", 9).alias("rpm"), "burst")
 
 
 def _bucket(t):

@@ -77,11 +77,11 @@ def _(t):
     return S.run_to_table(S.failure_rates(fx.outcomes(_Streamed(t))), "rates").withColumn("failure_rate", F.round("failure_rate", 6))
 
 
-@query("o8_live_multiplier", sql=_MULT + " SELECT host, floor(m * 1000000 + 0.3141592) / 1000000 AS multiplier FROM m")
+@query("o8_live_multiplier", sql=_MULT + " SELECT host, round(m, 9) AS multiplier FROM m")
 def _(t):
     rows = S.run_to_table(S.rate_multipliers(fx.outcomes(_Streamed(t))), "multiplier")
     last = rows.groupBy("host").agg(F.max_by("multiplier", F.struct("ts", "id")).alias("m"))
-    return last.select("host", (F.floor(F.col("m") * 1000000 + 0.3141592) / 1000000).alias("multiplier"))
+    return last.select("host", F.round("m", 9).alias("multiplier"))
 
 
 @query("o9_expirations", sql="""WITH s AS (SELECT user_id::VARCHAR AS key, max_by(event_id, ts) AS event_id, max(epoch_us(ts)) AS stored_us FROM events GROUP BY 1), x AS (SELECT key, stored_us, stored_us + (600 + event_id % 5 * 3000) * 1000000 AS expires_us FROM s)
