@@ -85,12 +85,30 @@ def test_nearest_against_brute_force(spark):
     assert all(r.relevance >= 0.6 for r in M.nearest(it, qs, "id", "q", n=6, min_relevance=0.6, where=F.col("id") > 10).collect())
 
 
-def test_approximate_nearest_finds_itself(spark):
-    rng = np.random.default_rng(2)
-    items = rng.normal(size=(200, 16))
-    it = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(items)], "id long, embedding array<double>")
-    top = M.approximate_nearest(it, items[7].tolist(), "id", n=1).first()
-    assert top.id == 7 and top.relevance > 0.999
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_recall_of_cells(spark, sf):
+    e = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    asked = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    rows = e.collect()
+    m = np.array([r.embedding for r in rows], dtype=np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    ids = np.array([r.vec_id for r in rows])
+    want = {int(q): {int(x) for x in ids[np.lexsort((ids, -(m @ v)))[:10]]} for q, v in zip(ids, m) if q % 10 == 0}
+    got = {}
+    for r in M.nearest_by_cells(e, asked, "vec_id", "query_id", n=10, block=100).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert got.keys() == want.keys()
+    assert sum(len(want[q] & got[q]) for q in want) >= 0.9 * sum(len(want[q]) for q in want)
+
+
+def test_cells_on_odd_rows(spark):
+    rows = [(1, "a", [1.0, 0.0]), (2, "a", [0.0, 0.0]), (3, "b", None), (4, "b", [0.6, 0.8]), (5, "a", [1.0, 0.0]), (5, "a", [1.0, 0.0])]
+    items = spark.createDataFrame(rows, "id long, kind string, embedding array<double>")
+    asked = spark.createDataFrame([(7, "a", [2.0, 0.0]), (8, "b", [2.0, 0.0]), (9, "c", [1.0, 1.0]), (10, "a", None)], "q long, kind string, embedding array<double>")
+    got = M.nearest_by_cells(items, asked, "id", "q", n=2, match=("kind",)).collect()
+    assert sorted((r.q, r.rank, r.id, round(r.relevance, 6)) for r in got) == [(7, 1, 1, 1.0), (7, 2, 5, 1.0), (8, 1, 4, 0.6)]
+    assert M.nearest_by_cells(items, asked, "id", "q", min_relevance=0.9, match=("kind",)).filter("q = 8").count() == 0
+    assert M.nearest_by_cells(items.limit(0), asked, "id", "q").count() == 0
 
 
 def test_unanswered_against_brute_force(spark):

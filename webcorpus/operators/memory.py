@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import fixed
+from ..session import cut_lineage
 from .segments import top_k
 
 
@@ -227,21 +228,78 @@ def related_topics(neighbours: DataFrame, items: DataFrame, item_id: str, query_
     return other.groupBy(query_id).agg(F.array_sort(F.collect_set("_t")).alias("topics"))
 
 
-def approximate_nearest(items: DataFrame, query, item_id: str, vector: str = "embedding", n: int = 5,
-                        tables: int = 8, bucket: float = 0.5, seed: int = 42) -> DataFrame:
-    """Locality-sensitive search for one query vector, re-ranked by exact cosine.
+def cell_centres(items: DataFrame, item_id: str, vector: str = "embedding", cells: int | None = None, sample_rows: int = 20_000, seed: int = 42) -> np.ndarray:
+    """Unit centres of the coarse cells: k-means on a hash sample of about ``sample_rows`` vectors.
 
-    On unit vectors Euclidean and cosine order agree, so the hash family for Euclidean
-    distance serves. The model probes neighbouring buckets until it has enough candidates.
+    The number of cells defaults to half the square root of the number of vectors, 4096 at most, so centres stay a few megabytes.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    data = items.select(item_id, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
-    data = Normalizer(inputCol="_v", outputCol="_u").transform(data).drop("_v")
-    model = BucketedRandomProjectionLSH(inputCol="_u", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(data)
-    q = _unit(np.array([query], dtype=np.float64))[0]
-    near = model.approxNearestNeighbors(data, Vectors.dense(q), n, distCol="_d")
-    # |u - q|^2 = 2 - 2 cos
-    return near.select(item_id, F.greatest(F.lit(0.0), 1.0 - F.col("_d") * F.col("_d") / 2.0).alias("relevance"))
+
+    filled = items.filter(F.col(vector).isNotNull() & (F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x) > 0))
+    n = filled.count()
+    if not n:
+        return np.zeros((0, 0))
+    k = max(2, min(cells or min(4096, int(n ** 0.5 / 2)), n))
+    part = filled.filter(F.pmod(F.xxhash64(item_id), F.lit(max(1, n // sample_rows))) == 0)
+    points = part.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    fitted = KMeans(k=k, seed=seed, initMode="random", maxIter=10, distanceMeasure="cosine").fit(points)
+    return _unit(np.array(fitted.clusterCenters(), dtype=np.float64))
+
+
+def nearest_by_cells(items: DataFrame, queries: DataFrame, item_id: str, query_id: str, vector: str = "embedding", n: int = 5, probes: int = 8,
+                     min_relevance: float | None = None, where: Column | None = None, match: tuple[str, ...] = (), centres: np.ndarray | None = None, block: int = 4096) -> DataFrame:
+    """Cosine top-n for a whole table of queries: (query_id, item_id, relevance, rank), ties to the smaller item.
+
+    Items lie in the cell of their nearest centre; a query looks into its ``probes`` nearest cells (all, if there are no
+    more: then the answer is exact) and ranks what it finds there by exact cosine. Only items that meet ``where`` and agree
+    with the query in the ``match`` columns count. Items and queries of a cell meet in blocks of about ``block`` rows each, so neither
+    a hot cell nor many queries fill one task, and a block hands on n rows a query. Only the centres pass through the driver.
+    """
+    items = items.filter(where) if where is not None else items
+    centres = cell_centres(items, item_id, vector) if centres is None else centres
+    spark = items.sparkSession
+    id_type, q_type = items.schema[item_id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+    if not len(centres):
+        return spark.createDataFrame([], f"`{query_id}` {q_type}, `{item_id}` {id_type}, relevance double, rank int")
+    shared = spark.sparkContext.broadcast(centres)
+
+    def in_cells(df: DataFrame, ident: str, take: int) -> DataFrame:
+        def assign(batches):
+            for pdf in batches:
+                pdf = pdf[pdf["_v"].notna()]
+                if len(pdf):
+                    sims = _unit(np.stack(pdf["_v"].to_numpy()).astype(np.float64)) @ shared.value.T
+                    near = np.argsort(-sims, axis=1, kind="stable")[:, :take]
+                    yield pdf.assign(_cells=list(near.astype(np.int32)))
+
+        picked = df.select(F.col(ident).alias("_id"), *[F.col(m).alias(f"_m{i}") for i, m in enumerate(match)], F.col(vector).cast("array<double>").alias("_v"))
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields)
+        return picked.mapInPandas(assign, f"{kinds}, _cells array<int>").withColumn("_cell", F.explode("_cells")).drop("_cells")
+
+    own = [f"_m{i}" for i in range(len(match))]
+    cell = [*own, "_cell"]
+    stored, asked = cut_lineage(in_cells(items, item_id, 1)), cut_lineage(in_cells(queries, query_id, min(probes, len(centres))))
+    sizes = stored.groupBy(*cell).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    waiting = asked.groupBy(*cell).agg(F.ceil(F.count("*") / block).cast("int").alias("_groups"))
+    plan = sizes.join(waiting, cell)
+    dealt = lambda name: F.pmod(F.xxhash64("_id"), F.col(name)).cast("int")
+    spread = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    left = asked.join(plan, cell).withColumn("_group", dealt("_groups")).withColumn("_block", spread("_blocks")).drop("_blocks", "_groups")
+    right = stored.join(plan, cell).withColumn("_block", dealt("_blocks")).withColumn("_group", spread("_groups")).drop("_blocks", "_groups")
+
+    def rank(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or i.empty:
+            return pd.DataFrame({query_id: [], item_id: [], "similarity": []})
+        i = i.sort_values("_id", kind="stable")
+        sims = _unit(np.stack(q["_v"].to_numpy())) @ _unit(np.stack(i["_v"].to_numpy())).T
+        top = min(n, sims.shape[1])
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :top]
+        names = i["_id"].to_numpy()
+        return pd.DataFrame({query_id: np.repeat(q["_id"].to_numpy(), top), item_id: names[order].ravel(), "similarity": np.take_along_axis(sims, order, axis=1).ravel()})
+
+    by = [*cell, "_block", "_group"]
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(rank, f"`{query_id}` {q_type}, `{item_id}` {id_type}, similarity double")
+    best = top_k(found, [query_id], [F.col("similarity").desc(), F.col(item_id)], n, name="rank")
+    out = best.select(query_id, item_id, F.greatest(F.lit(0.0), F.col("similarity")).alias("relevance"), "rank")
+    return out.filter(F.col("relevance") >= min_relevance) if min_relevance is not None else out
