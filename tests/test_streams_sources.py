@@ -55,6 +55,20 @@ def test_dedup_stream_across_batches(feed):
     assert S.run_to_table(S.dedup_stream(feed([rows[:2], rows[2:]], "text string, ts timestamp"), "text", "ts"), "t-dedup").count() == 2
 
 
+def test_stream_dedup_over_any_distance(feed):
+    rows = [(5, "A  b"), (3, "a B"), (9, "c"), (1, None), (12, "C"), (11, "d"), (2, "a b"), (13, "D"), (14, "e"), (15, ""), (16, None)]
+    out = S.dedup_to_table(feed([rows[:4], rows[4:7], rows[7:]], "doc_id long, text string"), "text", "doc_id", "t-dedup-all")
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3, 9, 11, 14, 15]
+
+
+def test_last_windows_come_out(feed):
+    rows = [("h", at(0), True), ("h", at(10), False), ("g", at(31), False), ("h", at(200), False)]
+    out = S.run_to_keyed_table(S.failure_rates(feed([rows[:1], rows[1:3], rows[3:]], "host string, ts timestamp, ok boolean")), "t-rates", ["start", "host"]).collect()
+    got = {(r.host, int((r.start - at(0)).total_seconds())): (r.calls, r.failures) for r in out}
+    want = {("h", s): (2, 1) for s in (0, -30, -60, -90)} | {("g", s): (1, 1) for s in (30, 0, -30, -60)} | {("h", s): (1, 1) for s in (180, 150, 120, 90)}
+    assert got == want
+
+
 def test_expired_entries(feed):
     batches = [[("a", at(0), 10.0), ("b", at(1), 5000.0)], [("a", at(5), 10.0)], [("z", at(100), 1.0)], [("z", at(200), 1000.0)]]
     out = S.run_to_table(S.expirations(feed(batches, "key string, stored_at timestamp, ttl double")), "t-expire").collect()

@@ -275,6 +275,18 @@ def _(t):
     return t("part").select(F.col("p_partkey").alias("id"), F.array_join(Ex.validation_errors(a, own), "; ").alias("errors"))
 
 
+@query("p4_own_record_type", sql="""SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'Missing required field: ' || chr(39) || 'maker' || chr(39) ELSE '' END AS errors,
+  round(CASE WHEN p_partkey % 2 = 0 THEN 0.85 ELSE 1.0 END::DOUBLE, 6) AS confidence FROM part""")
+def _(t):
+    # a record type of the user's own scores by its errors alone
+    from ..operators.templates import Template
+
+    own = Template("own", T.StructType([T.StructField("maker", T.StringType(), False), T.StructField("size", T.LongType())]))
+    a = F.concat(F.lit("{"), F.when(F.col("p_partkey") % 2 == 1, F.concat(F.lit('"maker": "'), "p_brand", F.lit('", '))).otherwise(""), F.lit('"size": '), F.col("p_size").cast("string"), F.lit("}"))
+    scored = Ex.score_answers(t("part").select(F.col("p_partkey").alias("id"), a.alias("answer")), own, typed=True)
+    return scored.select("id", F.array_join("errors", "; ").alias("errors"), F.round("confidence", 6).alias("confidence"))
+
+
 # ---- evidence ----------------------------------------------------------------------------
 
 @query("m1_sub_questions", sql="""SELECT text AS topic, unnest(['question', 'question', 'question', 'question', 'question', 'query', 'query', 'query', 'query']) AS kind, unnest([1, 2, 3, 4, 5, 1, 2, 3, 4])::BIGINT AS pos,

@@ -36,10 +36,9 @@ def _(t):
     return S.run_to_table(S.page_stream(t.stream("pages")), "pages").select("page_id", "url", "text", "links")
 
 
-@query("o2_stream_dedup", sql=f"SELECT DISTINCT {q.content_hash('text')} AS hash FROM documents")
+@query("o2_stream_dedup", sql=f"SELECT {q.content_hash('text')} AS hash, min(doc_id) AS doc_id FROM documents GROUP BY 1")
 def _(t):
-    d = t.stream("documents").select("text", F.timestamp_seconds(F.col("doc_id") + 1).alias("ts"))
-    return S.run_to_table(S.dedup_stream(d, "text", "ts", "3650 days").select("hash"), "dedup")
+    return S.dedup_to_table(t.stream("documents").select("doc_id", "text"), "text", "doc_id", "dedup").select("hash", "doc_id")
 
 
 @query("o3_progress", sql="SELECT sum((page_id % 9 <> 0)::INT)::BIGINT AS completed, sum((page_id % 9 = 0)::INT)::BIGINT AS errors FROM pages")
@@ -64,17 +63,16 @@ _MIN = "CASE event_type WHEN 'error' THEN 500 ELSE 200 END"
 
 
 @query("o6_live_metrics", sql=f"""SELECT minute, endpoint, count(*) AS count, round(sum(value), 4) AS latency_ms_sum, count(*) FILTER ({_MIN} = 200) AS success_count
-  FROM (SELECT epoch_us(ts) // 60000000 * 60000000 AS minute, upper(event_type) || ' /v1/x' AS endpoint, value, event_type FROM events) GROUP BY minute, endpoint
-  HAVING minute + 60000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 600000000 FROM events)""")
+  FROM (SELECT epoch_us(ts) // 60000000 * 60000000 AS minute, upper(event_type) || ' /v1/x' AS endpoint, value, event_type FROM events) GROUP BY minute, endpoint""")
 def _(t):
     e = t.stream("events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("method"), F.lit("/v1/x").alias("path"), F.col("value").alias("latency_ms"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"))
-    return S.run_to_table(S.endpoint_metrics(e), "metrics").withColumn("latency_ms_sum", F.round("latency_ms_sum", 4))
+    return S.run_to_keyed_table(S.endpoint_metrics(e), "metrics", ["minute", "endpoint"]).withColumn("latency_ms_sum", F.round("latency_ms_sum", 4))
 
 
 @query("o7_live_failure_rate", sql=f"""WITH {q.OUTCOMES}, w AS (SELECT host, ok, unnest(range(epoch_us(ts) // 30000000 - 3, epoch_us(ts) // 30000000 + 1)) * 30000000 AS start FROM outcomes)
-  SELECT start, host, count(*) AS calls, count(*) FILTER (NOT ok) AS failures, round(count(*) FILTER (NOT ok) / count(*), 6) AS failure_rate FROM w GROUP BY start, host HAVING start + 120000000 <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 600000000 FROM outcomes)""")
+  SELECT start, host, count(*) AS calls, count(*) FILTER (NOT ok) AS failures, round(count(*) FILTER (NOT ok) / count(*), 6) AS failure_rate FROM w GROUP BY start, host""")
 def _(t):
-    return S.run_to_table(S.failure_rates(fx.outcomes(_Streamed(t))), "rates").withColumn("failure_rate", F.round("failure_rate", 6))
+    return S.run_to_keyed_table(S.failure_rates(fx.outcomes(_Streamed(t))), "rates", ["start", "host"]).withColumn("failure_rate", F.round("failure_rate", 6))
 
 
 @query("o8_live_multiplier", sql=_MULT + " SELECT host, round(m, 9) AS multiplier FROM m")

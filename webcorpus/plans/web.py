@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed, html as H, text as X, urls as U
-from ..operators import dom, logs, memory, pdf, sitemap
+from ..operators import dom, logs, memory, pdf, robots, serp, sitemap
 from ..operators.segments import top_k
+from ..session import stream_dir
+from ..sources import readers, sinks
 from . import fixtures as fx, sqltext as q
 from .registry import query
 
@@ -18,6 +20,48 @@ def _(t):
     return t("pages").select("page_id", "url", F.length("html").alias("chars"), U.domain("url").alias("host"))
 
 
+# ---- files written from the tables and read back ------------------------------------------
+
+@query("a2_url_list", sql="SELECT url FROM pages")
+def _(t):
+    out = stream_dir(t.spark, "urls")
+    # blanks around every URL, a comment and an empty line behind every other
+    line = F.concat(F.lit("  "), "url", F.when(F.col("page_id") % 2 == 0, F.lit(" \t\n# seen\n\n")).otherwise(""))
+    t("pages").select(line.alias("value")).write.text(out)
+    return readers.url_list(t.spark, out)
+
+
+@query("a3_robots_files", sql=f"WITH {q.ROBOTS} SELECT host, 'disallow' AS kind, lo AS pattern FROM robots WHERE lo <> '' UNION ALL SELECT host, 'allow', hi FROM robots WHERE hi <> ''")
+def _(t):
+    out = stream_dir(t.spark, "robots")
+    fx.robots(t).write.partitionBy("host").text(out)
+    return robots.parse_rules(readers.robots_files(t.spark, out)).select("host", "kind", "pattern")
+
+
+@query("a4_sitemap_files", sql=f"SELECT DISTINCT {q.netloc('url')} AS host, url FROM pages")
+def _(t):
+    out = stream_dir(t.spark, "sitemaps")
+    # documents of one host are files of their own, as a sitemap index lists them
+    fx.sitemaps(t).select("host", "part", "xml").write.partitionBy("host", "part").text(out)
+    return sitemap.parse(readers.sitemap_files(t.spark, out)).select("host", "url").distinct()
+
+
+@query("a5_json_output", sql=f"SELECT page_id, url, len({q.hrefs(q.no_code('html'))}) AS links, array_to_string({q.hrefs(q.no_code('html'))}, ' ') AS hrefs FROM pages")
+def _(t):
+    out = stream_dir(t.spark, "json")
+    sinks.write_json(t("pages").select("page_id", "url", H.hrefs("html").alias("hrefs")), out)
+    back = t.spark.read.schema("page_id long, url string, hrefs array<string>").json(out)
+    return back.select("page_id", "url", F.size("hrefs").alias("links"), F.array_join("hrefs", " ").alias("hrefs"))
+
+
+@query("a6_csv_output", sql="SELECT p_partkey, p_name || ', \"' || p_brand || '\"' AS name, p_retailprice::DOUBLE AS price FROM part")
+def _(t):
+    out = stream_dir(t.spark, "csv")
+    name = F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"'))
+    sinks.write_csv(t("part").select("p_partkey", name.alias("name"), F.col("p_retailprice").cast("double").alias("price")), out)
+    return t.spark.read.schema("p_partkey long, name string, price double").option("header", True).csv(out)
+
+
 @query("a8_log_rows", sql=f"""SELECT doc_id AS id, CASE WHEN length(text) > {_CUT} THEN substr(text, 1, {_CUT}) || '…' ELSE text END AS error,
   CASE WHEN length(source || text) > {_CUT} THEN substr(source || text, 1, {_CUT}) || '…' ELSE source || text END AS response_summary FROM documents""")
 def _(t):
@@ -501,3 +545,12 @@ def _(t):
 def _(t):
     p = t("conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page"), F.when(F.col("turn") % 5 == 4, "").otherwise(F.col("text")).alias("text"))
     return pdf.join_pages(p)
+
+
+@query("p3_registered_engine", sql="SELECT p_partkey AS page_id, 1::BIGINT AS rank, p_name AS title, 'https://parts.example/' || p_partkey AS link, p_brand AS snippet FROM part")
+def _(t):
+    serp.register_engine("parts", serp.Engine("https://parts.example/", "div.hit", ("a.u",), ("h4",), ("p.s",)))
+    key = F.col("p_partkey").cast("string")
+    block = lambda href, title: F.concat(F.lit("<div class='hit'><h4>"), title, F.lit("</h4><a class='u' href='"), href, F.lit("'>to</a><p class='s'>"), F.col("p_brand"), F.lit("</p></div>"))
+    page = F.concat(F.lit("<body>"), block(F.lit("javascript:x"), F.lit("none")), block(F.concat(F.lit("/"), key), F.col("p_name")), block(F.concat(F.lit("https://parts.example/"), key), F.lit("again")))
+    return serp.results(t("part").select(F.col("p_partkey").alias("page_id"), page.alias("html")), "parts")

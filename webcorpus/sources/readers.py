@@ -26,18 +26,22 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(line.alias("url")).filter((F.col("url") != "") & ~F.col("url").startswith("#"))
 
 
-def robots_files(spark: SparkSession, path: str) -> DataFrame:
-    """(host, body) from files named ``<host>.txt``; a robots file is small by protocol."""
+def _files_by_host(spark: SparkSession, path: str, value: str, suffix: str) -> DataFrame:
+    """Whole files of hosts: in folders ``host=<host>``, or named ``<host>.<suffix>``."""
+    files = spark.read.text(path, wholetext=True)
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return spark.read.text(path, wholetext=True).select(
-        F.regexp_replace(name, r"\.txt$", "").alias("host"), F.col("value").alias("body"))
+    host = F.col("host").cast("string") if "host" in files.columns else F.regexp_replace(name, rf"\.{suffix}$", "")
+    return files.select(host.alias("host"), F.col("value").alias(value))
+
+
+def robots_files(spark: SparkSession, path: str) -> DataFrame:
+    """(host, body) of stored robots files; a robots file is small by protocol."""
+    return _files_by_host(spark, path, "body", "txt")
 
 
 def sitemap_files(spark: SparkSession, path: str) -> DataFrame:
-    """(host, xml) from files named ``<host>.xml``."""
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return spark.read.text(path, wholetext=True).select(
-        F.regexp_replace(name, r"\.xml$", "").alias("host"), F.col("value").alias("xml"))
+    """(host, xml) of stored sitemap documents, which the protocol bounds at 50 MB; a host may have many."""
+    return _files_by_host(spark, path, "xml", "xml")
 
 
 def sitemap_locations(robots: DataFrame) -> DataFrame:

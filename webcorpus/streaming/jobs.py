@@ -165,6 +165,55 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_to_keyed_table(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Run a stream in update mode over all available input; the newest row of every key.
+
+    A row is written whenever it changes, so the last windows are there without waiting for a watermark that nothing moves on. Every
+    micro-batch has a folder of its own, which a repeated batch writes again.
+    """
+    import os
+
+    spark = stream.sparkSession
+    out = os.path.join(stream_dir(spark, name), "out")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(out, f"_batch={epoch}"))
+
+    q = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", stream_dir(spark, name)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    rows = spark.read.schema(f"{fields}, `_batch` long").parquet(out)
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_row")).select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in stream.columns])
+
+
+def dedup_to_table(rows: DataFrame, text: str, order: str, name: str) -> DataFrame:
+    """First row per content hash of a whole stream, however far apart the copies are.
+
+    A batch keeps its smallest row in ``order`` per hash and drops, by an anti join of hashes, what earlier batches have
+    stored: there is no state to bound. A repeated batch looks at earlier ones alone and writes its folder again.
+    """
+    import os
+
+    spark = rows.sparkSession
+    out = os.path.join(stream_dir(spark, name), "out")
+    hashed = rows.withColumn("hash", X.content_hash(text)).drop(text)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hashed.schema.fields)
+    stored = lambda: spark.read.schema(f"{fields}, `_batch` long").parquet(out)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        rest = [c for c in hashed.columns if c != "hash"]
+        firsts = batch.groupBy("hash").agg(F.min_by(F.struct(*rest), order).alias("_row")).select(*[F.col(f"_row.{c}").alias(c) for c in rest], "hash")
+        if epoch > 0:
+            earlier = stored().filter(F.col("_batch") < epoch).select(F.col("hash").alias("_known"))
+            firsts = firsts.join(earlier, F.col("hash").eqNullSafe(F.col("_known")), "left_anti")
+        firsts.write.mode("overwrite").parquet(os.path.join(out, f"_batch={epoch}"))
+
+    q = hashed.writeStream.foreachBatch(write).option("checkpointLocation", stream_dir(spark, name)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stored().drop("_batch")
+
+
 def write_ndjson(stream: DataFrame, path: str, checkpoint: str | None = None):
     """NDJSON sink: one line per document."""
     return (stream.writeStream.format("json").option("path", path)
