@@ -187,6 +187,16 @@ def test_mixing(docs, none, block):
     assert mixing.mix_taken(none).count() == 0
 
 
+def test_mix_texts_with_clashing_names(spark):
+    rows = [(i, f"some words of text {i} " * 20, "en", f"s{i % 3}") for i in range(12)] + [(None, "no id " * 30, "en", "s1"), (20, None, "en", None), (21, "", "en", "s0")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    names = ["size", "begin", "end", "rank", "start", "spans", "_hash", "epoch", "_of"]
+    more = plain.select("*", *[F.lit(7).alias(n) for n in names])
+    got = mixing.mix_texts(more, block_words=16)
+    assert got.columns == more.columns and got.select(names).distinct().collect() == [(7,) * len(names)]
+    assert got.select(plain.columns).exceptAll(mixing.mix_texts(plain, block_words=16)).isEmpty() and got.count() > 0
+
+
 def test_mix_texts(docs, none):
     once = docs.dropDuplicates(["doc_id", "text"])
     taken = {r.doc_id: r.taken for r in mixing.mix_taken(once, block_words=16).collect()}
@@ -235,7 +245,7 @@ def test_warc(spark):
     want = []
     for i, _, h in PAGES:
         b = (h or "").encode()
-        again = len(b) >= 1000 and i is not None and i < last[h]
+        again = len(b) >= 1000 and h in last and (i is None or i < last[h])
         want.append((i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", last[h] if again else None))
     assert sorted((tuple(r) for r in warc.read_bundles(index).collect()), key=key) == sorted(want, key=key)
     for r in index.collect():

@@ -178,10 +178,10 @@ def mix_texts(docs: DataFrame, **options) -> DataFrame:
     key = F.xxhash64("text").alias("_hash")
     rows, pieces = plan(with_sizes(docs, key).distinct(), **options)
     spans = pieces.groupBy("rank", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
-    wanted = rows.where("size > 0").select(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), "_hash", "rank", "start", "size").join(spans.hint("merge"), ["rank", "start"])
-    wanted = cut_lineage(wanted.select("_doc_id", "_source", F.col("_hash").alias("_of"), "size", F.col("spans.begin").alias("begin"), F.col("spans.end").alias("end")))
+    wanted = rows.where("size > 0").select(F.col("doc_id").alias("_mix_doc"), F.col("source").alias("_mix_source"), F.col("_hash").alias("_mix_of"), "rank", "start", F.col("size").alias("_mix_size")).join(spans.hint("merge"), ["rank", "start"])
+    wanted = cut_lineage(wanted.select("_mix_doc", "_mix_source", "_mix_of", "_mix_size", F.col("spans.begin").alias("_mix_begin"), F.col("spans.end").alias("_mix_end")))
     at = [c for c in docs.columns if c not in ("text", "n_chars")]
-    met = docs.withColumn("_hash", key).join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_hash") == F.col("_of")))
+    met = docs.withColumn("_mix_hash", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_mix_doc")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_hash") == F.col("_mix_of")))
 
     @F.arrow_udf("string")
     def words_of(text: pa.Array, size: pa.Array, begin: pa.Array, end: pa.Array) -> pa.Array:
@@ -202,5 +202,5 @@ def mix_texts(docs: DataFrame, **options) -> DataFrame:
                 out.append("\n".join(t[spots[b][0]:spots[e - 1][1]] for b, e in joined))
         return pa.array(out, pa.string())
 
-    cut = met.withColumn("text", words_of("text", "size", "begin", "end"))
+    cut = met.withColumn("text", words_of("text", "_mix_size", "_mix_begin", "_mix_end"))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else cut.select(docs.columns)
