@@ -109,8 +109,8 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
 last AS (SELECT digest, max(page_id) AS page_id FROM p WHERE n >= 1000 GROUP BY digest)
 SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.digest AS payload_digest,
-  CASE WHEN p.page_id < last.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN p.page_id < last.page_id THEN last.page_id END AS refers_to
+  CASE WHEN last.page_id > coalesce(p.page_id, last.page_id - 1) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN last.page_id > coalesce(p.page_id, last.page_id - 1) THEN last.page_id END AS refers_to
 FROM p LEFT JOIN last ON p.digest = last.digest
 """,
     "op8_jaccard_join": f"""

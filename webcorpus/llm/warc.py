@@ -110,15 +110,15 @@ ROWS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payl
 def write_bundles(pages: DataFrame, folder: str, least: int = 1000, frame_bytes: int = 1 << 20, file_bytes: int = 128 << 20, level: int = 3, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Writes a record per row and returns the index of records: identifier, file, frame, place in the frame.
 
-    Only digests that occur at several pages are looked up. That table is stored, so that Spark broadcasts it while it
+    Only digests of several rows are looked up. That table is stored, so that Spark broadcasts it while it
     is small; beyond, pages are joined by digest and AQE splits a payload that a third of the pages share.
     """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("payload"))
     digest, size = F.sha1("payload"), F.length("payload").cast("long")
-    many = rows.where(size >= least).groupBy(digest.alias("_digest")).agg(F.max("page_id").alias("last"), F.min("page_id").alias("first")).where("first < last").select("_digest", "last")
+    many = rows.where(size >= least).groupBy(digest.alias("_digest")).agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("_digest", "last")
     keyed = rows.select("*", digest.alias("digest"), size.alias("size"))
-    decided = keyed.join(cut_lineage(many), F.col("digest") == F.col("_digest"), "left").select("page_id", "url", "payload", "digest", "size", F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers_to"))
+    decided = keyed.join(cut_lineage(many), F.col("digest") == F.col("_digest"), "left").select("page_id", "url", "payload", "digest", "size", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("last")), F.col("last")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -178,6 +178,6 @@ def warc_roundtrip(pages: DataFrame, **options) -> DataFrame:
     """Write all pages as bundles, read the bundles back.
 
     Null html is an empty payload; equal rows each have a record, and copies of the page that is the response are all
-    responses; rows without page_id are responses and never referred to; an empty table writes nothing.
+    responses; rows without page_id are never referred to, and revisit an equal page that has one; an empty table writes nothing.
     """
     return read_bundles(write_bundles(pages, new_folder(pages.sparkSession, "warc"), **options))
