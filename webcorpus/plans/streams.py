@@ -23,12 +23,13 @@ class _Streamed:
         return self.t.stream(name)
 
 
-@query("a7_document_stream", sql="SELECT 'document' AS event, count(*) AS n FROM pages WHERE page_id % 9 <> 0 UNION ALL SELECT 'done', 1")
+@query("a7_document_stream", sql="""WITH p AS (SELECT page_id, url, contains(html, '</body>') AS whole FROM pages)
+  SELECT 'document' AS event, CAST(json_object('page_id', page_id, 'url', url) AS VARCHAR) AS data FROM p WHERE whole
+  UNION ALL SELECT 'done', '{"completed":' || count(*) FILTER (whole) || ',"errors":' || count(*) FILTER (NOT whole) || '}' FROM p""")
 def _(t):
-    # counts per event kind of the NDJSON rows: documents, then one summary
-    p = t("pages").select("page_id", "url")
-    rows = sinks.documents_and_summary(p.filter("page_id % 9 <> 0"), p.filter("page_id % 9 = 0"))
-    return rows.groupBy("event").agg(F.count("*").alias("n"))
+    # pages that end are documents, cut ones are errors: a row each, then one summary
+    whole = F.col("html").contains("</body>")
+    return sinks.documents_and_summary(t("pages").filter(whole).select("page_id", "url"), t("pages").filter(~whole).select("page_id"))
 
 
 @query("o1_page_stream", sql=f"SELECT page_id, {q.normalize('url')} AS url, {q.plain_text(q.clean('html'))} AS text, len({q.hrefs(q.clean('html'))}) AS links FROM pages")
