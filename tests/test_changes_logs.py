@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -94,6 +95,33 @@ def test_lookup_uses_only_the_latest_entry(spark):
     assert got == {r[1]: r[3] for r in req}
 
 
+def test_lookup_spreads_one_key_and_one_long_life(spark):
+    rng = random.Random(5)
+    stored = [(rng.choice("aaab"), at(rng.randint(0, 5000)), rng.choice([1.0, 20.0, 400.0, 3e7, None])) for _ in range(300)]
+    asked = [(rng.choice(["a", "a", "b", "c", None]), i, at(rng.randint(0, 6000)) if i % 50 else None) for i in range(900)] + [("a", 7, at(9))] * 2
+    best = {}
+    for k, s, ttl in stored:
+        best[k, s] = max(best.get((k, s), -1), -1 if ttl is None else ttl)
+
+    def hit(k, t):
+        past = [s for key, s in best if key == k and t is not None and s <= t]
+        return bool(past) and best[k, max(past)] >= 0 and (t - max(past)).total_seconds() <= best[k, max(past)]
+
+    s = spark.createDataFrame(stored, "key string, stored_at timestamp, ttl double")
+    a = spark.createDataFrame(asked, "key string, req_id int, req_ts timestamp")
+    got = J.lookup(a, s).collect()
+    assert sorted((r.req_id, r.hit) for r in got) == sorted((i, hit(k, t)) for k, i, t in asked)
+    assert J.lookup(a, s.limit(0)).filter("hit").isEmpty() and J.lookup(a.limit(0), s).isEmpty()
+
+
+def test_last_seen_over_ranges(skewed):
+    value = F.when(F.col("ok"), F.col("v"))
+    over = W.partitionBy("key").orderBy("t", "id").rowsBetween(W.unboundedPreceding, 0)
+    want = skewed.select("id", F.last(value, True).over(over).alias("p"))
+    got = G.last_seen(skewed, ["key"], ["t", "id"], value, "p").select("id", "p")
+    assert got.exceptAll(want).isEmpty() and got.count() == want.count()
+
+
 def test_cache_keys_of_options_do_not_collide(spark):
     f = F.array(F.lit("b"), F.lit("a"))
     r = spark.range(1).select(

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
-from .segments import SEG
+from .segments import last_seen
 
 
 def _c(x) -> Column:
@@ -40,31 +38,21 @@ def cache_key(url, formats, extra: dict[str, Column] | None = None) -> Column:
     return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), 256)
 
 
-def lookup(requests: DataFrame, stored: DataFrame, key: str = "key", max_ttl: float | None = None,
-           request_id: str = "req_id") -> DataFrame:
+def lookup(requests: DataFrame, stored: DataFrame, key: str = "key", request_id: str = "req_id") -> DataFrame:
     """As-of lookup: the latest entry at or before each request, a hit while its TTL lasts.
 
-    ``requests(key, req_id, req_ts)``, ``stored(key, stored_at, ttl)``. ``max_ttl`` is the
-    longest TTL stored; it is read from the entries when not given. An entry can only matter within ``max_ttl``, so entries go to their own time
-    segment and the next one, and each (key, segment) is one small ordered window. A key
-    asked for a third of the time is spread over all its segments.
+    ``requests(key, req_id, req_ts)``, ``stored(key, stored_at, ttl)``. Entries and requests are dealt out together by ranges
+    of (key, time), so neither a long TTL nor a key asked for a third of the time makes a large task. Of entries stored at one
+    instant that with the longer TTL counts; a request without key or time, or an entry without TTL, gives no hit.
     """
-    if max_ttl is None:
-        max_ttl = stored.agg(F.max("ttl")).first()[0]
-    # whole seconds, rounded up, so that no entry outlives the segment behind its own
-    unit = max(1, math.ceil(max_ttl or 0)) * 1_000_000
     r = requests.select(
-        key, request_id, F.unix_micros("req_ts").alias("_t"), F.lit(None).cast("long").alias("_s"),
-        F.lit(None).cast("double").alias("_ttl"), F.lit(1).alias("_side"))
-    r = r.withColumn(SEG, F.floor(F.col("_t") / unit))
+        key, request_id, F.unix_micros("req_ts").alias("_t"), F.lit(None).cast("double").alias("_ttl"), F.lit(1).alias("_side"))
     s = stored.select(
         key, F.lit(None).cast(requests.schema[request_id].dataType).alias(request_id),
-        F.unix_micros("stored_at").alias("_t"), F.unix_micros("stored_at").alias("_s"),
-        F.col("ttl").cast("double").alias("_ttl"), F.lit(0).alias("_side"))
-    s = s.withColumn(SEG, F.explode(F.array(F.floor(F.col("_t") / unit), F.floor(F.col("_t") / unit) + 1)))
-    w = W.partitionBy(key, SEG).orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
-    entry = F.last(F.when(F.col("_side") == 0, F.struct("_s", "_ttl")), ignorenulls=True).over(w)
-    out = s.unionByName(r).withColumn("_e", entry).filter("_side = 1")
+        F.unix_micros("stored_at").alias("_t"), F.col("ttl").cast("double").alias("_ttl"), F.lit(0).alias("_side"))
+    s = s.filter(F.col(key).isNotNull() & F.col("_t").isNotNull())
+    entry = F.when(F.col("_side") == 0, F.struct(F.col("_t").alias("_s"), "_ttl"))
+    out = last_seen(s.unionByName(r), [key], ["_t", "_side", "_ttl"], entry, "_e").filter("_side = 1")
     # expiry is strict: an entry is still good at the very end of its TTL
     hit = F.coalesce(F.col("_t") <= F.col("_e._s") + F.col("_e._ttl") * 1_000_000, F.lit(False))
     return out.select(

@@ -113,6 +113,22 @@ def ranked(df: DataFrame, sort: list[str]) -> DataFrame:
     return rows.join(F.broadcast(first), "_range").withColumn("_place", F.col("_start") + inside).drop("_range", "_id", "_start")
 
 
+def last_seen(df: DataFrame, keys: list[str], sort: list[str], value: Column, name: str) -> DataFrame:
+    """Adds ``name``: the last value that is not null, of the rows of a key up to and with this one.
+
+    Windows run inside a range of the order (keys, sort); a key that spans ranges brings one row a range along.
+    """
+    rows = numbered(df.withColumn("_v", value), [*keys, *sort]).withColumn("_range", F.shiftright("_id", _RANGE_BITS))
+    part = [*keys, "_range"]
+    ends = rows.groupBy(*part).agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_id"))).alias("_end"))
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    brought = ends.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(part)], F.last("_end", True).over(before).alias("_brought"))
+    inside = W.partitionBy(*part).orderBy("_id").rowsBetween(W.unboundedPreceding, 0)
+    same = [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(part)]
+    met = rows.withColumn("_in", F.last("_v", True).over(inside)).join(brought, same)
+    return met.select(*df.columns, F.coalesce("_in", "_brought").alias(name))
+
+
 def compose(df: DataFrame, key: str, sort: list[str], function: Column, join, tiers: tuple[int, ...] = (10, 20, _RANGE_BITS)) -> DataFrame:
     """``key, f``: the functions of a key's rows, composed in order. ``join(f, g)`` is g after f.
 
