@@ -155,18 +155,23 @@ def repair(content) -> Column:
 
 
 def _valid(c: Column) -> Column:
-    """The text when it is exactly one JSON value. The parser alone would ignore text behind
-    the value; as the only item of a list nothing may follow."""
+    """``data`` and ``value``, its variant, when the text is exactly one JSON value. The parser alone would ignore text
+    behind the value; as the only item of a list nothing may follow."""
     def check(x):
         listed = F.try_parse_json(F.concat(F.lit("["), x, F.lit("]")))
-        one = let(listed, lambda v: F.try_variant_get(v, "$[0]", "variant").isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull())
-        return F.when(one, x)
+        one = let(listed, lambda v: F.struct(F.try_variant_get(v, "$[0]", "variant").alias("value"), F.try_variant_get(v, "$[1]", "variant").isNull().alias("alone")))
+        return let(one, lambda o: F.when(o["value"].isNotNull() & o["alone"], F.struct(x.alias("data"), o["value"].alias("value"))))
 
     return let(c, check)
 
 
-def parse_answer(answer, object_expected: bool = True) -> Column:
-    """JSON text of an answer by the first way that works, else a raw-response marker.
+def _read(text: Column) -> Column:
+    return let(text, lambda x: F.when(x.isNotNull(), F.struct(x.alias("data"), F.try_parse_json(x).alias("value"))))
+
+
+def parsed_answer(answer, object_expected: bool = True) -> Column:
+    """``data``, the JSON text of an answer by the first way that works, else a raw-response marker, and ``value``, the same as
+    a variant, so that later checks need not parse again.
 
     Every later way is only evaluated for rows where the earlier ones failed.
     """
@@ -177,16 +182,21 @@ def parse_answer(answer, object_expected: bool = True) -> Column:
         any_array = F.regexp_extract(cleaned, r"(?s)(\[.*?\])", 1)
         arr = _valid(F.when(any_array != "", any_array))
         if object_expected:
-            arr = F.concat(F.lit('{"items":'), arr, F.lit("}"))
+            arr = _read(F.concat(F.lit('{"items":'), arr["data"], F.lit("}")))
         mended = let(repair(cleaned), lambda r: F.when(X.strip_space(r) != "", r))
         marker = F.to_json(F.struct(F.substring(raw, 1, 2000).alias("raw_response"), F.lit(True).alias("parse_error")))
         return F.coalesce(
             _valid(F.when(cleaned != "", cleaned)), _valid(first_object(cleaned)), _valid(F.when(any_object != "", any_object)),
-            arr, _valid(mended), marker)
+            arr, _valid(mended), _read(marker))
 
     empty = F.lit('{"raw_response":"","parse_error":true,"error":"Empty response"}')
     blank = F.coalesce(X.strip_space(raw), F.lit("")) == ""
-    return F.when(blank, empty).otherwise(let(strip_fences(raw), first_way))
+    return F.when(blank, _read(empty)).otherwise(let(strip_fences(raw), first_way))
+
+
+def parse_answer(answer, object_expected: bool = True) -> Column:
+    """JSON text of an answer, see ``parsed_answer``."""
+    return parsed_answer(answer, object_expected)["data"]
 
 
 # ---- validation --------------------------------------------------------------------------
@@ -201,97 +211,93 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
-def _is_object(text, v: Column) -> Column:
-    """Valid JSON that starts with a brace."""
-    return v.isNotNull() & X.strip_space(text).startswith("{")
+def _typed(v: Column) -> Column:
+    """A value with its type text."""
+    return F.struct(v.alias("v"), F.schema_of_variant(v).alias("type"))
 
 
-def _present(v: Column, name: str) -> Column:
-    """A member that is there and not null; a null variant has no string form."""
-    return F.try_variant_get(v, f"$.{name}", "string").isNotNull()
+def _members(v: Column, struct: T.StructType) -> Column:
+    """Every member that a type names, with its type text, by one cast of the object; NULL for other values."""
+    ddl = ", ".join(f"`{f.name}`: variant" for f in struct.fields)
+    return let(F.try_variant_get(v, "$", f"struct<{ddl}>"), lambda m: F.when(
+        m.isNotNull(), F.struct(*[_typed(m[f.name]).alias(f.name) for f in struct.fields])))
 
 
-def _get(v: Column, name: str) -> Column:
-    return F.try_variant_get(v, f"$.{name}", "variant")
+def _present(x: Column) -> Column:
+    """A member that is there and not null."""
+    return F.coalesce(x["type"] != "VOID", F.lit(False))
 
 
-def _missing(v: Column, struct: T.StructType, path: Column) -> list[Column]:
+def _missing(m: Column, struct: T.StructType, path: Column) -> list[Column]:
     return [
-        F.when(_present(v, f.name), _none()).otherwise(F.array(F.concat(F.lit("Missing required field: '"), path, F.lit(f"{f.name}'"))))
+        F.when(_present(m[f.name]), _none()).otherwise(F.array(F.concat(F.lit("Missing required field: '"), path, F.lit(f"{f.name}'"))))
         for f in struct.fields if not f.nullable
     ]
 
 
-def _field_errors(v: Column, dt: T.DataType, name: Column) -> Column:
-    """Errors of one value against its type: its own type, then its members.
+def _member_errors(m: Column, struct: T.StructType, path: Column) -> list[Column]:
+    return _missing(m, struct, path) + [_field_errors(m[f.name], f.dataType, F.concat(path, F.lit(f.name))) for f in struct.fields]
 
-    The type text of the value is computed once; members and items are only looked at when
-    there are any, and not at all for a list whose type text already says all is well.
+
+def _field_errors(x: Column, dt: T.DataType, name: Column) -> Column:
+    """Errors of one typed value against the type it should have: its own type, then its members.
+
+    Members and items are only looked at when there are any, and not at all for a list whose type text already says all is
+    well.
     """
     want = json_type(dt)
     if want is None:
         return _none()
+    s = x["type"]
+    t = F.substring_index(s, "<", 1)
+    fits = s.isNull() | t.isin("VOID", *_ACCEPTED[want])
+    if want == "number":
+        fits = fits | t.startswith("DECIMAL")
+    kind = F.lit("float")
+    for k, n in _KIND_NAMES.items():
+        kind = F.when(t == k, n).otherwise(kind)
+    wrong = F.array(F.concat(F.lit("Field '"), name, F.lit("' has type "), kind, F.lit(f", expected {want}")))
+    out = F
+    if isinstance(dt, T.StructType) and dt.fields:
+        out = out.when(t == "OBJECT", let(_members(x["v"], dt), lambda m: F.concat(*_member_errors(m, dt, F.concat(name, F.lit("."))))))
+    if isinstance(dt, T.ArrayType):
+        item = json_type(dt.elementType)
+        clean = ["ARRAY<VOID>"] + [f"ARRAY<{a}>" for a in _ACCEPTED.get(item, []) if a not in ("ARRAY", "OBJECT")]
+        items = F.transform(F.try_variant_get(x["v"], "$", "array<variant>"), lambda v, i: let(_typed(v), lambda y: _field_errors(
+            y, dt.elementType, F.concat(name, F.lit("["), i.cast("string"), F.lit("]")))))
+        out = out.when(s.isin(clean), _none()).when(t == "ARRAY", F.flatten(items))
+    return out.when(fits, _none()).otherwise(wrong)
+
+
+def _errors_of(m: Column, template: Template) -> Column:
+    return F.when(m.isNull(), F.array(F.lit("Expected top-level JSON object"))).otherwise(
+        F.concat(_none(), *_member_errors(m, template.schema, F.lit(""))))
+
+
+def _confidence_of(m: Column, template: Template, errors: Column) -> Column:
+    st = template.schema
+    penalty = F.least(F.size(errors) * F.lit(0.12), F.lit(0.5))
 
-    def check(s):
-        t = F.substring_index(s, "<", 1)
-        fits = s.isNull() | t.isin("VOID", *_ACCEPTED[want])
-        if want == "number":
-            fits = fits | t.startswith("DECIMAL")
-        kind = F.lit("float")
-        for k, n in _KIND_NAMES.items():
-            kind = F.when(t == k, n).otherwise(kind)
-        wrong = F.array(F.concat(F.lit("Field '"), name, F.lit("' has type "), kind, F.lit(f", expected {want}")))
-        out = F
-        if isinstance(dt, T.StructType):
-            path = F.concat(name, F.lit("."))
-            inner = _missing(v, dt, path) + [_field_errors(_get(v, f.name), f.dataType, F.concat(path, F.lit(f.name))) for f in dt.fields]
-            out = out.when(t == "OBJECT", F.concat(*inner))
-        if isinstance(dt, T.ArrayType):
-            item = json_type(dt.elementType)
-            clean = ["ARRAY<VOID>"] + [f"ARRAY<{a}>" for a in _ACCEPTED.get(item, []) if a not in ("ARRAY", "OBJECT")]
-            items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: _field_errors(
-                x, dt.elementType, F.concat(name, F.lit("["), i.cast("string"), F.lit("]"))))
-            out = out.when(s.isin(clean), _none()).when(t == "ARRAY", F.flatten(items))
-        return out.when(fits, _none()).otherwise(wrong)
-
-    return let(F.schema_of_variant(v), check)
+    def filled(names):
+        return reduce(lambda a, b: a + b, [_present(m[n]).cast("int") for n in names], F.lit(0))
+
+    need = [f.name for f in st.fields if not f.nullable]
+    free = [f.name for f in st.fields if f.nullable]
+    req = filled(need) / F.lit(float(len(need))) if need else F.lit(1.0)
+    points = req * 0.75 + filled(free) / F.lit(float(max(len(free), 1))) * 0.15
+    return F.when(m.isNull(), 0.2).otherwise(F.least(F.greatest(points - penalty, F.lit(0.0)), F.lit(1.0)))
 
 
 def validation_errors(data, template: Template) -> Column:
     """Error messages of a JSON answer against a template, required fields first."""
-    st = template.schema
-
-    def member(v, f):
-        return let(_get(v, f.name), lambda x: _field_errors(x, f.dataType, F.lit(f.name)))
-
-    def check(v):
-        groups = _missing(v, st, F.lit("")) + [member(v, f) for f in st.fields]
-        return F.when(_is_object(data, v), F.concat(*groups)).otherwise(F.array(F.lit("Expected top-level JSON object")))
-
-    return let(F.try_parse_json(_c(data)), check)
+    return let(_members(F.try_parse_json(_c(data)), template.schema), lambda m: _errors_of(m, template))
 
 
 def schema_confidence(data, template: Template, errors=None) -> Column:
     """0.75 x share of required + 0.15 x share of optional fields - 0.12 per error (at most
     0.5), within [0, 1]; 0.2 for anything that is not an object."""
-    st = template.schema
-    need = [f.name for f in st.fields if not f.nullable]
-    free = [f.name for f in st.fields if f.nullable]
-    n = F.size(_c(errors) if errors is not None else validation_errors(data, template))
-    penalty = F.least(n * F.lit(0.12), F.lit(0.5))
-
-    def base(v):
-        def filled(names):
-            return reduce(lambda a, b: a + b, [_present(v, n).cast("int") for n in names], F.lit(0))
-
-        req = filled(need) / F.lit(float(len(need))) if need else F.lit(1.0)
-        opt = filled(free) / F.lit(float(max(len(free), 1)))
-        return F.when(_is_object(data, v), req * 0.75 + opt * 0.15)
-
-    def clamp(points):
-        return F.when(points.isNull(), 0.2).otherwise(F.least(F.greatest(points - penalty, F.lit(0.0)), F.lit(1.0)))
-
-    return let(let(F.try_parse_json(_c(data)), base), clamp)
+    found = _c(errors) if errors is not None else validation_errors(data, template)
+    return let(_members(F.try_parse_json(_c(data)), template.schema), lambda m: _confidence_of(m, template, found))
 
 
 def typed_confidence(errors) -> Column:
@@ -300,10 +306,11 @@ def typed_confidence(errors) -> Column:
 
 
 def score_answers(answers: DataFrame, template: Template, answer="answer", typed: bool = False) -> DataFrame:
-    """Add parsed data, validation errors and confidence to raw answers."""
-    out = answers.withColumn("data", parse_answer(answer)).withColumn("errors", validation_errors("data", template))
-    score = typed_confidence("errors") if typed else schema_confidence("data", template, "errors")
-    return out.withColumn("confidence", score)
+    """Add parsed data, validation errors and confidence to raw answers. An answer is parsed once."""
+    read = answers.withColumn("_a", parsed_answer(answer)).select("*", "_a.data", _members(F.col("_a.value"), template.schema).alias("_m")).drop("_a")
+    out = read.withColumn("errors", _errors_of(F.col("_m"), template))
+    score = typed_confidence("errors") if typed else _confidence_of(F.col("_m"), template, F.col("errors"))
+    return out.withColumn("confidence", score).drop("_m")
 
 
 def select_attempts(attempts: DataFrame, doc="doc_id", max_attempts: int = 3) -> DataFrame:
