@@ -151,3 +151,18 @@ def test_log_rows_and_pages(spark):
     assert [r.id for r in L.list_rows(log, 2, 1).collect()] == [3, 2]
     assert [r.id for r in L.list_rows(log, method="scrape").collect()] == [3, 1]
     assert {(r.kind, r.value): r.n for r in L.log_stats(log).collect()} == {("total", "all"): 5, ("status", "success"): 5, ("method", "scrape"): 2, ("method", "crawl"): 3}
+
+
+def test_large_url_cap_is_no_top_k(spark):
+    """A top-k reserves room for its cap in every task."""
+    rows = [(f"u{i % 50}", f"s{i % 7}", at(i)) for i in range(500)] + [(None, "s", at(1))]
+    m = K.uses(spark.createDataFrame(rows, "url string, selector string, ts timestamp"))
+    got = K.capped(m, 3, 1_000_000_000)
+    assert "TakeOrdered" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.exceptAll(K.capped(m, 3, 10_000)).isEmpty() and got.count() == 150
+    few = K.capped(m, 3, 20)
+    K._TOP_K, before = 10, K._TOP_K
+    try:
+        assert K.capped(m, 3, 20).exceptAll(few).isEmpty() and few.count() == 60
+    finally:
+        K._TOP_K = before

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
-from .segments import top_k
+from .segments import ranked, top_k
+
+#: URL caps up to this are a top-k, larger ones a place in a distributed order.
+_TOP_K = 10_000
 
 
 def uses(events: DataFrame, url="url", selector="selector", ts="ts") -> DataFrame:
@@ -33,10 +36,13 @@ def suggestions(memory: DataFrame, as_of: Column, limit: int = 5) -> DataFrame:
 def capped(memory: DataFrame, per_url: int = fixed.SELECTORS_PER_URL, urls: int = fixed.SELECTOR_URLS) -> DataFrame:
     """Strongest selectors per URL and most recently used URLs.
 
-    The URL cap is a distributed top-k over one row per URL, joined back.
+    The URL cap is a distributed top-k over one row per URL, joined back. A top-k reserves room for its whole cap in every task,
+    so large caps count places over ranges of the order instead.
     """
     best = top_k(memory, ["url"], [F.col("count").desc(), F.col("last_used").desc(), F.col("selector")], per_url)
-    recent = best.groupBy("url").agg(F.max("last_used").alias("_u")).orderBy(F.col("_u").desc(), "url").limit(urls)
+    used = best.groupBy("url").agg(F.max("last_used").alias("_u"))
+    order = [F.col("_u").desc(), F.col("url")]
+    recent = used.orderBy(*order).limit(urls) if urls <= _TOP_K else ranked(used, order).filter(F.col("_place") < urls)
     return best.join(recent.select("url"), "url", "left_semi")
 
 
