@@ -162,3 +162,30 @@ def test_memory_items_and_reports(spark):
     assert M.count(M.store(items, M.finding_items(f, at))).first().items == 2
     assert [r.report_id for r in M.reports(items).collect()] == ["r1"]
     assert M.delete_report(items, spark.createDataFrame([("r1",)], "report_id string")).isEmpty()
+
+
+@pytest.mark.parametrize("match", [(), ("kind",)])
+def test_all_cells_visit_every_block_once(spark, match):
+    """All cells probed: the exact answer, with a copy of a query for each block and not for each cell."""
+    rnd = random.Random(7)
+    rows = [(i, "abc"[i % 3], [rnd.gauss(0, 1) for _ in range(4)]) for i in range(300)] + [(i, "a", [1.0, 2.0, 3.0, 4.0]) for i in range(300, 400)] + [(400, None, [1.0] * 4), (401, "a", None)]
+    items = spark.createDataFrame(rows, "id long, kind string, embedding array<float>")
+    asked = items.select(F.col("id").alias("q"), "kind", "embedding")
+    m = {i: np.array(v, dtype=np.float32).astype(float) for i, _, v in rows if v}
+    m = {i: v / np.linalg.norm(v) for i, v in m.items()}
+    kind = {i: k for i, k, _ in rows}
+    for block in (20, 1000):
+        got = {}
+        for r in M.nearest_by_cells(items, asked, "id", "q", n=3, probes=1 << 20, match=match, wide_block=block).collect():
+            got.setdefault(r.q, {})[r.rank] = (r.id, r.relevance)
+        for q in (0, 1, 2, 150, 399):
+            near = sorted((-round(float(m[q] @ v), 9), i) for i, v in m.items() if not match or kind[i] == kind[q] and kind[i])[:3]
+            assert [round(got[q][k][1], 6) for k in (1, 2, 3)] == [round(max(0.0, -s), 6) for s, _ in near]
+            if q < 300:
+                assert got[q][1][0] == q
+        assert len(got) == (400 if match else 401) and 401 not in got
+
+
+def test_best_places():
+    sims = np.array([[0.5, 0.9, 0.9, 0.1], [0.2, 0.2, 0.2, 0.2], [np.nan, 0.1, np.nan, 0.3]])
+    assert M._best(sims, 2).tolist() == [[1, 2], [0, 1], [3, 1]] and M._best(sims, 4)[2].tolist() == [3, 1, 0, 2]

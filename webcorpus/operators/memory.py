@@ -6,7 +6,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions import fixed
 from ..session import cut_lineage
@@ -228,6 +228,16 @@ def related_topics(neighbours: DataFrame, items: DataFrame, item_id: str, query_
     return other.groupBy(query_id).agg(F.array_sort(F.collect_set("_t")).alias("topics"))
 
 
+def _best(sims: np.ndarray, top: int) -> np.ndarray:
+    """Places of the ``top`` largest values of every row, largest first, ties to the smaller place, NaN last."""
+    key = np.where(np.isnan(sims), np.inf, -sims)
+    bound = np.partition(key, top - 1, axis=1)[:, top - 1:top]
+    rows, cols = np.nonzero(key <= bound)
+    order = np.lexsort((cols, key[rows, cols], rows))
+    first = np.searchsorted(rows, np.arange(len(sims)))
+    return cols[order][np.arange(len(order)) - first[rows] < top].reshape(len(sims), top)
+
+
 def cell_centres(items: DataFrame, item_id: str, vector: str = "embedding", cells: int | None = None, sample_rows: int = 20_000, seed: int = 42) -> np.ndarray:
     """Unit centres of the coarse cells: k-means on a hash sample of about ``sample_rows`` vectors.
 
@@ -248,13 +258,15 @@ def cell_centres(items: DataFrame, item_id: str, vector: str = "embedding", cell
 
 
 def nearest_by_cells(items: DataFrame, queries: DataFrame, item_id: str, query_id: str, vector: str = "embedding", n: int = 5, probes: int = 8,
-                     min_relevance: float | None = None, where: Column | None = None, match: tuple[str, ...] = (), centres: np.ndarray | None = None, block: int = 4096) -> DataFrame:
+                     min_relevance: float | None = None, where: Column | None = None, match: tuple[str, ...] = (), centres: np.ndarray | None = None, block: int = 4096, wide_block: int = 16384) -> DataFrame:
     """Cosine top-n for a whole table of queries: (query_id, item_id, relevance, rank), ties to the smaller item.
 
     Items lie in the cell of their nearest centre; a query looks into its ``probes`` nearest cells (all, if there are no
     more: then the answer is exact) and ranks what it finds there by exact cosine. Only items that meet ``where`` and agree
     with the query in the ``match`` columns count. Items and queries of a cell meet in blocks of about ``block`` rows each, so neither
-    a hot cell nor many queries fill one task, and a block hands on n rows a query. Only the centres pass through the driver.
+    a hot cell nor many queries fill one task, and a block hands on n rows a query. A query that probes all cells would be copied
+    into each of them: there, neighbouring cells share a block of about ``wide_block`` rows, and a query goes once to a block. Only
+    the centres pass through the driver.
     """
     items = items.filter(where) if where is not None else items
     centres = cell_centres(items, item_id, vector) if centres is None else centres
@@ -264,41 +276,65 @@ def nearest_by_cells(items: DataFrame, queries: DataFrame, item_id: str, query_i
         return spark.createDataFrame([], f"`{query_id}` {q_type}, `{item_id}` {id_type}, relevance double, rank int")
     shared = spark.sparkContext.broadcast(centres)
 
-    def in_cells(df: DataFrame, ident: str, take: int) -> DataFrame:
+    def picked(df: DataFrame, ident: str) -> DataFrame:
+        kind = "array<float>" if df.schema[vector].dataType == T.ArrayType(T.FloatType()) else "array<double>"
+        return df.select(F.col(ident).alias("_id"), *[F.col(m).alias(f"_m{i}") for i, m in enumerate(match)], F.col(vector).cast(kind).alias("_v"))
+
+    def in_cells(picked: DataFrame, take: int) -> DataFrame:
         def assign(batches):
             for pdf in batches:
                 pdf = pdf[pdf["_v"].notna()]
-                if len(pdf):
-                    sims = _unit(np.stack(pdf["_v"].to_numpy()).astype(np.float64)) @ shared.value.T
-                    near = np.argsort(-sims, axis=1, kind="stable")[:, :take]
-                    yield pdf.assign(_cells=list(near.astype(np.int32)))
+                for at in range(0, len(pdf), 1024):
+                    part = pdf.iloc[at:at + 1024]
+                    sims = _unit(np.stack(part["_v"].to_numpy()).astype(np.float64)) @ shared.value.T
+                    near = np.argmax(sims, axis=1)[:, None] if take == 1 else np.argsort(-sims, axis=1, kind="stable")[:, :take]
+                    yield part.assign(_cells=list(near.astype(np.int32)))
 
-        picked = df.select(F.col(ident).alias("_id"), *[F.col(m).alias(f"_m{i}") for i, m in enumerate(match)], F.col(vector).cast("array<double>").alias("_v"))
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields)
         return picked.mapInPandas(assign, f"{kinds}, _cells array<int>").withColumn("_cell", F.explode("_cells")).drop("_cells")
 
     own = [f"_m{i}" for i in range(len(match))]
     cell = [*own, "_cell"]
-    stored, asked = cut_lineage(in_cells(items, item_id, 1)), cut_lineage(in_cells(queries, query_id, min(probes, len(centres))))
-    sizes = stored.groupBy(*cell).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
-    waiting = asked.groupBy(*cell).agg(F.ceil(F.count("*") / block).cast("int").alias("_groups"))
-    plan = sizes.join(waiting, cell)
+    stored = cut_lineage(in_cells(picked(items, item_id), 1))
     dealt = lambda name: F.pmod(F.xxhash64("_id"), F.col(name)).cast("int")
     spread = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    left = asked.join(plan, cell).withColumn("_group", dealt("_groups")).withColumn("_block", spread("_blocks")).drop("_blocks", "_groups")
-    right = stored.join(plan, cell).withColumn("_block", dealt("_blocks")).withColumn("_group", spread("_groups")).drop("_blocks", "_groups")
+    if probes < len(centres):
+        asked = cut_lineage(in_cells(picked(queries, query_id), probes))
+        sizes = stored.groupBy(*cell).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+        waiting = asked.groupBy(*cell).agg(F.ceil(F.count("*") / block).cast("int").alias("_groups"))
+        plan = sizes.join(waiting, cell)
+        left = asked.join(plan, cell).withColumn("_group", dealt("_groups")).withColumn("_block", spread("_blocks")).drop("_blocks", "_groups")
+        right = stored.join(plan, cell).withColumn("_block", dealt("_blocks")).withColumn("_group", spread("_groups")).drop("_blocks", "_groups")
+        by = [*cell, "_block", "_group"]
+    else:
+        # neighbouring cells share a block, a cell that fills more than one has blocks of its own; every query visits every block once
+        one = own or ["_one"]
+        whole = lambda df: df if own else df.withColumn("_one", F.lit(0))
+        asked, stored = whole(cut_lineage(picked(queries, query_id).filter(F.col("_v").isNotNull()))), whole(stored)
+        before = W.partitionBy(*one).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+        cells = stored.groupBy(*one, "_cell").agg(F.count("*").alias("_n")).select(
+            *one, "_cell", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / wide_block).alias("_run"), F.ceil(F.col("_n") / wide_block).cast("int").alias("_blocks"))
+        named = lambda part: F.when(F.col("_blocks") == 1, F.struct(F.col("_run").alias("run"), F.lit(0).alias("part"))).otherwise(F.struct((-1 - F.col("_cell")).cast("long").alias("run"), part.alias("part")))
+        blocks = cells.withColumn("_part", spread("_blocks")).groupBy(*one).agg(F.collect_set(named(F.col("_part"))).alias("_all"))
+        groups = asked.groupBy(*one).agg(F.ceil(F.count("*") / wide_block).cast("int").alias("_groups"))
+        visits = blocks.join(groups, one)
+        left = asked.join(visits, one).withColumn("_group", dealt("_groups")).withColumn("_block", F.explode("_all")).drop("_all", "_groups")
+        right = stored.join(cells.join(groups, one), [*one, "_cell"]).withColumn("_block", named(dealt("_blocks"))).withColumn("_group", spread("_groups")).drop("_run", "_blocks", "_groups", "_cell")
+        by = [*one, "_block", "_group"]
 
     def rank(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
         if q.empty or i.empty:
             return pd.DataFrame({query_id: [], item_id: [], "similarity": []})
         i = i.sort_values("_id", kind="stable")
-        sims = _unit(np.stack(q["_v"].to_numpy())) @ _unit(np.stack(i["_v"].to_numpy())).T
-        top = min(n, sims.shape[1])
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :top]
-        names = i["_id"].to_numpy()
-        return pd.DataFrame({query_id: np.repeat(q["_id"].to_numpy(), top), item_id: names[order].ravel(), "similarity": np.take_along_axis(sims, order, axis=1).ravel()})
+        names, against = i["_id"].to_numpy(), _unit(np.stack(i["_v"].to_numpy()).astype(np.float64)).T
+        top, found, scores = min(n, len(i)), [], []
+        for at in range(0, len(q), 128):
+            sims = _unit(np.stack(q["_v"].iloc[at:at + 128].to_numpy()).astype(np.float64)) @ against
+            order = _best(sims, top)
+            found.append(names[order].ravel())
+            scores.append(np.take_along_axis(sims, order, axis=1).ravel())
+        return pd.DataFrame({query_id: np.repeat(q["_id"].to_numpy(), top), item_id: np.concatenate(found), "similarity": np.concatenate(scores)})
 
-    by = [*cell, "_block", "_group"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(rank, f"`{query_id}` {q_type}, `{item_id}` {id_type}, similarity double")
     best = top_k(found, [query_id], [F.col("similarity").desc(), F.col(item_id)], n, name="rank")
     out = best.select(query_id, item_id, F.greatest(F.lit(0.0), F.col("similarity")).alias("relevance"), "rank")
