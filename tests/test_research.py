@@ -189,3 +189,20 @@ def test_all_cells_visit_every_block_once(spark, match):
 def test_best_places():
     sims = np.array([[0.5, 0.9, 0.9, 0.1], [0.2, 0.2, 0.2, 0.2], [np.nan, 0.1, np.nan, 0.3]])
     assert M._best(sims, 2).tolist() == [[1, 2], [0, 1], [3, 1]] and M._best(sims, 4)[2].tolist() == [3, 1, 0, 2]
+
+
+def test_chunks_of_many_rows_come_in_pieces(spark):
+    """Rows of an Arrow batch become Python values a few at a time."""
+    from webcorpus.operators.batches import pieces
+    import pyarrow as pa
+
+    wide = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["x" * 20_000] * 999 + ["y" * 5_000_000])], names=["i", "t"])
+    cut = list(pieces([wide, wide.slice(0, 0)]))
+    assert [i for names, _ in cut for i in names.to_pylist()] == list(range(1000))
+    assert max(len(names) * 20_000 for names, _ in cut[:-1]) <= 1 << 21 and len(cut) > 8
+    docs = spark.createDataFrame([(i, "A sentence. " * (i % 300)) for i in range(700)] + [(None, "short one"), (3, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.chunk_index): (r.total_chunks, r.chunk) for r in M.chunks(docs, "doc_id", "text").collect()}
+    for i in (1, 299, 699):
+        want = M.chunk_spans("A sentence. " * (i % 300), 1000, 100)
+        assert [got[i, k] for k in range(len(want))] == [(len(want), c) for c in want]
+    assert got[None, 0] == (1, "short one")

@@ -6,10 +6,12 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions import fixed
 from ..session import cut_lineage
+from .batches import pieces
 from .segments import top_k
 
 
@@ -52,9 +54,9 @@ def chunks(docs: DataFrame, doc_id: str, text: str, size: int = fixed.CHUNK_CHAR
     id_type = docs.schema[doc_id].dataType.simpleString()
 
     def split(batches):
-        for pdf in batches:
+        for names, bodies in pieces(batches):
             ids, pos, tot, out = [], [], [], []
-            for key, body in zip(pdf[doc_id], pdf[text]):
+            for key, body in zip(names.to_pylist(), bodies.to_pylist()):
                 parts = chunk_spans(body or "", size, overlap)
                 if drop_tail and len(parts) > 1 and parts[-2].endswith(parts[-1]):
                     parts = parts[:-1]
@@ -63,9 +65,11 @@ def chunks(docs: DataFrame, doc_id: str, text: str, size: int = fixed.CHUNK_CHAR
                 tot += [len(parts)] * len(parts)
                 out += parts
             if ids:
-                yield pd.DataFrame({doc_id: ids, "chunk_index": pos, "total_chunks": tot, "chunk": out})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, names.type), pa.array(pos, pa.int32()), pa.array(tot, pa.int32()), pa.array(out, pa.string())],
+                    names=[doc_id, "chunk_index", "total_chunks", "chunk"])
 
-    return docs.select(doc_id, text).mapInPandas(
+    return docs.select(doc_id, text).mapInArrow(
         split, f"`{doc_id}` {id_type}, chunk_index int, total_chunks int, chunk string")
 
 
