@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import urls as U
 from . import dom
+from .batches import pieces
 from .segments import top_k
 
 
@@ -49,19 +50,22 @@ def results(pages: DataFrame, engine: str, page_id: str = "page_id", html: str =
     id_type = pages.schema[page_id].dataType.simpleString()
 
     def blocks(batches):
-        for pdf in batches:
+        for names, bodies in pieces(batches):
             rows = []
-            for pid, h in zip(pdf[page_id], pdf[html]):
-                for pos, b in enumerate(dom.select(dom.parse(h), e.block)):
+            for pid, h in zip(names.to_pylist(), bodies.to_pylist()):
+                root = dom.parse(h)
+                for pos, b in enumerate(dom.select(root, e.block)):
                     a = _pick(b, e.link)
                     if a is None or not a.attrs.get("href"):
                         continue
                     t, s = (_pick(b, e.title) or a), _pick(b, e.snippet)
                     rows.append((pid, pos, a.attrs["href"], t.text(" ", strip=True), s.text(" ", strip=True) if s else ""))
+                dom.unlink(root)
             if rows:
-                yield pd.DataFrame(rows, columns=[page_id, "pos", "href", "title", "snippet"])
+                kinds = [names.type, pa.int32(), pa.string(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[page_id, "pos", "href", "title", "snippet"])
 
-    raw = pages.select(page_id, html).mapInPandas(
+    raw = pages.select(page_id, html).mapInArrow(
         blocks, f"`{page_id}` {id_type}, pos int, href string, title string, snippet string")
     link = U.result_url("href", e.base_url, bing=e.wrapper == "bing", ddg=e.wrapper == "ddg")
     safe = raw.withColumn("link", link).filter("link <> ''")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, html as H, text as X, urls as U
 from ..operators import dom, logs, memory, pdf, robots, serp, sitemap
+from ..operators.batches import spread
 from ..operators.segments import top_k
 from ..session import stream_dir
 from ..sources import readers, sinks
@@ -553,4 +554,6 @@ def _(t):
     key = F.col("p_partkey").cast("string")
     block = lambda href, title: F.concat(F.lit("<div class='hit'><h4>"), title, F.lit("</h4><a class='u' href='"), href, F.lit("'>to</a><p class='s'>"), F.col("p_brand"), F.lit("</p></div>"))
     page = F.concat(F.lit("<body>"), block(F.lit("javascript:x"), F.lit("none")), block(F.concat(F.lit("/"), key), F.col("p_name")), block(F.concat(F.lit("https://parts.example/"), key), F.lit("again")))
-    return serp.results(t("part").select(F.col("p_partkey").alias("page_id"), page.alias("html")), "parts")
+    # a row of the table is far shorter than the work on its page
+    parts = spread(t("part").select("p_partkey", "p_name", "p_brand"))
+    return serp.results(parts.select(F.col("p_partkey").alias("page_id"), page.alias("html")), "parts")
