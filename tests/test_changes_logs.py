@@ -166,3 +166,18 @@ def test_large_url_cap_is_no_top_k(spark):
         assert K.capped(m, 3, 20).exceptAll(few).isEmpty() and few.count() == 60
     finally:
         K._TOP_K = before
+
+
+def test_sentences_are_kept_in_place_of_texts(spark):
+    rows = [("u", i, f"The first sentence stays as it is. Sentence number {i // 2} of the page is new!") for i in range(9)] + [("v", 1, None), ("v", 2, "One long sentence that was added here.")]
+    snapshots = spark.createDataFrame(rows, "url string, ts long, text string")
+    got = C.sentence_diffs(C.track(snapshots, width=2, keep_sentences=True))
+    want = C.sentence_diffs(C.track(snapshots, width=2, keep_text=True))
+    cols = ["url", "ts", "current_hash", "previous_hash", "changed", "changes"]
+    assert "text" not in got.columns and got.select(cols).exceptAll(want.select(cols)).isEmpty() and got.count() == 11
+    assert got.filter("changed").count() == 5
+
+
+def test_marks_behind_a_search_for_bytes(col):
+    texts = ["At 9:30PM  see https://x.org/a?b=1 on 12/05/2024", "a/b", "1\u200b\u20032\u200c 3", " \u2003x  y ", None]
+    assert col(X.normalize_for_diff, texts) == ["at [TIME] see [URL] on [DATE]", "a/b", "1 2 3", "x y", ""]
