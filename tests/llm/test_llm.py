@@ -63,6 +63,29 @@ def test_word_encoder(spark, name):
         assert [x.tolist() for x in enc.encode(run)] == [tk.encode(t, add_special_tokens=False).ids for t in run]
 
 
+def test_words_once():
+    """Letters, marks and line feeds are known apart: a word is learnt once, whatever ends it or its line."""
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_path("byte_bpe_50k.json")
+    tk, enc = Tokenizer.from_file(path), tokens.WordEncoder(path)
+    texts = [" ".join(f"{w}{m}" for w in ("Straße", "naïve", "word", "×x", "÷", "a1b") for m in ("", ".", ",", "!?", ".\nWord", "\nÉté", "'s.", "\n\nx", ".\n\n", "<|endoftext|>", "\n<|endoftext|>\nz", "\u0301.", ".\u0301"))]
+    texts += ["", ".", "\n", "a", "a.", ".a", "a\n", "\na", "a \nb", "a\n b", "\t.\nb", "é\né", "ɏ\nɏ", "ɐ\nɐ", "\u00a0\n\u00a0", "a\0.\nb", "x" * 70 + "." * 70, "ÿ" * 70 + ".\nab"]
+    assert [x.tolist() for x in enc.encode(texts)] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
+    known = enc.n
+    got = enc.encode(["word word, word. word!? word.\nWord word\nWord."])[0]
+    assert got.tolist() == tk.encode("word word, word. word!? word.\nWord word\nWord.").ids and enc.n - known <= 2
+
+
+def test_document_frequencies(docs, none):
+    """The encoding pass counts the documents of every id itself."""
+    coded = packing.encode_documents(docs).collect()
+    want = collections.Counter(i for r in coded if r.frequencies is None for i in set(np.frombuffer(r.ids, "<u2").tolist()))
+    have = sum(np.frombuffer(r.frequencies, "<u4").astype(int) for r in coded if r.frequencies is not None)
+    assert want == {i: n for i, n in enumerate(have.tolist()) if n} and want[0] == len(ROWS)
+    assert packing.encode_documents(none).count() == 0
+
+
 def test_binary_output(docs, none):
     from tokenizers import Tokenizer
 

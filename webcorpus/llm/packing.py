@@ -13,7 +13,7 @@ from .common import batch, by_bytes, crc32_of, each_row, small_batches
 from .shingles import mix
 from .tokens import WordEncoder, forget, tokenizer_path
 
-IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n", pa.int64()), ("look", pa.int64())])
+IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n", pa.int64()), ("look", pa.int64()), ("frequencies", pa.binary())])
 PIECES = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 #: Usual BM25 constants.
 K1, B = 1.2, 0.75
@@ -26,10 +26,14 @@ class Bm25:
         terms, counts, owners = [], [], []
         self.query: list[np.ndarray] = []
         for i, d in enumerate(docs):
-            t, c = np.unique(d, return_counts=True)
-            keep = idf[t] > 0
+            # ids of two bytes are sorted by their digits
+            t = np.sort(d, kind="stable")
+            first = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(t)]))
+            t, c = t[first[:-1]], first[1:] - first[:-1]
+            known = idf[t]
+            keep = known > 0
             t, c = t[keep], c[keep]
-            w = idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(d) / mean_length))
+            w = known[keep] * c * (K1 + 1) / (c + K1 * (1 - B + B * len(d) / mean_length))
             self.query.append(t[np.argsort(-w, kind="stable")[:query_terms]])
             terms.append(t)
             counts.append(w)
@@ -43,7 +47,7 @@ class Bm25:
         """Unused documents that share one of the seed's most telling terms, best first."""
         q = self.query[seed]
         a, n = self.start[q], self.start[q + 1] - self.start[q]
-        at = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(q) else np.zeros(0, np.int64)
+        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum()) if len(q) else np.zeros(0, np.int64)
         score = np.bincount(self.owner[at], self.weight[at], self.n)
         score[used] = 0
         best = np.flatnonzero(score > 0)
@@ -101,32 +105,47 @@ def split_last(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int,
 
 
 def encode_documents(docs: DataFrame, model: str = "byte_bpe_50k.json", end_id: int = 0) -> DataFrame:
-    """``doc_id, ids`` (little-endian bytes, end id last), ``n`` and ``look``, a min-hash of the ids: documents that share many ids often share it."""
+    """``doc_id, ids`` (little-endian bytes, end id last), ``n`` and ``look``, a min-hash of the ids: documents that share many ids often share it.
+
+    The last row of every task holds ``frequencies`` alone: for each id of the vocabulary (4 little-endian bytes), the task's documents with it.
+    """
     path = tokenizer_path(model)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.shared(path)
-        end, rank = np.array([end_id], encoder.dtype), mix(np.arange(1, encoder.tk.get_vocab_size() + 1, dtype=np.uint64))
+        size = encoder.tk.get_vocab_size()
+        end, rank = np.array([end_id], encoder.dtype), mix(np.arange(1, size + 1, dtype=np.uint64))
         # least hash of the pairs of an id and a second hash: spreads the documents of one first value
-        rank2 = mix(rank + np.uint64(1))
+        rank2 = (mix(rank + np.uint64(1)) >> np.uint64(32)).astype(np.uint32)
+        rank = (rank >> np.uint64(33)).astype(np.uint32)
+        frequencies, place, any_rows = np.zeros(size, "<u4"), np.zeros(size, np.int32), False
         for b in batches:
-            ids, rows = b.column(0).to_pylist(), []
+            ids = b.column(0).to_pylist()
             for at, run in by_bytes(b.column(1), 1 << 17):
-                for i, x in enumerate(encoder.encode(run)):
-                    t = np.r_[x, end]
-                    look = int(rank[t].min() >> np.uint64(33)) << 32 | int(rank2[t].min() >> np.uint64(32))
-                    rows.append((ids[at + i], t.tobytes(), len(t), look))
-            if rows:
-                yield batch(IDS, list(zip(*rows)))
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, ids binary, n long, look long")
+                docs = encoder.encode(run)
+                n = np.array([len(x) + 1 for x in docs])
+                t = np.concatenate([x for d in docs for x in (d, end)])
+                stops = np.cumsum(n)
+                look = np.minimum.reduceat(rank[t], stops - n).astype(np.int64) << 32 | np.minimum.reduceat(rank2[t], stops - n)
+                parts = [t[e - k:e] for e, k in zip(stops.tolist(), n.tolist())]
+                for x in parts:
+                    # of the places of one id in a document, a single one stays
+                    own = np.arange(len(x), dtype=np.int32)
+                    place[x] = own
+                    frequencies[x[place[x] == own]] += 1
+                yield batch(IDS, [ids[at:at + len(run)], [x.tobytes() for x in parts], n, look, [None] * len(run)])
+                any_rows = True
+        if any_rows:
+            yield batch(IDS, [[None], [None], [None], [None], [frequencies.tobytes()]])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, ids binary, n long, look long, frequencies binary")
 
 
 def pack(docs: DataFrame, window: int = 1024, model: str = "byte_bpe_50k.json", end_id: int = 0, shard_docs: int = 1024, shard_tokens: int = 4_000_000, query_terms: int = 24) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``: pieces of sequences of at most ``window`` ids.
 
-    Ids are stored once. Document frequencies count all documents (one number per id of the vocabulary, which bounds the
-    broadcast). Documents are dealt out by ranges of their min-hash, ties by doc_id, so that like ones come together and no value
+    Ids are stored once. Document frequencies count all documents, where they are encoded (one number per id of the vocabulary and
+    task, which bounds the broadcast). Documents are dealt out by ranges of their min-hash, ties by doc_id, so that like ones come together and no value
     can overload a task; a task indexes ``shard_docs`` documents (or ``shard_tokens`` ids) at a time. A seed asks with its
     ``query_terms`` most telling ids. Terms in more than half of the documents weigh nothing, as usual for BM25. The rest of a shard that
     fills no window is cut into powers of two, so nothing is padded. A null or empty text has its end id alone;
@@ -134,25 +153,24 @@ def pack(docs: DataFrame, window: int = 1024, model: str = "byte_bpe_50k.json",
     """
     spark = docs.sparkSession
     with small_batches(spark):
-        coded = cut_lineage(encode_documents(docs, model, end_id))
+        stored = cut_lineage(encode_documents(docs, model, end_id))
+    coded = stored.where("frequencies IS NULL")
     from tokenizers import Tokenizer
 
     size = Tokenizer.from_file(tokenizer_path(model)).get_vocab_size()
     kind = "<u2" if size <= 1 << 16 else "<u4"
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         df = np.zeros(size, np.int64)
-        for x, in each_row(batches):
-            seen = np.zeros(size, bool)
-            seen[np.frombuffer(x, kind)] = True
-            df[np.flatnonzero(seen)] += 1
+        for x, in each_row(batches, 16):
+            df += np.frombuffer(x, "<u4")
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["token", "df"])
 
     n_docs, n_ids = (x or 0 for x in coded.agg(F.count("*"), F.sum("n")).first())
     df = np.zeros(size)
-    for r in coded.select("ids").mapInArrow(frequencies, "token int, df long").groupBy("token").agg(F.sum("df").alias("df")).collect():
+    for r in stored.where("frequencies IS NOT NULL").select("frequencies").mapInArrow(summed, "token int, df long").groupBy("token").agg(F.sum("df").alias("df")).collect():
         df[r.token] = r.df
     idf = np.maximum(0, np.log((n_docs - df + 0.5) / (df + 0.5)))
     idf[df == 0] = 0

@@ -64,13 +64,40 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
 
 
+def split_words(data: np.ndarray, cut: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of UTF-8 between ``cut`` bytes: starts, ends, and whether they are letters alone.
+
+    A ``line`` byte is a stretch of its own, and so are the marks at the end of what matches ``LETTERS``.
+    """
+    accent = data == 0xC3
+    tail = np.r_[False, accent[:-1]] & (data != 0x97) & (data != 0xB7)
+    ascii_, word = (data | 32) - np.uint8(97) < 26, ~cut
+    mark = (data > 32) & (data < 127) & (data != 39) & (data - np.uint8(48) > 9) & ~ascii_
+    letter = ascii_ | tail | np.r_[tail[1:], False]
+    begin = word & (np.r_[True, (cut | line)[:-1]] | line)
+    starts = np.flatnonzero(begin)
+    if not len(starts):
+        return starts, starts, np.zeros(0, bool)
+    # any other byte, and a letter behind a mark
+    other = np.flatnonzero(word & (~(letter | mark) | letter & np.r_[False, mark[:-1]]))
+    plain, turn = letter[starts], np.flatnonzero(mark & np.r_[False, letter[:-1]])
+    plain[np.searchsorted(starts, other, "right") - 1] = False
+    begin[turn[plain[np.searchsorted(starts, turn, "right") - 1]]] = True
+    letters = np.zeros(len(data), bool)
+    letters[starts[plain]] = True
+    starts = np.flatnonzero(begin)
+    return starts, np.flatnonzero(word & np.r_[(cut | begin)[1:], True]) + 1, letters[starts]
+
+
 class WordEncoder:
     """Ids of texts as arrays of ``dtype`` (uint16 where the vocabulary fits).
 
     Texts are cut into words at places that nothing in the vocabulary reaches across: at every space or line feed where the
-    tokenizer drops white space, else at single spaces between plain characters. The ids of a text are those of its words in
-    order. Words are known by a 64-bit hash in one table for the whole batch; only new words are looked at one by one: a word of
-    letters goes straight to the merge model, all else through the library's pipeline. Beyond ``keep`` words the table starts anew.
+    tokenizer drops white space, else at single spaces between plain characters; byte-level vocabularies also break around a
+    line feed between plain characters, and between the letters and the marks of a word. The ids of a text are those of its
+    words in order. Words are known by a 64-bit hash in one table for the whole batch; only new words are looked at: words of
+    letters behind a space go through the library many at a time, other words of letters straight to the merge model, all else
+    through the library's pipeline. Beyond ``keep`` words the table starts anew.
     """
 
     def __init__(self, path: str, keep: int = 750_000):
@@ -83,6 +110,11 @@ class WordEncoder:
         self.spaced = self._ids([" a"]) != self._ids(["a"])
         self.dropped = not self._ids([" \n "])[0] and self._ids(["a\n  b"]) == self._ids(["a b"])
         self.lower = self._ids(["A"]) == self._ids(["a"])
+        #: whether line feeds and marks stand alone, as in byte-level vocabularies
+        self.fine = self.spaced and not self.dropped and self._ids(["ab.\nAb é,"])[0] == [i for x in self._ids(["ab", ".", "\n", "Ab", " é", ","]) for i in x]
+        #: ids that begin with a space
+        self.opens = np.zeros(self.tk.get_vocab_size(), bool)
+        self.opens[[i for t, i in self.tk.get_vocab().items() if t.startswith("Ġ")]] = True
         self.letters, self.stops, self.since = byte_letters(), {"": []}, 0
         self._start(1 << 17)
 
@@ -132,7 +164,7 @@ class WordEncoder:
             todo = todo[left[todo]]
             slot[todo] = (slot[todo] + 1) & mask
 
-    def _remember(self, h: np.ndarray, ids: list[list[int]]) -> None:
+    def _remember(self, h: np.ndarray, lengths: np.ndarray, new: np.ndarray) -> None:
         if 4 * (self.n + len(h)) > 3 * len(self.keys):
             old_keys, old_at = self.keys, self.at
             used = old_keys != 0
@@ -141,8 +173,6 @@ class WordEncoder:
                 size *= 2
             self.keys, self.at = np.zeros(size, np.uint64), np.zeros(size, np.int32)
             self._insert(old_keys[used], old_at[used])
-        lengths = np.array([len(x) for x in ids], np.int64)
-        new = np.array([i for x in ids for i in x], self.dtype)
         for name, need in (("begin", self.n + len(h)), ("length", self.n + len(h)), ("flat", self.size + len(new))):
             if need > len(getattr(self, name)):
                 setattr(self, name, np.r_[getattr(self, name), np.zeros(max(need - len(getattr(self, name)), len(getattr(self, name)) // 2), getattr(self, name).dtype)])
@@ -152,6 +182,22 @@ class WordEncoder:
         self._insert(h, np.arange(self.n, self.n + len(h), dtype=np.int32))
         self.n, self.size = self.n + len(h), self.size + len(new)
 
+    def learn_spaced(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids, and ids, of words of letters that all have a space before them: the id that begins with it begins a word."""
+        lengths, flat = [], []
+        for a in range(0, len(words), 1000):
+            run = words[a:a + 1000]
+            ids = np.array(self._ids([(b" " + b" ".join(run)).decode()])[0], self.dtype)
+            first = np.flatnonzero(self.opens[ids])
+            if len(first) != len(run) or first[0]:
+                each = self._ids([" " + w.decode() for w in run])
+                ids, n = np.array([i for x in each for i in x], self.dtype), [len(x) for x in each]
+            else:
+                n = np.diff(first, append=len(ids))
+            lengths.append(n)
+            flat.append(ids)
+        return np.concatenate(lengths), np.concatenate(flat)
+
     def learn(self, words: list[str], heads: list[bool]) -> list[list[int]]:
         """Ids of words; ``heads`` have no space before them."""
         out: list[list[int] | None] = [None] * len(words)
@@ -199,13 +245,19 @@ class WordEncoder:
             ascii_, lead = (data > 32) & (data < 127), (data >= 0xC3) & (data <= 0xC8)
             front = ascii_ | lead
             back = ascii_ | np.r_[False, lead[:-1]]
-            cut = (data == 32) & np.r_[False, back[:-1]] & np.r_[front[1:], False] | edge
+            between = np.r_[False, back[:-1]] & np.r_[front[1:], False]
+            cut = (data == 32) & between | edge
+            line = (data == 10) & between
         else:
             cut = edge
-        part = np.flatnonzero(np.diff((~cut).view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-        starts, ends = part[::2], part[1::2]
+        if self.fine:
+            starts, ends, letters = split_words(data, cut, line)
+        else:
+            part = np.flatnonzero(np.diff((~cut).view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+            starts, ends = part[::2], part[1::2]
+            letters = np.zeros(len(starts), bool)
         h = hash_spans(data, starts, ends)
-        head = edge[starts - 1]
+        head = data[starts - 1] != 32
         if self.spaced:
             h = np.where(head, mix(h + np.uint64(1)), h)
         h[h == 0] = 1
@@ -214,7 +266,12 @@ class WordEncoder:
         if len(miss):
             new, first = np.unique(h[miss], return_index=True)
             at = miss[first]
-            self._remember(new, self.learn([buffer[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist())], head[at].tolist()))
+            joined = letters[at] & ~head[at]
+            if joined.any():
+                self._remember(new[joined], *self.learn_spaced([buffer[s:e] for s, e in zip(starts[at[joined]].tolist(), ends[at[joined]].tolist())]))
+            new, at = new[~joined], at[~joined]
+            ids = self.learn([buffer[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist())], head[at].tolist())
+            self._remember(new, np.array([len(x) for x in ids], np.int64), np.array([i for x in ids for i in x], self.dtype))
             place[miss] = self._find(h[miss])
         n = self.length[place].astype(np.int64)
         stops = np.cumsum(n)
