@@ -155,9 +155,8 @@ def pack(docs: DataFrame, window: int = 1024, model: str = "byte_bpe_50k.json",
     with small_batches(spark):
         stored = cut_lineage(encode_documents(docs, model, end_id))
     coded = stored.where("frequencies IS NULL")
-    from tokenizers import Tokenizer
-
-    size = Tokenizer.from_file(tokenizer_path(model)).get_vocab_size()
+    # the tasks know the vocabulary: the driver needs only its size
+    n_docs, n_ids, size = (x or 0 for x in stored.agg(F.count_if(F.col("frequencies").isNull()), F.sum("n"), F.floor(F.max(F.octet_length("frequencies")) / 4)).first())
     kind = "<u2" if size <= 1 << 16 else "<u4"
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,10 +167,9 @@ def pack(docs: DataFrame, window: int = 1024, model: str = "byte_bpe_50k.json",
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["token", "df"])
 
-    n_docs, n_ids = (x or 0 for x in coded.agg(F.count("*"), F.sum("n")).first())
-    df = np.zeros(size)
-    for r in stored.where("frequencies IS NOT NULL").select("frequencies").mapInArrow(summed, "token int, df long").groupBy("token").agg(F.sum("df").alias("df")).collect():
-        df[r.token] = r.df
+    df = np.zeros(max(size, end_id + 1))
+    got = stored.where("frequencies IS NOT NULL").select("frequencies").mapInArrow(summed, "token int, df long").groupBy("token").agg(F.sum("df").alias("df")).toArrow()
+    df[got["token"].to_numpy()] = got["df"].to_numpy()
     idf = np.maximum(0, np.log((n_docs - df + 0.5) / (df + 0.5)))
     idf[df == 0] = 0
     idf[end_id] = 0

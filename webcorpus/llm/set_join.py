@@ -96,9 +96,10 @@ def shared_tables(docs: DataFrame, k: int, range_bits: int = 8, flush_at: int =
         return pa.table({"r": pa.array([key[0].as_py()], pa.int32()), "bits": [np.packbits(bits).tobytes()], "levels": [levels.tobytes()]})
 
     sent = docs.select("text").mapInArrow(send, "r int, gaps binary, counts binary")
-    got = {r.r: r for r in sent.groupBy("r").applyInArrow(tally, "r int, bits binary, levels binary").collect()}
-    none_bits, none_levels = bytes(1 << (SHARED_BITS - range_bits - 3)), bytes(1 << (LEVEL_BITS - range_bits))
-    return b"".join(bytes(got[r].bits) if r in got else none_bits for r in range(ranges)), b"".join(bytes(got[r].levels) if r in got else none_levels for r in range(ranges))
+    got = sent.groupBy("r").applyInArrow(tally, "r int, bits binary, levels binary").toArrow()
+    at = {r: i for i, r in enumerate(got["r"].to_pylist())}
+    none = {"bits": bytes(1 << (SHARED_BITS - range_bits - 3)), "levels": bytes(1 << (LEVEL_BITS - range_bits))}
+    return tuple(b"".join(got[c][at[r]].as_buffer() if r in at else none[c] for r in range(ranges)) for c in ("bits", "levels"))
 
 
 def file_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -131,7 +132,11 @@ def file_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
             if rows:
                 yield batch(SETS, list(zip(*rows)))
 
-    return cut_lineage(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(file, "doc_id long, n long, cls long, sketch binary, token array<long>, pos array<long>, text_hash long"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(file, "doc_id long, n long, cls long, sketch binary, token array<long>, pos array<long>, text_hash long")
+    stored = cut_lineage(rows)
+    # nothing reads them again: the driver and the executors need not hold them for the rest of the job
+    tables.destroy()
+    return stored
 
 
 @F.arrow_udf(T.LongType())
@@ -283,7 +288,7 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     answers = cut_lineage(_overlaps(cut_lineage(best), classes, docs, k))
     linked = F.col("overlap") >= _need(F.col("nx"), F.col("ny"), percent)
     links = answers.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    first = components(links)
+    first = cut_lineage(components(links))
 
     # what these links leave apart
     placed = lists.join(first.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls", "left").select("token", "cls", "n", "pos", F.coalesce("comp", "cls").alias("comp"))
@@ -300,8 +305,9 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     judged = cut_lineage(pairs.select("x", "y", "nx", "ny", F.when(same & (least >= need), 1).when(same & (most < need), -1).otherwise(0).alias("answer")))
     open_pairs = cut_lineage(_promising(judged.where("answer = 0").drop("answer"), sketches, percent).drop("differ"))
     late = _overlaps(open_pairs, classes, docs, k).where(linked).select("x", "y")
-    links = links.union(judged.where("answer = 1").select("x", "y")).union(late)
-    comps = components(links)
+    # the first links go in as their components: stars, which link the same
+    stars = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    comps = components(stars.union(judged.where("answer = 1").select("x", "y")).union(late))
 
     placed = classes.select("cls", "doc_id").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least_id = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -219,7 +219,7 @@ class LabelModel:
         return np.where(rho > 0.1, rho, 0).sum(axis=1)
 
 
-def fit_linear(x: np.ndarray, p: np.ndarray, penalty: float = 1.0, steps: int = 25, block: int = 4096) -> tuple[np.ndarray, float]:
+def fit_linear(x: np.ndarray, p: np.ndarray, penalty: float = 1.0, steps: int = 25, block: int = 512) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Newton steps; the last column is the constant.
 
     Only ``block`` rows at a time are held as floats.
@@ -250,6 +250,22 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(z, -40, 40)))).tolist()
 
 
+def fit_table(got: pa.Table, width: int, voters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows ``found, votes, toxic``: 0/1 matrices of the features and of the votes, a byte a cell, and the labels (unknown: NaN)."""
+    got = got.combine_chunks()
+    x, truth = np.zeros((got.num_rows, width), bool), got["toxic"].to_numpy().astype(float)
+    at = 0
+    for found in got["found"].chunks:
+        many = np.diff(found.offsets.to_numpy())
+        x[np.repeat(np.arange(at, at + len(found)), many), found.flatten().to_numpy()] = True
+        at += len(found)
+    votes = got["votes"].to_numpy()
+    bits = np.zeros((got.num_rows, voters), np.uint8)
+    for j in range(voters):
+        bits[:, j] = votes >> j & 1
+    return x, bits, truth
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> tuple[Model, DataFrame]:
     """The model and the stored votes of all rows.
 
@@ -270,17 +286,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> tuple[Mod
     sizes = open_rows.agg(F.count("toxic"), F.count("*") - F.count("toxic")).first()
     many = [int(min(1.0, fit_rows / max(1, n)) * (1 << 30)) for n in sizes]
     few = open_rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.when(F.col("toxic").isNotNull(), many[0]).otherwise(many[1]))
-    # bounded by twice fit_rows rows of a few numbers
-    got = few.select("found", "votes", "toxic").collect()
-    m, width = len(voters.polarity), len(voters.features)
-    x, bits, truth = np.zeros((len(got), width), bool), np.zeros((len(got), m)), np.full(len(got), np.nan)
-    for i, r in enumerate(got):
-        x[i, r.found] = 1
-        bits[i] = r.votes >> np.arange(m) & 1
-        truth[i] = np.nan if r.toxic is None else r.toxic
+    # bounded by twice fit_rows rows of a few numbers; they come and stay packed, for the driver's sake
+    x, bits, truth = fit_table(few.select("found", "votes", "toxic").toArrow(), len(voters.features), len(voters.polarity))
     sure = ~np.isnan(truth)
     model.calibrate(bits[sure], truth[sure])
-    p = np.where(sure, truth, model.posterior(bits)) if len(got) else np.zeros(0)
+    p = np.where(sure, truth, model.posterior(bits)) if len(truth) else np.zeros(0)
     if p.sum() < 1 or (1 - p).sum() < 1:
         # nothing to tell apart: insults count as the prior beliefs say
         w, c = np.array([4.0 if f in voters.insults else 0.0 for f in voters.features]), -3.0
