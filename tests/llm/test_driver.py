@@ -65,3 +65,14 @@ def test_frequencies_give_the_size_of_the_vocabulary(spark):
     coded = packing.encode_documents(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"))
     size = Tokenizer.from_file(tokens.tokenizer_path("byte_bpe_50k.json")).get_vocab_size()
     assert coded.agg(F.max(F.octet_length("frequencies"))).first()[0] == 4 * size
+
+
+def test_facts_of_sources_start_no_python_worker(spark):
+    """The few rows of a source's figures are a local relation, nulls and an empty table included."""
+    from webcorpus.llm import mixing
+
+    docs = spark.createDataFrame([(1, "a b c", "x"), (2, "d e", None), (3, None, "y")], "doc_id long, text string, source string")
+    rows, _ = mixing.plan(mixing.with_sizes(docs))
+    assert "LocalRelation" in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc_id, r.source, r.source_size) for r in rows.collect()) == [(1, "x", 3), (2, None, 2), (3, "y", 0)]
+    assert mixing.plan(mixing.with_sizes(docs.limit(0)))[0].count() == 0

@@ -19,6 +19,7 @@ from ..session import cut_lineage
 from .common import WORD, batch, each_row, running_starts
 from .shingles import mix
 
+FACTS = pa.schema([("rank", pa.int64()), ("_source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("slots", pa.int64()), ("blocks", pa.int64())])
 #: Fixed values of the contract: weights in code point order of the sources, repeating.
 WEIGHTS = (5, 2, 1)
 
@@ -99,7 +100,8 @@ def plan(sized: DataFrame, share: float = 1.5, most: float = 2.0, block_words: i
     totals = sorted(((r.source, r.n) for r in placed.groupBy("source").agg(F.sum("size").alias("n")).collect()), key=lambda x: (x[0] is None, (x[0] or "").encode()))
     goal = targets([n for _, n in totals], share * sum(n for _, n in totals), most)
     sources = [Source(i, s, n, t, block_words, seed) for i, ((s, n), t) in enumerate(zip(totals, goal))]
-    facts = spark.createDataFrame([(s.rank, s.name, s.size, s.target, s.slots, s.blocks) for s in sources], "rank long, _source string, source_size long, target double, slots long, blocks long")
+    # an Arrow table: rows given as tuples would start Python workers of their own, which stay for a minute
+    facts = spark.createDataFrame(pa.Table.from_arrays([pa.array([getattr(s, at) for s in sources], FACTS.field(i).type) for i, at in enumerate(("rank", "name", "size", "target", "slots", "blocks"))], schema=FACTS))
     rows = placed.join(F.broadcast(facts.drop("slots", "blocks")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
     # blocks of every row: a row and a block meet in one piece

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut_lineage
 from .common import batch, by_bytes, crc32_of, each_row, small_batches
 from .shingles import mix
-from .tokens import WordEncoder, forget, tokenizer_path
+from .tokens import WordEncoder, forget, give_back, tokenizer_path
 
 IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n", pa.int64()), ("look", pa.int64()), ("frequencies", pa.binary())])
 PIECES = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -137,6 +137,8 @@ def encode_documents(docs: DataFrame, model: str = "byte_bpe_50k.json", end_id:
                 any_rows = True
         if any_rows:
             yield batch(IDS, [[None], [None], [None], [None], [frequencies.tobytes()]])
+        # a worker that waits for its next task keeps the encoder alone
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, ids binary, n long, look long, frequencies binary")
 
